@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.llm.pii_scan import pii_digest
 from geoloom.llm.secret_scan import secret_digest
+from geoloom.llm.simhash import simhash_groups
 from geoloom.llm.token_counts import count_tokens
 from geoloom.sources.tables import table
 
@@ -15,13 +17,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
+    "op8_pii_scan": op8_pii_scan,
 }
 
 ORACLES: dict[str, str] = {}
