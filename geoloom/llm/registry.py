@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.pii_scan import pii_digest
+from geoloom.llm.quality import quality_digest
 from geoloom.llm.secret_scan import secret_digest
 from geoloom.llm.simhash import simhash_groups
 from geoloom.llm.token_counts import count_tokens
 from geoloom.sources.tables import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
