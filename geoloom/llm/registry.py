@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.llm.line_dedup import line_digest
 from geoloom.llm.pii_scan import pii_digest
 from geoloom.llm.quality import quality_digest
 from geoloom.llm.secret_scan import secret_digest
@@ -22,6 +23,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op6_token_counts": op6_token_counts,
     "op8_pii_scan": op8_pii_scan,
