@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.llm.decontaminate import leak_digest
 from geoloom.llm.line_dedup import line_digest
 from geoloom.llm.pii_scan import pii_digest
 from geoloom.llm.quality import quality_digest
 from geoloom.llm.secret_scan import secret_digest
 from geoloom.llm.simhash import simhash_groups
 from geoloom.llm.token_counts import count_tokens
+from geoloom.llm.url_filter import ORACLE as URL_ORACLE
+from geoloom.llm.url_filter import judge_urls, listed_urls
 from geoloom.sources.tables import table
 
 
@@ -31,6 +34,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, listed_urls(pages))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -39,13 +47,19 @@ def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
     "op8_pii_scan": op8_pii_scan,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filter": URL_ORACLE}
