@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.decontaminate import leak_digest
+from geoloom.llm.html_extract import extract_text
 from geoloom.llm.line_dedup import line_digest
 from geoloom.llm.pii_scan import pii_digest
 from geoloom.llm.quality import quality_digest
@@ -51,6 +52,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secret_scan": op2_secret_scan,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_pii_scan": op8_pii_scan,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {"op5_url_filter": URL_ORACLE}
