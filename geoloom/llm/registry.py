@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geoloom.llm.decontaminate import leak_digest
 from geoloom.llm.html_extract import extract_text
 from geoloom.llm.line_dedup import line_digest
+from geoloom.llm.packing import pack
 from geoloom.llm.pii_scan import pii_digest
 from geoloom.llm.quality import quality_digest
 from geoloom.llm.secret_scan import secret_digest
@@ -44,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op8_pii_scan": op8_pii_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
