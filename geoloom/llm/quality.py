@@ -112,8 +112,12 @@ def judge_quality(
         *(F.col(f"_{c}").alias(f"_q_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         failed.alias("_q_base_failed"),
         F.round(score, 6).alias("_q_score"),
+        F.spark_partition_id().alias("_q_task"),
     )
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= threshold))
+    # Always true, but bound to the task, which keeps the optimizer from writing the nested expressions
+    # above out into a filter on the verdict; written out they grow exponentially.
+    here = F.col("_q_task") >= 0
+    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= threshold) & here).drop("_q_task")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from geoloom.llm.decontaminate import leak_digest
 from geoloom.llm.html_extract import extract_text
 from geoloom.llm.line_dedup import line_digest
@@ -72,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_scan": op8_pii_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op5_url_filter": URL_ORACLE}
