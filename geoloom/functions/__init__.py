@@ -1 +1 @@
-
+"""Column functions: geometry, network weights and recodes."""
