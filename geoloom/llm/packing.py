@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import map_rows, vocabulary_path
-from geoloom.llm.pretokens import SPECIAL, pretokens
+from geoloom.llm.pretokens import SPECIAL, byte_alphabet, pretokens
 from geoloom.plans.materialize import broadcast_if_small, materialize
 
 #: Distinct pieces of text remembered by a worker, and the longest one remembered.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
 
 # --- token identifiers ------------------------------------------------------------
 
@@ -26,11 +26,14 @@ class PieceIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = self.ids(SPECIAL)
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.shown = {b: c for b, c in enumerate(byte_alphabet())}
+        self.special = array("I", tokenizer.encode(SPECIAL, add_special_tokens=False).ids).tobytes()
 
     def ids(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        shown = piece.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         made = self.ids(piece)
