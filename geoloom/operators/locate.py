@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,28 @@ def set_cover(od: DataFrame, cutoff: float, share: float = 1.0, max_picks: int =
     return spark.createDataFrame(chosen, f"pick int, d {dict(od.dtypes)['d']}, gained double")
 
 
-def p_median(od: DataFrame, p: int, rounds: int = 20) -> DataFrame:
-    """(d): p facilities with a small sum of w_o * cost to the nearest: greedy, then exchange until no swap helps.
+def _best_of_all(od: DataFrame, sites: list, p: int) -> list:
+    """The cheapest of all choices of p sites; choices that leave an origin out lose to those that don't."""
+    choices = [(k, d) for k, own in enumerate(combinations(sites, p)) for d in own]
+    table = od.sparkSession.createDataFrame(choices, f"k long, d {dict(od.dtypes)['d']}")
+    served = od.join(F.broadcast(table), "d").groupBy("k", "o").agg(F.min("c").alias("c"))
+    best = served.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).orderBy(F.desc("n"), F.round("c", 9), "k").first()
+    return [d for k, d in choices if k == best["k"]]
+
+
+def p_median(od: DataFrame, p: int, rounds: int = 20, most_choices: int = 5_000) -> DataFrame:
+    """(d): p facilities with a small sum of w_o * cost to the nearest.
 
-    Every candidate swap of a round is priced in one grouped pass over the table."""
+    Up to ``most_choices`` choices of sites are all priced, in one grouped join,
+    and the best taken (ties: the first in order). Beyond that greedy choice is
+    followed by exchange until no swap helps; every candidate swap of a round is
+    priced in one grouped pass over the table."""
     spark = od.sparkSession
     od = materialize(od.filter("cost is not null").select("o", "d", "w_o", (F.col("cost") * F.col("w_o")).alias("c")), "median")
+    n = od.select("d").distinct().count()
+    if n >= p and comb(n, p) <= most_choices:
+        sites = sorted(r["d"] for r in od.select("d").distinct().collect())
+        return spark.createDataFrame([(x,) for x in _best_of_all(od, sites, p)], f"d {dict(od.dtypes)['d']}")
     chosen: list = []
     for _ in range(p):
         if chosen:

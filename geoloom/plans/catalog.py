@@ -610,7 +610,9 @@ def _flags(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select((F.col("p_size") > 20).cast("int").alias("a"), (F.col("p_retailprice") > 1400).cast("int").alias("b"))
 
 
-@query()
+@query("with recursive " + OD + """, s as (select distinct d from od), k as (select a.d as a, b.d as b, c.d as c from s a, s b, s c where a.d < b.d and b.d < c.d),
+m as (select a, b, c, o, min(cost * w_o) as x from k, od where d in (a, b, c) group by all),
+t as (select a, b, c, count(*) as n, sum(x) as x from m group by all order by n desc, round(sum(x), 9), a, b, c limit 1) select unnest([a, b, c]) as d from t""")
 def p_median_sites(spark, sf):
     od = ng3_od(spark, sf).select("o", "d", F.col("cost"), F.col("w_o").cast("double").alias("w_o"))
     return locate.p_median(od, 3)
