@@ -2,26 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.plans.materialize import materialize
+from geoloom.plans.materialize import materialize, ship_package
+
+Graph = dict[tuple, dict[object, list[tuple[object, float]]]]
+
+
+def _search(moves: dict, source, cutoff: float | None) -> list[tuple]:
+    """(node, cost, prev, hops) reached from a source, by a heap; ties go to the smaller predecessor."""
+    out, done, heap = [], set(), [(0.0, 0, source, None)]
+    while heap:
+        cost, hops, node, prev = heappop(heap)
+        if node in done:
+            continue
+        done.add(node)
+        out.append((node, cost, prev, hops))
+        for to, step in moves.get(node, ()):
+            if to not in done and (cutoff is None or cost + step <= cutoff):
+                heappush(heap, (cost + step, hops + 1, to, node))
+    return out
+
+
+def _by_heap(moves: DataFrame, start: DataFrame, own: list[str], keys: tuple[str, ...], cutoff: float | None) -> DataFrame:
+    """The search where the edges fit into every task: they are broadcast, the sources are dealt out."""
+    spark = moves.sparkSession
+    ship_package(spark)
+    graph: Graph = {}
+    for r in moves.collect():
+        graph.setdefault(tuple(r[k] for k in own), {}).setdefault(r["node"], []).append((r["to"], r["step"]))
+    held = spark.sparkContext.broadcast(graph)
+    kinds = dict(start.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"o {kinds['o']}", f"node {kinds['o']}", "cost double", f"prev {kinds['o']}", "hops int"])
+    names = [*keys, "o", "node", "cost", "prev", "hops"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                lead = [row[k] for k in keys]
+                found = _search(held.value.get(tuple(row[k] for k in own), {}), row["o"], cutoff)
+                yield pd.DataFrame([(*lead, row["o"], *x) for x in found], columns=names).astype({"prev": object})
 
+    spread = start.repartition(max(1, 2 * spark.sparkContext.defaultParallelism), "o")
+    return materialize(spread.mapInPandas(run, schema), "dist")
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys: tuple[str, ...] = (), max_rounds: int = 10_000) -> DataFrame:
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys: tuple[str, ...] = (), max_rounds: int = 10_000, heap_edges: int = 500_000) -> DataFrame:
     """(*keys, o, node, cost, prev, hops) of the cheapest path from each source.
 
     ``edges(u, v, cost)`` are directed, with costs of zero or more; ``sources``
     has ``o`` and the ``keys`` (a scenario, say). Where edges carry the keys
-    too, each scenario sees its own edges. Only nodes whose cost has just
-    fallen are expanded, all origins at once: one equi-join on the node and one
-    keyed minimum a round, written to the shared folder. Ties go to the smaller
-    predecessor. Nodes out of reach, or beyond ``cutoff``, have no row.
+    too, each scenario sees its own edges. Nodes out of reach, or beyond ``cutoff``,
+    have no row.
+
+    Up to ``heap_edges`` edges are broadcast and each task searches from its own
+    sources. A larger network is relaxed in rounds: only nodes whose cost has
+    just fallen are expanded, all sources at once, by one equi-join on the node
+    and one keyed minimum, written to the shared folder.
     """
     own = [k for k in keys if k in edges.columns]
     moves = edges.select(*own, F.col("u").alias("node"), F.col("v").alias("to"), F.col("cost").alias("step")).filter("node <> to")
     moves = materialize(moves.groupBy(*own, "node", "to").agg(F.min("step").alias("step")), "moves")
     start = sources.select(*keys, "o").distinct()
+    if moves.limit(heap_edges + 1).count() <= heap_edges:
+        return _by_heap(moves, start, own, keys, cutoff)
     best = materialize(start.select("*", F.col("o").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(dict(start.dtypes)["o"]).alias("prev"), F.lit(0).alias("hops")), "dist")
     front = best
     for _ in range(max_rounds):

@@ -34,9 +34,10 @@ def net(spark):
     return rows, spark.createDataFrame(rows, "u long, v long, cost double")
 
 
-def test_shortest_paths_match_dijkstra(spark, net):
+@pytest.mark.parametrize("heap_edges", [0, 1000])
+def test_shortest_paths_match_dijkstra(spark, net, heap_edges):
     rows, edges = net
-    found = routing.shortest_paths(edges, spark.createDataFrame([(i,) for i in range(6)], "o long"))
+    found = routing.shortest_paths(edges, spark.createDataFrame([(i,) for i in range(6)], "o long"), heap_edges=heap_edges)
     got = {(r["o"], r["node"]): r["cost"] for r in found.collect()}
     assert got == {(o, n): c for o in range(6) for n, c in dijkstra([e for e in rows if e[0] != e[1]], o).items()}
 
