@@ -46,6 +46,13 @@ PATHS = (
     union all select w.o, e.v, w.cost + e.cost, w.hops + 1 from walk w join ng3 e on e.u = w.node where w.hops < 8),
   paths as (select o, node, min(cost) as cost from walk group by 1, 2)"""
 )
+BACK = (
+    PATHS
+    + """,
+  best as (select p.o, p.node, arg_min(e.u, (q.cost + e.cost, e.u)) as prev from paths p join ng3 e on e.v = p.node join paths q on q.o = p.o and q.node = e.u where p.node <> p.o group by 1, 2),
+  back as (select o, node as d, 0 as seq, prev as u, node as v from best
+    union all select b.o, b.d, b.seq + 1, s.prev, b.u from back b join best s on s.o = b.o and s.node = b.u)"""
+)
 WEIGHTS = "weights as (select c_nationkey as nation, count(*) as w from customer group by 1)"
 
 
@@ -537,7 +544,7 @@ def furness10(spark, sf):
     return access.furness(cells).withColumn("flow", _r("flow"))
 
 
-@query()
+@query("with recursive " + BACK + " select u, v, cast(count(*) as double) as flow from back group by 1, 2")
 def aon_assignment(spark, sf):
     e = ng3(spark, sf)
     paths = routing.shortest_paths(e, e.select(F.col("u").alias("o")))
@@ -556,7 +563,7 @@ def edge_criticality(spark, sf):
     return broken.groupBy("edge_u", "edge_v").agg(_r(F.coalesce(F.sum(F.col("cost") - F.col("base")), F.lit(0.0))).alias("extra"), lost.alias("lost"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query()
+@query("with recursive " + BACK + " select o, d, seq, u, v from back where o < 5")
 def route_listing(spark, sf):
     e = ng3(spark, sf)
     paths = routing.shortest_paths(e, e.filter("u < 5").select(F.col("u").alias("o")))
