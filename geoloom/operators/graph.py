@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.components import connected_components
+from geoloom.operators.spatial import nearest_join, within_distance
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     """Distinct end points."""
@@ -114,3 +117,50 @@ def disrupt_random(edges: DataFrame, percent: float, seed: int, fail: float, key
     without a global sort."""
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 10_000
     return edges.withColumn("cost", F.when(share < percent, F.lit(float(fail))).otherwise(F.col("cost")))
+
+
+def contract_chains(edges: DataFrame, by: str = "length") -> DataFrame:
+    """(u, v, length, parts) of undirected edges (each once) with chains of
+    two-neighbour nodes drawn together: lengths add up, ``parts`` counts the edges.
+
+    Chains are the components of the interior nodes joined by edges, so a chain
+    of any length takes a few rounds, not one a node. A ring without an end, and
+    an edge between two ends, stay as they are; a chain that returns to its
+    start becomes a loop."""
+    inner = interior_nodes(edges)
+    mark = lambda end: inner.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}"))
+    known = edges.join(mark("u"), "u", "left").join(mark("v"), "v", "left").fillna(False, ["_u", "_v"])
+    linked = connected_components(known.filter("_u and _v").select("u", "v"))
+    chain = inner.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("chain"))
+    of = lambda end: chain.select(F.col("node").alias(end), F.col("chain").alias(f"_c{end}"))
+    placed = known.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumn("chain", F.coalesce("_cu", "_cv"))
+    ends = F.array_compact(F.array(F.when(~F.col("_u"), F.col("u")), F.when(~F.col("_v"), F.col("v"))))
+    grouped = placed.filter("chain is not null").groupBy("chain").agg(F.sum(by).alias("length"), F.count(F.lit(1)).alias("parts"), F.array_sort(F.flatten(F.collect_list(ends))).alias("_ends"))
+    open_chains = grouped.filter(F.size("_ends") == 2)
+    merged = open_chains.select(F.get("_ends", F.lit(0)).alias("u"), F.get("_ends", F.lit(1)).alias("v"), "length", "parts")
+    plain = placed.join(open_chains.select("chain"), "chain", "left_anti").select("u", "v", F.col(by).alias("length"), F.lit(1).cast("long").alias("parts"))
+    return merged.unionByName(plain)
+
+
+def merge_close_nodes(nodes: DataFrame, edges: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with nodes(node, x, y) within ``radius`` of each other, in
+    turn, drawn together in their mean place under the smallest name; edges
+    inside such a group go."""
+    near = within_distance(nodes.withColumnRenamed("node", "id"), nodes.withColumnRenamed("node", "id"), radius)
+    groups = connected_components(near.filter("a_id < b_id").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    named = nodes.join(groups, "node", "left").withColumn("to", F.coalesce("component", "node"))
+    at = lambda end: named.select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))
+    moved = edges.join(at("u"), "u").join(at("v"), "v").filter("_u <> _v").withColumns({"u": F.col("_u"), "v": F.col("_v")}).drop("_u", "_v")
+    return named.groupBy(F.col("to").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")), moved
+
+
+def join_networks(base: DataFrame, base_edges: DataFrame, other: DataFrame, other_edges: DataFrame, radius: float, size: float) -> DataFrame:
+    """(u, v, length, kind): both networks' edges, and glue in both directions
+    from each node of ``other`` to its nearest base node within ``radius``.
+    Names of the second network are prefixed by "add_"."""
+    name = lambda c: F.concat(F.lit("add_"), F.col(c).cast("string"))
+    near = nearest_join(other.withColumnRenamed("node", "id"), base.withColumnRenamed("node", "id"), size).filter(F.col("dist") <= radius)
+    glue = near.select(name("a_id").alias("u"), F.col("b_id").cast("string").alias("v"), F.col("dist").alias("length"), F.lit("glue").alias("kind"))
+    own = base_edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "length", F.lit("base").alias("kind"))
+    added = other_edges.select(name("u").alias("u"), name("v").alias("v"), "length", F.lit("added").alias("kind"))
+    return own.unionByName(added).unionByName(reflect_all(glue))

@@ -168,3 +168,20 @@ def test_stream_windows_equal_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").select("window_start", "event_type", "n").exceptAll(counts_by_window(events).select("window_start", "event_type", "n")).count() == 0
+
+
+def test_chains_are_drawn_together(spark):
+    rows = [(1, 2, 1.0), (2, 3, 2.0), (3, 4, 4.0), (4, 5, 8.0), (4, 6, 1.0), (10, 11, 1.0), (11, 12, 1.0), (12, 10, 1.0), (6, 7, 1.0), (7, 8, 1.0), (8, 6, 5.0), (6, 9, 1.0)]
+    out = sorted((r["u"], r["v"], r["length"], r["parts"]) for r in graph.contract_chains(spark.createDataFrame(rows, "u long, v long, length double")).collect())
+    assert out == sorted([(1, 4, 7.0, 3), (4, 5, 8.0, 1), (4, 6, 1.0, 1), (10, 11, 1.0, 1), (11, 12, 1.0, 1), (12, 10, 1.0, 1), (6, 6, 7.0, 3), (6, 9, 1.0, 1)])
+
+
+def test_close_nodes_merge_and_networks_join(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.0), (3, 5.0, 5.0)], "node long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 7.0)], "u long, v long, length double")
+    n, e = graph.merge_close_nodes(nodes, edges, 1.0)
+    assert sorted((r["node"], r["x"]) for r in n.collect()) == [(1, 0.25), (3, 5.0)]
+    assert [(r["u"], r["v"]) for r in e.collect()] == [(1, 3)]
+    other = spark.createDataFrame([(1, 5.0, 5.5), (2, 90.0, 90.0)], "node long, x double, y double")
+    glued = graph.join_networks(nodes, edges, other, edges.limit(0), 1.0, 2.0).filter("kind = 'glue'").collect()
+    assert sorted((r["u"], r["v"], r["length"]) for r in glued) == [("3", "add_1", 0.5), ("add_1", "3", 0.5)]
