@@ -17,108 +17,139 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return every.select("doc_id", "pos", F.btrim("line", F.lit(_BLANKS)).alias("line")).filter(F.length("line") >= min_chars)
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` of an even partition of ``length`` characters."""
-    cut = lambda k: F.floor(length * k / parts).cast("int")
-    return cut(i) + 1, cut(i + 1) - cut(i)
+def _cut(length: Column, k: int, parts: int) -> Column:
+    """Where segment ``k`` of an even partition of ``length`` characters starts (from 0)."""
+    return F.call_function("div", length * k, F.lit(parts)).cast("int")
 
 
-def segment_keys(line: Column, edits: int) -> tuple[list[Column], list[Column]]:
+def segment_keys(wide: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
     """The hashed index keys of a line (its ``edits + 1`` segments) and its probe
     keys: for each partner length from its own down to ``edits`` less, and each
     segment of such a partner, the substrings where that segment can lie if the
     errors left and right of it number at most ``edits`` in all. Two lines
     within ``edits`` share an index key of the shorter and a probe key of the
-    longer one."""
-    own, parts = F.length(line), edits + 1
+    longer one. ``wide`` is the line in four bytes a character, so that a
+    substring is cut out without counting characters."""
+    parts = edits + 1
 
-    def key(length: Column, i: int, at: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substr(line, at, size))
+    def key(less: int, i: int, shift: int) -> Column:
+        at, end = _cut(length - less, i, parts), _cut(length - less, i + 1, parts)
+        return F.xxhash64(length - less, F.lit(i), F.substring(wide, (at + shift) * 4 + 1, (end - at) * 4))
 
-    index = [key(own, i, *_segment(own, i, parts)) for i in range(parts)]
+    index = [key(0, i, 0) for i in range(parts)]
     probes = []
     for less in range(edits + 1):
         for i in range(parts):
-            at, size = _segment(own - less, i, parts)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                probes.append(key(own - less, i, at + shift, size))
+                probes.append(key(less, i, shift))
     return index, probes
 
 
+#: Letters counted for the signature, five bits each, twelve an integer.
+LETTERS = ("etnaoirshdlu", "cmfpgwybvkxj")
+
+
+def signature(line: Column) -> Column:
+    """The counts of the LETTERS, modulo 32, as a struct of two integers."""
+
+    def packed(letters: str) -> Column:
+        counts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(31), 5 * k) for k, c in enumerate(letters)]
+        total = counts[0]
+        for c in counts[1:]:
+            total = total.bitwiseOR(c)
+        return total
+
+    return F.struct(*(packed(x).alias(f"s{i}") for i, x in enumerate(LETTERS)))
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """False only if the letter counts behind two signatures differ by more than
+    ``edits`` edits can make them: an edit moves at most two counts by one, and
+    the nearer way round modulo 32 never exceeds the true difference."""
+    total = F.lit(0).cast("long")
+    for i, letters in enumerate(LETTERS):
+        for k in range(len(letters)):
+            gap = F.abs(F.shiftright(a[f"s{i}"], 5 * k).bitwiseAND(31) - F.shiftright(b[f"s{i}"], 5 * k).bitwiseAND(31))
+            total = total + F.least(gap, 32 - gap)
+    return total <= 2 * edits
+
+
 def banded_distance(long: Column, short: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters, exact where it is ``edits`` or
     less (else some larger number); ``long`` is no shorter than ``short``.
 
     Bit-parallel over a band: bit b of the words at column j stands for row
     j - edits + b, so a word of 2 * edits + 1 bits slides down the diagonal and
-    each column takes a fixed number of word operations.
+    each column takes a fixed number of word operations: vertical differences
+    of +1 (vp) and -1 (vn), the cells equal to their upper left neighbour (d0),
+    horizontal differences (hp, hn).
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
     more = F.size(long) - F.size(short)
-    flag = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
-
-    def step(s: Column, j: Column) -> Column:
-        own = F.get(short, j)
-        match = F.lit(0)
-        for b in range(width):
-            row = j - edits + b  # from 0
-            match = match + flag(F.coalesce(F.get(long, row) == own, F.lit(False))) * (1 << b)
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), match.alias("x"))
-
-    def settle(s: Column) -> Column:
-        vp, vn, x = s["vp"], s["vn"], s["x"]
-        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full)
-        return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), d0.alias("d0"))
 
-    def moved(s: Column) -> Column:
-        vp, vn, d0 = s["vp"], s["vn"], s["d0"]
+    def match(c: Column, j: Column) -> Column:
+        bits = [F.when(F.get(long, j - edits + b) == c, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(width)]
+        return sum(bits[1:], bits[0])
+
+    def step(s: Column, x: Column) -> Column:
+        vp, vn = s["vp"], s["vn"]
+        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full)
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(full)
         hn = d0.bitwiseAND(vp)
         down = F.shiftright(d0, 1)
-        here = F.call_function("shiftright", d0, F.lit(edits) + more).bitwiseAND(1)
+        same = F.call_function("shiftright", d0, F.lit(edits) + more).bitwiseAND(1)
         return F.struct(
             hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(full).alias("vp"),
             down.bitwiseAND(hp).alias("vn"),
-            (s["d"] + 1 - here).alias("d"),
+            (s["d"] + 1 - same).alias("d"),
         )
 
     start = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), more.alias("d"))
-    run = F.aggregate(
-        F.sequence(F.lit(0), F.size(short) - 1),
-        start,
-        lambda s, j: F.get(F.transform(F.transform(F.array(step(s, j)), settle), moved), F.lit(0)),
-    )
-    return F.when(F.size(short) == 0, F.size(long)).otherwise(run["d"])
+    return F.aggregate(F.transform(short, match), start, step)["d"]
 
 
-def edit_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def edit_links(docs: DataFrame, edits: int, min_chars: int, crowd: int = 4) -> DataFrame:
     """(u, v): every pair of different lines within ``edits`` of each other, each once, by the lines' digests.
 
     Distinct lines are hashed to their keys before any shuffle, so a line that
     fills a third of the corpus counts once a task. The join on keys is an
-    equi-join that adaptive execution splits where a key is frequent. Texts
-    are read again for the candidates alone and compared in full.
+    equi-join that adaptive execution splits where a key is frequent. Lines
+    under a key with more than ``crowd`` lines carry their letter counts into
+    the join's condition, so that lines of such a group which share a segment
+    and differ elsewhere don't come out as pairs. Texts are read again for the
+    candidates alone, and those that their letter counts allow are compared in
+    full.
     """
     lines = lines_of(docs, min_chars).select("line", F.xxhash64("line").alias("h"))
-    index, probes = segment_keys(F.col("line"), edits)
-    keyed = lines.select("h", F.array(*index, *probes).alias("keys")).distinct().select("h", F.posexplode("keys").alias("slot", "key"))
-    found = (
-        keyed.filter(F.col("slot") < len(index))
-        .select("key", F.col("h").alias("a"))
-        .join(keyed.filter(F.col("slot") >= len(index)).select("key", F.col("h").alias("b")), "key")
-        .filter("a <> b")
-    )
+    wide = lines.select("h", F.encode("line", "UTF-32").alias("wide")).select("h", "wide", F.shiftright(F.length("wide"), 2).alias("n"))
+    index, probes = segment_keys(F.col("wide"), F.col("n"), edits)
+    keyed = materialize(wide.select("h", F.array(*index, *probes).alias("keys")).distinct(), "keys")
+    each = keyed.select("h", F.posexplode("keys").alias("slot", "key"))
+    hot = materialize(each.filter(F.col("slot") < len(index)).groupBy("key").count().filter(F.col("count") > crowd).select("key"), "hot")
+    crowded = each.join(broadcast_if_small(hot, 1_000_000), "key", "left_semi").select("h").distinct()
+    sigs = lines.join(broadcast_if_small(materialize(crowded, "crowded"), 1_000_000), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
+    sigs = broadcast_if_small(materialize(sigs.distinct(), "sigs"), 1_000_000)
+    signed = keyed.join(sigs, "h", "left").select("h", "sig", F.posexplode("keys").alias("slot", "key"))
+    left = signed.filter(F.col("slot") < len(index)).select("key", F.col("h").alias("a"), F.col("sig").alias("sa"))
+    right = signed.filter(F.col("slot") >= len(index)).select("key", F.col("h").alias("b"), F.col("sig").alias("sb"))
+    fits = F.coalesce(may_be_near(F.col("sa"), F.col("sb"), edits), F.lit(True))
+    found = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & fits)
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ends = broadcast_if_small(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), 1_000_000)
-    chars = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
-    texts = materialize(lines.join(ends, "h", "left_semi").distinct().select("h", F.unhex(F.md5("line")).alias("id"), chars.alias("chars")), "texts")
-    a = texts.select(F.col("h").alias("a"), F.col("id").alias("u"), F.col("chars").alias("cu"))
-    b = texts.select(F.col("h").alias("b"), F.col("id").alias("v"), F.col("chars").alias("cv"))
-    both = pairs.join(a, "a").join(b, "b").filter(F.abs(F.size("cu") - F.size("cv")) <= edits)
-    first = F.size("cu") >= F.size("cv")
-    both = both.select("u", "v", F.when(first, F.col("cu")).otherwise(F.col("cv")).alias("cl"), F.when(first, F.col("cv")).otherwise(F.col("cu")).alias("cs"))
-    return materialize(both.filter(banded_distance(F.col("cl"), F.col("cs"), edits) <= edits).select("u", "v").distinct(), "links")
+    own = lines.join(ends, "h", "left_semi").distinct()
+    texts = materialize(own.select("h", F.unhex(F.md5("line")).alias("id"), "line", signature(F.col("line")).alias("sig")), "texts")
+    a = texts.select(F.col("h").alias("a"), F.col("id").alias("u"), F.col("line").alias("lu"), F.col("sig").alias("sa"))
+    b = texts.select(F.col("h").alias("b"), F.col("id").alias("v"), F.col("line").alias("lv"), F.col("sig").alias("sb"))
+    first = F.length("lu") >= F.length("lv")
+    chars = lambda line: F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+    keep = may_be_near(F.col("sa"), F.col("sb"), edits) & (F.abs(F.length("lu") - F.length("lv")) <= edits)
+    both = pairs.join(a, "a").join(b, (pairs["b"] == b["b"]) & keep)
+    both = both.select("u", "v", chars(F.when(first, F.col("lu")).otherwise(F.col("lv"))).alias("cl"), chars(F.when(first, F.col("lv")).otherwise(F.col("lu"))).alias("cs"))
+    # The task's number keeps the filter above the two arrays, which are then made once a pair.
+    both = both.withColumn("_task", F.spark_partition_id())
+    near = (banded_distance(F.col("cl"), F.col("cs"), edits) <= edits) & (F.col("_task") >= 0)
+    return materialize(both.filter(near).select("u", "v").distinct(), "links")
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
