@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -46,6 +47,17 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema:
     return df.select(*columns).mapInArrow(run, out)
 
 
+def hashed_share(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has no more): those whose hashed
+    id falls into the first part of the hash range. The same rows each time,
+    found by a filter, so nothing is sorted or collected to choose them."""
+    n = df.count()
+    if n <= rows:
+        return df
+    parts = 1 << 40
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) < int(parts * rows / n))
+
+
 Span = tuple[str, int, int]
 
 

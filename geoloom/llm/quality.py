@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.common import hashed_share
+
 # Fixed values of the base rules.
 _BLANKS = " \t\n\x0b\f\r"
 _BLANK_RUN = "[\\x20\\x09-\\x0D]+"
@@ -61,11 +63,12 @@ def with_measures(docs: DataFrame, text_col: str) -> DataFrame:
 def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int, smooth: float, text_col: str) -> list[float]:
     """log p(bucket | trusted target) - log p(bucket | raw corpus), smoothed.
 
-    The raw counts cover every document. The target is at most ``trusted``
-    documents labelled of quality 1 (those with the smallest hashed ids), which
-    bounds the broadcast list of ids. Only one count per bucket is collected.
+    The raw counts cover every document. The target is about ``trusted``
+    documents labelled of quality 1 (chosen by their hashed ids; all, if there
+    are no more), which bounds the broadcast list of ids. Only one count per bucket is collected.
     """
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = hashed_share(good, "doc_id", trusted)
     own = docs.select("doc_id", text_col).join(F.broadcast(good.withColumn("_trusted", F.lit(1))), "doc_id", "left").select("_trusted", F.col(text_col).alias("_text"))
     h1 = own.withColumn("_h1", F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w)))
     grams = h1.select("_trusted", F.explode(F.concat("_h1", _joined(F.col("_h1"), F.col("_h1"), 1))).alias("_g"))

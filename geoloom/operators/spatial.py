@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import cell, point_in_ring
-from geoloom.plans.materialize import materialize
+from geoloom.plans.materialize import materialize, ship_package
 
 
 def _with_cells(points: DataFrame, size, around: int) -> DataFrame:
@@ -85,3 +89,40 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value:
     )
     w = Window.partitionBy(*by).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter("_left = 1").drop("_value", "_left")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """(q_id, e_id, rank): the k nearest (Euclidean, to six decimals, ties by id) of
+    vectors(id, embedding) for each of queries(id, embedding), the query itself left out.
+
+    Queries are broadcast in blocks of about ``block``; each batch of vectors
+    keeps its k best a query, so what is shuffled is k rows a query and batch."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").toPandas()
+        ids, wanted = own["id"].to_numpy(), np.array([*own["embedding"]], float).reshape(len(own), -1)
+        held = spark.sparkContext.broadcast((ids, wanted))
+
+        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, wanted = held.value
+            for batch in batches:
+                if not len(ids):
+                    continue
+                v, names = np.array([*batch["embedding"]], float), batch["id"].to_numpy()
+                for at in range(0, len(ids), 16):  # 16 x batch x dimension numbers at a time
+                    q = wanted[at : at + 16]
+                    dist = np.round(np.sqrt(((q[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)), 6)
+                    dist[ids[at : at + 16, None] == names[None, :]] = np.inf
+                    near = np.lexsort((np.broadcast_to(names, dist.shape), dist), axis=1)[:, :k]
+                    rows = np.repeat(np.arange(len(q)), near.shape[1])
+                    found = dist[rows, near.ravel()]
+                    ok = np.isfinite(found)
+                    yield pd.DataFrame({"q_id": ids[at + rows][ok], "e_id": names[near.ravel()][ok], "dist": found[ok]})
+
+        part = vectors.filter("embedding is not null").mapInPandas(best, f"q_id {dict(vectors.dtypes)['id']}, e_id {dict(vectors.dtypes)['id']}, dist double")
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("q_id").orderBy("dist", "e_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_id", "e_id", "rank")

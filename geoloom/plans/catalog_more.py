@@ -169,10 +169,9 @@ def closeness(spark, sf):
 
 
 @query("""select v, u, round(length, 4) as length from (select u, v, length, row_number() over (partition by least(u, v), greatest(u, v) order by length, u, v, k) as r, min(length) over (partition by least(u, v), greatest(u, v)) as m
-from (select l_suppkey % 20 as u, l_partkey % 20 as v, l_quantity as length, l_orderkey * 10 + l_linenumber as k from lineitem where l_linenumber = 7)) where r = 1 or length >= 1.5 * m""")
+from (select l_suppkey % 20 as u, l_partkey % 20 as v, l_quantity as length, l_orderkey * 10 + l_linenumber as k from lineitem)) where r = 1 or length >= 1.5 * m""")
 def drop_clone_edges(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 7")
-    e = li.select((F.col("l_suppkey") % 20).alias("u"), (F.col("l_partkey") % 20).alias("v"), F.col("l_quantity").alias("length"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("u"), (F.col("l_partkey") % 20).alias("v"), F.col("l_quantity").alias("length"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
     return graph.drop_clones(e, 1.5, "length", ["k"]).select("v", "u", _r("length").alias("length"))
 
 
@@ -191,11 +190,11 @@ def percentile_scale(spark, sf):
     return p.crossJoin(ends).select("p_partkey", _r(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255).alias("scaled"))
 
 
-@query("""select l_orderkey, round(l_quantity * 100.0 / (l_quantity + l_discount * 100 + l_tax * 100), 4) as pct_quantity, case when l_quantity >= l_discount * 100 and l_quantity >= l_tax * 100 then 'quantity' when l_discount >= l_tax then 'discount' else 'tax' end as dominant from lineitem where l_linenumber = 2""")
+@query("""select l_orderkey, l_linenumber, round(l_quantity * 100.0 / (l_quantity + l_discount * 100 + l_tax * 100), 4) as pct_quantity, case when l_quantity >= l_discount * 100 and l_quantity >= l_tax * 100 then 'quantity' when l_discount >= l_tax then 'discount' else 'tax' end as dominant from lineitem""")
 def row_shares(spark, sf):
     q, d, t = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
     top = F.when((q >= d) & (q >= t), "quantity").when(F.col("l_discount") >= F.col("l_tax"), "discount").otherwise("tax")
-    return table(spark, sf, "lineitem").filter("l_linenumber = 2").select("l_orderkey", _r(q * 100.0 / (q + d + t)).alias("pct_quantity"), top.alias("dominant"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _r(q * 100.0 / (q + d + t)).alias("pct_quantity"), top.alias("dominant"))
 
 
 @query("""select o_orderkey, least(o_totalprice, nullif(c_acctbal, 0)) as plot, case when c_acctbal < o_totalprice then 'walk' else 'net' end as choice from orders join customer on o_custkey = c_custkey""")
