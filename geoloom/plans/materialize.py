@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(spark.sparkContext, "_geoloom_dir", None)
         if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
+            own = tempfile.mkdtemp(prefix="geoloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = f"file://{own}"
             spark.sparkContext._geoloom_dir = found
     return found.rstrip("/")
 
