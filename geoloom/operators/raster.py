@@ -52,3 +52,34 @@ def kappa(flags: DataFrame) -> DataFrame:
     a, b = F.avg("a"), F.avg("b")
     e = a * b + (1 - a) * (1 - b)
     return flags.agg(F.when(e < 1, (p - e) / (1 - e)).alias("kappa"), n.alias("n"))
+
+
+def cost_edges(cells: DataFrame) -> DataFrame:
+    """(u, v, cost) between the 8 neighbours of a friction surface: the mean of
+    both values times the step's length; nodes are "cx:cy". Feed it to
+    shortest_paths for travel cost over a surface."""
+    name = lambda a, b: F.concat_ws(":", a, b)
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    sent = cells.withColumn("_s", F.explode(steps)).select(
+        name("cx", "cy").alias("u"), F.col("value").alias("_from"), (F.col("cx") + F.col("_s.a")).alias("cx"), (F.col("cy") + F.col("_s.b")).alias("cy"),
+        F.when((F.col("_s.a") != 0) & (F.col("_s.b") != 0), F.sqrt(F.lit(2.0))).otherwise(1.0).alias("_far"),
+    )
+    met = sent.join(cells, ["cx", "cy"])
+    return met.select("u", name("cx", "cy").alias("v"), ((F.col("_from") + F.col("value")) / 2 * F.col("_far")).alias("cost"))
+
+
+def expansion_index(old: DataFrame, new: DataFrame, radius: int = 1) -> DataFrame:
+    """(patch, ring, lei): for each patch of new(patch, cx, cy), the cells of the
+    ring within ``radius`` of it and the percentage of them in old(cx, cy)."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    near = new.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
+    near = near.select("patch", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy")).distinct()
+    ring = near.join(new.select("patch", "cx", "cy").distinct(), ["patch", "cx", "cy"], "left_anti")
+    hit = ring.join(old.select("cx", "cy").distinct().withColumn("_old", F.lit(1)), ["cx", "cy"], "left")
+    return hit.groupBy("patch").agg(F.count(F.lit(1)).alias("ring"), (100 * F.count("_old") / F.count(F.lit(1))).alias("lei"))
+
+
+def first_return(cells: DataFrame, years: list[int]) -> DataFrame:
+    """``cells`` with first_return: the smallest of the columns y<year> whose value lies between 0 and 100; 0 without one."""
+    hit = F.coalesce(*(F.when((F.col(f"y{y}") > 0) & (F.col(f"y{y}") < 100), y) for y in sorted(years)), F.lit(0))
+    return cells.withColumn("first_return", hit)

@@ -126,3 +126,23 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int =
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("q_id").orderBy("dist", "e_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_id", "e_id", "rank")
+
+
+def segment_crossings(segments: DataFrame, size: float) -> DataFrame:
+    """(a_id, b_id, x, y): where segments(id, x1, y1, x2, y2) cross or touch, each
+    pair once; parallel ones are left out.
+
+    Segments are dealt to the cells of their bounding boxes and meet there."""
+    low, high = lambda c: F.least(f"{c}1", f"{c}2"), lambda c: F.greatest(f"{c}1", f"{c}2")
+    dealt = segments.withColumn("_cx", F.explode(F.sequence(cell(low("x"), size), cell(high("x"), size))))
+    dealt = dealt.withColumn("_cy", F.explode(F.sequence(cell(low("y"), size), cell(high("y"), size))))
+    a = dealt.select("_cx", "_cy", *(F.col(c).alias(f"a_{c}") for c in segments.columns))
+    b = dealt.select("_cx", "_cy", *(F.col(c).alias(f"b_{c}") for c in segments.columns))
+    met = a.join(b, ["_cx", "_cy"]).filter("a_id < b_id").drop("_cx", "_cy").distinct()
+    c = F.col
+    dx, dy, ex, ey = c("a_x2") - c("a_x1"), c("a_y2") - c("a_y1"), c("b_x2") - c("b_x1"), c("b_y2") - c("b_y1")
+    cross = dx * ey - dy * ex
+    gx, gy = c("b_x1") - c("a_x1"), c("b_y1") - c("a_y1")
+    t, s = (gx * ey - gy * ex) / F.nullif(cross, F.lit(0.0)), (gx * dy - gy * dx) / F.nullif(cross, F.lit(0.0))
+    hit = met.withColumns({"_t": t, "_s": s}).filter("_t between 0 and 1 and _s between 0 and 1")
+    return hit.select("a_id", "b_id", (c("a_x1") + c("_t") * dx).alias("x"), (c("a_y1") + c("_t") * dy).alias("y"))

@@ -185,3 +185,24 @@ def test_close_nodes_merge_and_networks_join(spark):
     other = spark.createDataFrame([(1, 5.0, 5.5), (2, 90.0, 90.0)], "node long, x double, y double")
     glued = graph.join_networks(nodes, edges, other, edges.limit(0), 1.0, 2.0).filter("kind = 'glue'").collect()
     assert sorted((r["u"], r["v"], r["length"]) for r in glued) == [("3", "add_1", 0.5), ("add_1", "3", 0.5)]
+
+
+def test_travel_cost_over_a_surface(spark):
+    cells = [(x, y, 1.0 if x != 1 or y == 2 else 50.0) for x in range(3) for y in range(3)]
+    edges = raster.cost_edges(spark.createDataFrame(cells, "cx long, cy long, value double"))
+    cost = {r["node"]: r["cost"] for r in routing.shortest_paths(edges, spark.createDataFrame([("0:0",)], "o string")).collect()}
+    assert cost["2:0"] == pytest.approx(2 + 2 * 2**0.5) and len(cost) == 9
+
+
+def test_expansion_and_first_return(spark):
+    old = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "cx long, cy long")
+    new = spark.createDataFrame([(1, 1, 1), (2, 9, 9)], "patch int, cx long, cy long")
+    assert {r["patch"]: (r["ring"], r["lei"]) for r in raster.expansion_index(old, new).collect()} == {1: (8, 37.5), 2: (8, 0.0)}
+    df = spark.createDataFrame([(0.0, 5.0), (0.0, 120.0), (3.0, 5.0)], "y5 double, y50 double")
+    assert [r["first_return"] for r in raster.first_return(df, [50, 5]).collect()] == [50, 0, 5]
+
+
+def test_segments_cross_once(spark):
+    rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 10.0, 10.0, 0.0), (3, 20.0, 0.0, 30.0, 0.0), (4, 0.0, 1.0, 10.0, 11.0)]
+    out = spatial.segment_crossings(spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double"), 3.0).collect()
+    assert sorted((r["a_id"], r["b_id"], round(r["x"], 6), round(r["y"], 6)) for r in out) == [(1, 2, 5.0, 5.0), (2, 4, 4.5, 5.5)]
