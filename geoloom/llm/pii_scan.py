@@ -7,9 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from geoloom.llm.common import Span, map_rows, sha256, span_list
+from geoloom.llm.common import Span, hashed_share, map_rows, sha256, span_list
 
 # Fixed values of the base rules.
 KINDS = ("email", "ip", "card", "phone")
@@ -181,11 +180,10 @@ def _label(span: Span, base: list[Span]) -> int:
     return next((LABELS.index(k) for k, a, b in base if a <= span[1] and span[2] <= b or span[1] <= a and b <= span[2]), 0)
 
 
-def train_field(docs: DataFrame, sample: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
-    """Node weights learnt from the tokens of at most ``sample`` documents (those
-    with the smallest hashed ids among the ones that hold a digit or an @),
-    labelled by the base rules. Only their features reach the driver."""
-    ids = docs.filter(F.col(text_col).rlike("[0-9@]")).select(id_col).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
+def train_field(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
+    """Node weights learnt from the tokens of about ``sample`` documents (chosen
+    by their hashed ids; all, if there are no more), labelled by the base rules.
+    Only the distinct features of those tokens reach the driver, with counts."""
 
     def fn(_: list, texts: list) -> dict:
         x, y = [], []
@@ -197,13 +195,13 @@ def train_field(docs: DataFrame, sample: int = 2_000, id_col: str = "doc_id", te
                 y.append(_label(t, base))
         return {"x": x, "y": y}
 
-    chosen = docs.select(id_col, text_col).join(F.broadcast(ids.distinct()), id_col, "left_semi")
+    chosen = hashed_share(docs.select(id_col, text_col), id_col, sample)
     found = map_rows(chosen, [id_col, text_col], fn, "x array<double>, y int").groupBy("x", "y").count().orderBy("y", "x").collect()
     return fit_weights([(r["x"], r["y"]) for r in found for _ in range(min(50, r["count"]))])
 
 
 def scan_pii(
-    docs: DataFrame, sample: int = 2_000, chain: float = 0.3, skip: float = 2.0, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, sample: int = 20_000, chain: float = 0.3, skip: float = 2.0, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: id, ``base`` and ``extra`` spans (kind, start, end; code points).
 
