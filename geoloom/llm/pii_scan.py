@@ -180,24 +180,26 @@ def _label(span: Span, base: list[Span]) -> int:
     return next((LABELS.index(k) for k, a, b in base if a <= span[1] and span[2] <= b or span[1] <= a and b <= span[2]), 0)
 
 
-def train_field(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
+def train_field(docs: DataFrame, sample: int = 20_000, most: int = 50, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
     """Node weights learnt from the tokens of about ``sample`` documents (chosen
     by their hashed ids; all, if there are no more), labelled by the base rules.
-    Only the distinct features of those tokens reach the driver, with counts."""
+    Every token of those texts takes part; equal features with an equal label
+    weigh as their number, but no more than ``most``, so that one common form
+    doesn't outweigh the rest. Only the distinct features reach the driver."""
 
     def fn(_: list, texts: list) -> dict:
         x, y = [], []
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            for t in tokens(text)[:200]:
+            for t in tokens(text):
                 x.append([float(v) for v in features(t[0], text[max(0, t[1] - 24) : t[1]])])
                 y.append(_label(t, base))
         return {"x": x, "y": y}
 
     chosen = hashed_share(docs.select(id_col, text_col), id_col, sample)
     found = map_rows(chosen, [id_col, text_col], fn, "x array<double>, y int").groupBy("x", "y").count().orderBy("y", "x").collect()
-    return fit_weights([(r["x"], r["y"]) for r in found for _ in range(min(50, r["count"]))])
+    return fit_weights([(r["x"], r["y"]) for r in found for _ in range(min(most, r["count"]))])
 
 
 def scan_pii(
@@ -213,7 +215,7 @@ def scan_pii(
     A null text is empty; an empty table gives an empty one; repeated rows give
     repeated results; other columns are not read. No shuffle of texts.
     """
-    weights = train_field(docs, sample, id_col, text_col)
+    weights = train_field(docs, sample, id_col=id_col, text_col=text_col)
 
     def fn(ids: list, texts: list) -> dict:
         w = np.array(weights)

@@ -364,6 +364,15 @@ def test_far_repeats_share_their_label(spark):
     assert not any(out[i]["extra"] for i in range(60))
 
 
+def test_training_reads_the_whole_of_long_texts(spark):
+    from geoloom.llm.pii_scan import train_field
+
+    filler = " ".join(f"{1000 + i};" for i in range(250))
+    plain, planted = ([(1, filler + end)] for end in ("", " mail ann@example.com"))
+    fit = lambda rows: train_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert fit(plain) != fit(planted)
+
+
 def test_urls(spark, sf, duck):
     pages = spark.createDataFrame(
         [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Net/x?q#f"), (5, "http://net"), (6, "ftp://x.EXAMPLE.net/en/a"), (7, "http://my.org/fr/"), (8, "x://y://casino.com/p/"), (9, "https://www.casino.com/p?x"), (9, "https://www.casino.com/p?x"), (10, "http://m.casino.com/p/index.html")],
