@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import deque
 
 from pyspark.sql import DataFrame
 
 from geoloom.llm.common import map_rows
 
-# Elements without content, without text for a reader, that make blocks, and that close an open paragraph.
+# Elements without content, whose content is no markup, without text for a reader, that make no blocks, and that close an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select option button".split())
+_RAW = frozenset("script style textarea title iframe".split())
+_MUTE = _RAW | frozenset("noscript template svg math object select option button".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
+# What ends a mute element that has no end tag of its own, if its parent doesn't end before.
+_BREAKS = _ENDS_P | frozenset("body li dt dd tr td th".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # What the names of elements say about their text.
 _POOR = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|cookie\w*|consent|gdpr|notice|"
@@ -38,6 +43,38 @@ COSTS = {"poor": 6.0, "rich": 2.5, "prose": 1.2, "heading": 0.4, "links": 2.0, "
 SMOOTH_NEXT, SMOOTH_PARENT = 0.6, 0.4
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an attribute hides the element: ``hidden``, aria-hidden="true" or such a style."""
+    if not re.search("hidden|display", attributes, re.I):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSHOWN.search(value)):
+            return True
+    return False
+
+
+class _Ends:
+    """Where the tags of a name lie in a page, and which start tags have an end tag of their own."""
+
+    def __init__(self, page: str, tag: str):
+        self.stops: list[tuple[int, int]] = []
+        self.paired: set[int] = set()
+        opened: list[int] = []
+        for m in re.finditer(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", page, re.I):
+            if not m[1]:
+                opened.append(m.start())
+            else:
+                self.stops.append((m.start(), m.end()))
+                if opened:
+                    self.paired.add(opened.pop())
+
+    def after(self, at: int) -> int | None:
+        """Where the first end tag from ``at`` on stops."""
+        k = bisect_left(self.stops, (at, 0))
+        return self.stops[k][1] if k < len(self.stops) else None
+
+
 class Block:
     """A stretch of text between block boundaries, with what surrounds it."""
 
@@ -52,9 +89,12 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     """The blocks of a page with their text (white space folded, trimmed), none empty.
 
     Tags may be unclosed, misnested or cut off: an end tag closes up to its
-    start if that is open, a block element closes an open paragraph."""
+    start if that is open, a block element closes an open paragraph. The text of
+    mute elements is left out; one without an end tag of its own ends with its
+    parent, or before that at the next block element or element of its kind."""
     out: list[tuple[str, Block]] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, poor, rich, number
+    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # tag, poor, rich, number, place of the mute element around (0: none)
+    known: dict[str, _Ends] = {}
     count, at, links, now = 0, 0, 0, None
 
     def finish() -> None:
@@ -67,27 +107,35 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 
     def say(piece: str) -> None:
         nonlocal now
-        if piece:
+        if piece and not stack[-1][4]:
             if now is None:
                 if piece.isspace():
                     return
-                tag, poor, rich, _ = stack[-1]
+                _, poor, rich, _, _ = stack[-1]
                 now = Block(tuple(x[3] for x in stack if x[0] not in _INLINE), poor, rich, any(x[0] in ("h1", "h2", "h3", "h4") for x in stack))
             now.parts.append(piece)
             if links:
                 now.linked += len(piece)
 
-    def close(tag: str) -> None:
+    def leave(k: int) -> None:
         nonlocal links
+        for x in stack[k:]:
+            links -= x[0] == "a"
+            if x[0] not in _INLINE and not x[4]:
+                finish()
+        del stack[k:]
+
+    def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
-                for x in stack[k:]:
-                    links -= x[0] == "a"
-                    if x[0] not in _INLINE:
-                        finish()
-                del stack[k:]
+                leave(k)
                 return
 
+    def ends(tag: str) -> _Ends:
+        if tag not in known:
+            known[tag] = _Ends(page, tag)
+        return known[tag]
+
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -100,16 +148,35 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _ENDS_P or tag not in _INLINE:
+            if (tag in _ENDS_P or tag not in _INLINE) and not stack[-1][4]:
                 finish()
             close(tag)
             continue
-        if tag in _RAW:
-            if tag not in ("option", "select", "button", "svg", "math", "object", "template", "noscript"):
-                finish()
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = stop.end() if stop else end
+        whole = m[3].rstrip().endswith("/")
+        mute = stack[-1][4]
+        if mute and not whole and (tag in _BREAKS or tag == stack[mute][0]) and stack[mute][3] < 0:
+            leave(mute)
+            mute = 0
+        if tag in _MUTE:
+            if whole:
+                continue
+            if tag in _RAW:
+                if not mute:
+                    finish()
+                stop = ends(tag).after(at)
+                if stop is not None:
+                    at = stop
+                    continue
+            # The number of a mute element is negative if it has no end tag of its own.
+            count += 1
+            paired = m.start() in ends(tag).paired
+            stack.append((tag, *stack[-1][1:3], count if paired else -count, mute or len(stack)))
+            continue
+        if mute:
+            if tag not in _VOID and not whole:
+                count += 1
+                links += tag == "a"
+                stack.append((tag, *stack[-1][1:3], count, mute))
             continue
         if tag not in _INLINE:
             finish()
@@ -122,18 +189,18 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                 if stack[k][0] == tag:
                     close(tag)
                     break
-        if tag in _VOID or m[3].rstrip().endswith("/"):
+        if tag in _VOID or whole:
             continue
         names = " ".join(x[0] or x[1] or x[2] for x in _NAME.findall(m[3])) if m[3] else ""
-        _, poor, rich, _ = stack[-1]
+        _, poor, rich, _, _ = stack[-1]
         header = tag == "header" and any(x[0] in _RICH_TAGS for x in stack)  # an article's own header holds its title
-        if (tag in _POOR_TAGS and not header) or (names and tag not in ("body", "html", "article", "main") and _POOR.search(names)) or (m[3] and _HIDDEN.search(m[3])):
+        if (tag in _POOR_TAGS and not header) or (names and tag not in ("body", "html", "article", "main") and _POOR.search(names)) or (m[3] and hidden(m[3])):
             poor = True
         if tag in _RICH_TAGS or (names and tag in ("div", "section") and _RICH.search(names)):
             rich = True
         count += 1
         links += tag == "a"
-        stack.append((tag, poor, rich, count))
+        stack.append((tag, poor, rich, count, 0))
     finish()
     return out
 

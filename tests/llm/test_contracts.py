@@ -454,6 +454,24 @@ def test_main_text_of_other_layouts():
         assert isinstance(main_text(broken), str)
 
 
+def test_unclosed_mute_elements_and_words_like_hidden_lose_no_text():
+    from geoloom.llm.html_extract import main_text
+
+    prose = "This is the only paragraph of the article, and it is long enough to be prose."
+    article = f"<article><p>{prose}</p></article>"
+    for before in (
+        "<datalist><option value=a>A<option value=b>B</datalist>", "<div><button>Go</div>", "<button>Go", "<div><svg><path d=x></div>", "<object data=x>", "<noscript><img src=x>",
+        "<math><mi>x", "<template><b>x</b>", "<select><option>One<option>Two", "<head><title>Site</head>", "<head><script>var x = 1;</head>",
+    ):
+        assert main_text(f"<body>{before}{article}</body>") == prose, before
+        assert main_text(f"<body>{before}{article}<p><button>Ok</button><object>x</object><select><option>1</option></select></p></body>") == prose, before
+    for attribute in ('style="overflow:hidden"', 'title="the hidden path"', "data-x='a hidden b'", 'alt="display: none"'):
+        assert main_text(article.replace("<article", f"<article {attribute}")) == prose, attribute
+    for attribute in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"'):
+        assert main_text(article.replace("<article", f"<article {attribute}")) == "", attribute
+    assert main_text(article.replace("only", "<svg><g><a>no</a></g></svg>on<button><div>no</div></button>ly<noscript><p>no</p></noscript>")) == prose
+
+
 def test_min_cut_is_minimal():
     import itertools
     import random
