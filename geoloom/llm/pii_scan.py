@@ -71,6 +71,8 @@ LABELS = ("none", *KINDS)
 _TOKEN = re.compile(r"\+?\(?[0-9](?:[0-9().-]|\x20(?=[(0-9]))*[0-9]|[^\s@]+@[^\s@]+")
 _HINTS = re.compile(r"(?i:mail|tel|phone|call|fax|card|visa|account|ip|host|server)\W*\Z", re.A)
 FEATURES = 16
+# Log-odds of the label of a token that a base rule has found.
+_CERTAIN = 20.0
 _EDGES = r"\"'<>()[]{},;:!?"
 
 
@@ -155,19 +157,41 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], tie: list[float],
     return belief - np.logaddexp.reduce(belief, axis=1, keepdims=True)
 
 
-def field_spans(text: str, weights: np.ndarray, chain: float, skip: float, floor: float) -> list[Span]:
-    """Spans of tokens whose most likely label is an entity with probability ``floor``."""
+def certain(found: list[Span], base: list[Span]) -> dict[str, tuple[int, int]]:
+    """The first token that a base rule labels, and its label, by skip key. Addresses
+    of hosts are left out: their digits grouped in another way are no repeat."""
+    known: dict[str, tuple[int, int]] = {}
+    for i, t in enumerate(found) if base else ():
+        k = _label(t, base)
+        if k and LABELS[k] != "ip":
+            known.setdefault(skip_key(t[0]), (i, k))
+    return known
+
+
+def field_spans(text: str, weights: np.ndarray, chain: float, skip: float, floor: float, base: list[Span] = [], repeat: float = 8.0) -> list[Span]:  # noqa: B006
+    """Spans of tokens whose most likely label is an entity with probability ``floor``.
+
+    A token inside one of the ``base`` spans has that label for certain; every
+    repeat of it is tied to it by ``repeat``, other repeats one to the next by
+    ``skip``."""
     found = tokens(text)
     if not found:
         return []
     unary = np.array([features(s, text[max(0, a - 24) : a]) for s, a, _ in found], float) @ weights.T
+    known = certain(found, base)
+    for i, k in known.values():
+        unary[i] = _CERTAIN * (np.arange(len(LABELS)) == k)
     edges, tie, last = [], [], {}
     for i, (s, a, _) in enumerate(found):
         if i and a - found[i - 1][2] <= 3:  # next to each other in the text
             edges.append((i - 1, i))
             tie.append(chain)
         key = skip_key(s)
-        if key in last:  # the occurrences of a key form a chain, not all pairs
+        if key in known:
+            if i != known[key][0]:
+                edges.append((known[key][0], i))
+                tie.append(repeat)
+        elif key in last:  # the occurrences of a key form a chain, not all pairs
             edges.append((last[key], i))
             tie.append(skip)
         last[key] = i
@@ -185,16 +209,22 @@ def train_field(docs: DataFrame, sample: int = 20_000, most: int = 50, id_col: s
     by their hashed ids; all, if there are no more), labelled by the base rules.
     Every token of those texts takes part; equal features with an equal label
     weigh as their number, but no more than ``most``, so that one common form
-    doesn't outweigh the rest. Only the distinct features reach the driver."""
+    doesn't outweigh the rest. A token that no base rule labels but that repeats
+    one which is labelled is held out: it is what the field is to find. Only the
+    distinct features reach the driver."""
 
     def fn(_: list, texts: list) -> dict:
         x, y = [], []
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            for t in tokens(text):
-                x.append([float(v) for v in features(t[0], text[max(0, t[1] - 24) : t[1]])])
-                y.append(_label(t, base))
+            found = tokens(text)
+            known = certain(found, base)
+            for t in found:
+                k = _label(t, base)
+                if k or skip_key(t[0]) not in known:
+                    x.append([float(v) for v in features(t[0], text[max(0, t[1] - 24) : t[1]])])
+                    y.append(k)
         return {"x": x, "y": y}
 
     chosen = hashed_share(docs.select(id_col, text_col), id_col, sample)
@@ -203,14 +233,16 @@ def train_field(docs: DataFrame, sample: int = 20_000, most: int = 50, id_col: s
 
 
 def scan_pii(
-    docs: DataFrame, sample: int = 20_000, chain: float = 0.3, skip: float = 2.0, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, sample: int = 20_000, chain: float = 0.3, skip: float = 2.0, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text", repeat: float = 8.0
 ) -> DataFrame:
     """Per row: id, ``base`` and ``extra`` spans (kind, start, end; code points).
 
     ``base`` follows the four base rules. ``extra`` comes from a skip-chain
     random field over the tokens that hold an @ or four digits: neighbouring
     tokens and repeated or similar tokens, however far apart, favour one label,
-    and loopy message passing settles the labels of the whole document; a token
+    and loopy message passing settles the labels of the whole document. Repeats
+    of an e-mail address, card or phone of a base span are tied to it by
+    ``repeat``, which outweighs the floor and much evidence of their own. A token
     outside every base span whose label has probability ``floor`` is reported.
     A null text is empty; an empty table gives an empty one; repeated rows give
     repeated results; other columns are not read. No shuffle of texts.
@@ -223,7 +255,7 @@ def scan_pii(
         for text in texts:
             text = text or ""
             base = base_spans(text) if re.search("[0-9@]", text) else []
-            extra = field_spans(text, w, chain, skip, floor) if base or re.search("[0-9]{4}|@", text) else []
+            extra = field_spans(text, w, chain, skip, floor, base, repeat) if base or re.search("[0-9]{4}|@", text) else []
             extra = [x for x in extra if not any(x[1] < b and a < x[2] for _, a, b in base)]
             for name, spans in (("base", base), ("extra", extra)):
                 out[name].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])

@@ -364,6 +364,23 @@ def test_far_repeats_share_their_label(spark):
     assert not any(out[i]["extra"] for i in range(60))
 
 
+def test_far_repeats_of_known_entities_are_found(spark):
+    from geoloom.llm.pii_scan import scan_pii
+
+    # Plain numbers of eleven digits are common in these texts, so a repeat's own evidence is against it.
+    rows = [(i, f"call +1 ({200 + i}) 555-0{100 + i} now or write a{i}@b.org, order {10_000_000_000 + 7919 * i} of 4111 1111 1111 1111") for i in range(60)]
+    filler = "words " * 50
+    rows.append((999, f"call +1 (777) 555-0199 today. {filler}again 17775550199 was given. {filler}and 1 777 555 0199 too, not 17775550198."))
+    rows.append((998, f"17775550199 was given before. {filler} call +1 (777) 555-0199 today."))
+    rows.append((997, f"from 10.20.30.40 there came {filler} 10203040 orders"))
+    out = {r["doc_id"]: r for r in scan_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    found = lambda d: [(s["kind"], texts[d][s["start"] : s["end"]]) for s in out[d]["extra"]]
+    assert found(999) == [("phone", "17775550199"), ("phone", "1 777 555 0199")]
+    assert found(998) == [("phone", "17775550199")]
+    assert not any(out[i]["extra"] for i in [*range(60), 997])
+
+
 def test_training_reads_the_whole_of_long_texts(spark):
     from geoloom.llm.pii_scan import train_field
 
