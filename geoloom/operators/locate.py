@@ -54,44 +54,59 @@ def _best_of_all(od: DataFrame, sites: list, p: int) -> list:
     return [d for k, d in choices if k == best["k"]]
 
 
-def p_median(od: DataFrame, p: int, rounds: int = 20, most_choices: int = 5_000) -> DataFrame:
+def _gains(od: DataFrame, kept: list) -> DataFrame:
+    """(d, new, more): what each site outside ``kept`` adds to it: origins served
+    for the first time, and cost (theirs, less what the others save)."""
+    now = od.filter(F.col("d").isin(kept)).groupBy("o").agg(F.min("c").alias("best"))
+    own = od.filter(~F.col("d").isin(kept)).join(now, "o", "left")
+    more = F.when(F.col("best").isNull(), F.col("c")).otherwise(F.least("best", "c") - F.col("best"))
+    return own.groupBy("d").agg(F.sum(F.col("best").isNull().cast("long")).alias("new"), F.sum(more).alias("more"))
+
+
+def _value(od: DataFrame, sites: list) -> tuple[int, float]:
+    """Origins served by the sites, and their cost."""
+    row = od.filter(F.col("d").isin(sites)).groupBy("o").agg(F.min("c").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).first()
+    return row["n"], row["c"] or 0.0
+
+
+def p_median(od: DataFrame, p: int, rounds: int | None = None, most_choices: int = 5_000) -> DataFrame:
     """(d): p facilities with a small sum of w_o * cost to the nearest.
 
-    Up to ``most_choices`` choices of sites are all priced, in one grouped join,
-    and the best taken (ties: the first in order). Beyond that greedy choice is
-    followed by exchange until no swap helps; every candidate swap of a round is
-    priced in one grouped pass over the table."""
+    Sets that serve more origins come before sets that serve fewer, then the
+    cheaper. Up to ``most_choices`` choices of sites are all priced, in one
+    grouped join, and the best taken (ties: the first in order). Beyond that
+    greedy choice is followed by exchange until no swap helps (or for ``rounds``
+    rounds, if given); the swaps of a site are priced in one grouped pass over
+    the table."""
     spark = od.sparkSession
-    od = materialize(od.filter("cost is not null").select("o", "d", "w_o", (F.col("cost") * F.col("w_o")).alias("c")), "median")
+    od = od.filter("cost is not null").select("o", "d", (F.col("cost") * F.col("w_o")).alias("c"))
+    od = materialize(od.groupBy("o", "d").agg(F.min("c").alias("c")), "median")
     n = od.select("d").distinct().count()
     if n >= p and comb(n, p) <= most_choices:
         sites = sorted(r["d"] for r in od.select("d").distinct().collect())
         return spark.createDataFrame([(x,) for x in _best_of_all(od, sites, p)], f"d {dict(od.dtypes)['d']}")
+    order = (F.desc("new"), F.round("more", 9), "d")
     chosen: list = []
     for _ in range(p):
-        if chosen:
-            now = od.filter(F.col("d").isin(chosen)).groupBy("o").agg(F.min("c").alias("best"))
-            gain = od.join(now, "o").groupBy("d").agg(F.sum(F.greatest(F.col("best") - F.col("c"), F.lit(0.0))).alias("score"))
-        else:
-            gain = od.groupBy("d").agg((-F.sum("c")).alias("score"))
-        best = _pick(gain.filter(~F.col("d").isin(chosen)) if chosen else gain)
+        best = _gains(od, chosen).orderBy(*order).first()
         if best is None:
             break
         chosen.append(best["d"])
-    for _ in range(rounds):
-        cost = {}
+    done = 0
+    while chosen and (rounds is None or done < rounds):
+        done += 1
+        served, cost = _value(od, chosen)
+        swaps = []
         for gone in chosen:
             kept = [x for x in chosen if x != gone]
-            rest = od.filter(F.col("d").isin(kept)).groupBy("o").agg(F.min("c").alias("best")) if kept else od.groupBy("o").agg(F.lit(float("inf")).alias("best"))
-            priced = od.filter(~F.col("d").isin(kept)).join(rest, "o").groupBy("d").agg((-F.sum(F.least("best", "c"))).alias("score"))
-            top = _pick(priced)
+            top = _gains(od, kept).filter(F.col("d") != F.lit(gone)).orderBy(*order).first()
             if top is not None:
-                cost[gone] = (-top["score"], top["d"])
-        if not cost:
+                n_kept, c_kept = _value(od, kept)
+                swaps.append((-(n_kept + top["new"]), c_kept + top["more"], gone, top["d"]))
+        if not swaps:
             break
-        gone = min(cost, key=lambda g: (cost[g][0], g))
-        own = od.filter(F.col("d").isin(chosen)).groupBy("o").agg(F.min("c").alias("best")).agg(F.sum("best")).first()[0]
-        if cost[gone][0] >= own - 1e-9 or cost[gone][1] == gone:
+        left, price, gone, come = min(swaps)
+        if (left, price) >= (-served, cost - 1e-9 * max(1.0, abs(cost))):
             break
-        chosen[chosen.index(gone)] = cost[gone][1]
+        chosen[chosen.index(gone)] = come
     return spark.createDataFrame([(x,) for x in sorted(chosen)], f"d {dict(od.dtypes)['d']}")

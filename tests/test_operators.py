@@ -123,6 +123,23 @@ def test_p_median_is_optimal_on_a_small_case(spark):
     assert value([r["d"] for r in locate.p_median(od, 3, most_choices=0).collect()]) <= 1.15 * least
 
 
+def test_p_median_serves_most_origins_in_both_branches(spark):
+    rng = random.Random(3)
+    rows = [(o, d, 1.0 + rng.random() * 20, 1.0 + o % 3) for o in range(18) for d in range(8) if (o * 5 + d * 3) % 7 < 3]
+    rows.append((99, 8, 0.0, 1.0))  # a site that only its own place reaches, at no cost
+    cost = {(o, d): c * w for o, d, c, w in rows}
+
+    def value(sites):
+        best = [min(own) for o in {r[0] for r in rows} if (own := [cost[o, d] for d in sites if (o, d) in cost])]
+        return -len(best), sum(best)
+
+    od = spark.createDataFrame(rows, "o int, d int, cost double, w_o double")
+    served, least = min(value(s) for s in itertools.combinations(range(9), 3))
+    exact, swapped = (value([r["d"] for r in locate.p_median(od, 3, most_choices=k).collect()]) for k in (5_000, 0))
+    assert exact == (served, pytest.approx(least))
+    assert swapped[0] == served and swapped[1] <= 1.15 * least
+
+
 def test_cover_reaches_its_share(spark):
     rows = [(o, d, float(abs(o - 4 * d)), 1.0) for o in range(20) for d in range(5)]
     od = spark.createDataFrame(rows, "o int, d int, cost double, w_o double")
