@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import string
 
 from pyspark.sql import DataFrame
 
@@ -15,9 +16,13 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so the bound equals dropping the shorter ones
 
-# A random string is looked for in runs of these characters that mix letters and digits.
+# A random string is looked for in runs of these characters: in the whole run if it mixes letters and digits,
+# is letters alone, or is letters and signs whose case changes within a word; else in its long stretches of letters.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+_CASES = re.compile(r"[^0-9]*[a-z][A-Z][^0-9]*")
+_LETTERS = re.compile(r"[A-Za-z]{16,}")
+_ALPHABET = string.ascii_lowercase * 2
 # Known digests and identifiers: hexadecimal digests of the usual lengths (also with
 # the algorithm's name), UUIDs, and dates or version numbers with words around them.
 _DIGEST = re.compile(
@@ -50,15 +55,22 @@ def base_spans(text: str) -> list[Span]:
 
 
 def random_spans(text: str, encoding, ratio: float) -> list[Span]:
-    """Runs whose characters per token fall below ``ratio`` and that are no
-    known digest or identifier."""
+    """Runs, or stretches of 16 or more letters in them, whose characters per
+    token fall below ``ratio`` and that are no known digest, identifier or alphabet."""
+
+    def random(s: str) -> bool:
+        return s.lower() not in _ALPHABET and len(s) < ratio * len(encoding.encode_ordinary(s))
+
     found: list[Span] = []
     for m in _RUN.finditer(text):
         s = m[0]
-        if not _MIXED.match(s) or _DIGEST.fullmatch(s) or _WORDY.fullmatch(s):
+        if s.isdigit() or _DIGEST.fullmatch(s):
             continue
-        if len(s) < ratio * len(encoding.encode_ordinary(s)):
+        whole = s.isalpha() or (not _WORDY.fullmatch(s) if _MIXED.match(s) else _CASES.fullmatch(s))
+        if whole and random(s):
             found.append(("random", m.start(), m.end()))
+        elif not s.isalpha():
+            found += [("random", m.start() + x.start(), m.start() + x.end()) for x in _LETTERS.finditer(s) if random(x[0])]
     return found
 
 
@@ -68,9 +80,12 @@ def scan_secrets(
     """Per row: id, ``spans`` (list of kind, start, end; code points, end exclusive).
 
     Kinds assign, access and hex follow the base rules; kind random holds runs
-    of 16 or more characters mixing letters and digits whose ratio of
-    characters to tokens is below ``ratio``, unless they lie inside a base span
-    or are a known digest, a UUID or words and short numbers in a row. A null
+    of 16 or more characters whose ratio of characters to tokens is below
+    ``ratio``: runs mixing letters and digits, of letters alone, of letters and
+    signs with changes of case within a word, and stretches of 16 or more
+    letters within other runs; unless they lie inside a base span or are a known
+    digest, a UUID, an alphabet or words and short numbers in a row. Numbers
+    alone are none: they have about three digits a token however random. A null
     text is empty; an empty table gives an empty one; repeated rows give
     repeated results; other columns are not read. One narrow pass: no shuffle.
     """

@@ -125,6 +125,26 @@ def test_random_strings_but_no_identifiers():
         assert random_spans(fine, enc, 2.0) == []
 
 
+def test_random_strings_of_letters_alone():
+    import random
+    import string
+
+    from geoloom.llm.secret_scan import encoder, random_spans
+
+    enc, rng = encoder("byte_bpe_50k.tiktoken"), random.Random(5)
+    for n in (16, 20, 64):
+        drawn = ["".join(rng.choice(string.ascii_letters) for _ in range(n)) for _ in range(200)]
+        assert sum(random_spans(f"the {s} is", enc, 2.0) == [("random", 4, 4 + n)] for s in drawn) >= 195
+    assert random_spans("pass xqzjvkwpbnmtrhgd", enc, 2.0) == [("random", 5, 21)]
+    assert random_spans("name key-xqzjvkwpbnmtrhgd-2024", enc, 2.0) == [("random", 9, 25)]
+    assert random_spans("in qWxZkPvB/nMtRhGdLb end", enc, 2.0) == [("random", 3, 21)]
+    for fine in (
+        "internationalization", "Donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean", "path/to/some/file/of/mine", "a/b/c/d/e/f/g/h/i/j/k/l",
+        string.ascii_lowercase, string.ascii_uppercase, "=" * 40, "1234567890" * 3,
+    ):
+        assert random_spans(fine, enc, 2.0) == [], fine
+
+
 def test_simhash(docs):
     from geoloom.llm.simhash import simhash_groups
 
