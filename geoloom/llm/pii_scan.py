@@ -254,8 +254,9 @@ def scan_pii(
         out: dict[str, list] = defaultdict(list)
         for text in texts:
             text = text or ""
-            base = base_spans(text) if re.search("[0-9@]", text) else []
-            extra = field_spans(text, w, chain, skip, floor, base, repeat) if base or re.search("[0-9]{4}|@", text) else []
+            some = re.search("[0-9@]", text)  # without, there is neither a base span nor a token
+            base = base_spans(text) if some else []
+            extra = field_spans(text, w, chain, skip, floor, base, repeat) if some else []
             extra = [x for x in extra if not any(x[1] < b and a < x[2] for _, a, b in base)]
             for name, spans in (("base", base), ("extra", extra)):
                 out[name].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])

@@ -401,6 +401,16 @@ def test_far_repeats_of_known_entities_are_found(spark):
     assert not any(out[i]["extra"] for i in [*range(60), 997])
 
 
+def test_grouped_digits_are_labelled_in_any_text_and_spans_far_into_one_are_found(spark):
+    from geoloom.llm.pii_scan import scan_pii
+
+    rows = [(i, f"call +12 34 56 78 9{i % 10} {i // 10}") for i in range(60)]
+    rows += [(998, "call 98 76 54 32 10 9"), (999, "words " * 5_000 + "mail ann@example.com")]
+    out = {r["doc_id"]: r for r in scan_pii(spark.createDataFrame(rows, "doc_id long, text string"), floor=0.5).collect()}
+    assert [tuple(s) for s in out[998]["extra"]] == [("phone", 5, 21)] and out[998]["base"] == []
+    assert [tuple(s) for s in out[999]["base"]] == [("email", 30_005, 30_020)]
+
+
 def test_training_reads_the_whole_of_long_texts(spark):
     from geoloom.llm.pii_scan import train_field
 
