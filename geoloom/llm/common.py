@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -58,9 +60,49 @@ def hashed_share(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) < int(parts * rows / n))
 
 
+def hidden(df: DataFrame) -> DataFrame:
+    """``df`` with its columns renamed to in0, in1, ... by place, so that no name of
+    an input, not even a repeated one, can clash with an operator's own columns."""
+    return df.toDF(*(f"in{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name that :func:`hidden` gives to a column."""
+    return f"in{df.columns.index(name)}"
+
+
+def shown(work: DataFrame, df: DataFrame, **added: Column) -> DataFrame:
+    """The columns of ``df`` from ``work`` (made of ``hidden(df)``) under their own
+    names, with ``added`` at the end; an input column named like an added one
+    gives way to it."""
+    new = {a.lower() for a in added}
+    own = [F.col(f"in{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in new]
+    return work.select(*own, *(v.alias(k) for k, v in added.items()))
+
+
 Span = tuple[str, int, int]
 
 
+class Overlaps:
+    """Spans (name, start, end) by where they lie, for questions about a stretch of the text."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted(spans, key=lambda s: (s[1], s[2]))
+        self.starts = [s[1] for s in self.spans]
+        self.ends = list(accumulate((s[2] for s in self.spans), max))  # the furthest end so far
+
+    def over(self, a: int, b: int) -> Iterator[Span]:
+        """The spans that overlap [a, b), from the right."""
+        k = bisect_left(self.starts, b) - 1
+        while k >= 0 and self.ends[k] > a:
+            if self.spans[k][2] > a:
+                yield self.spans[k]
+            k -= 1
+
+    def any(self, a: int, b: int) -> bool:
+        return next(self.over(a, b), None) is not None
+
+
 def span_list(spans: list[Span], kinds: tuple[str, ...]) -> str:
     """kind:start:end, by start, then kind in the order of ``kinds``, then end."""
     order = {k: i for i, k in enumerate(kinds)}

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import string
 import uuid
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
-from geoloom.llm.common import ROWS
-from geoloom.plans.materialize import ship_package
+from geoloom.llm.common import ROWS, hidden, map_rows, place, shown
+from geoloom.plans.materialize import broadcast_if_small, materialize, ship_package
 
 # BM25 parameters, items of a block at least, blocks at most, and blocks of a coarse block.
 K1, B, BLOCK, MOST_BLOCKS, COARSE = 1.2, 0.75, 2, 128, 4
@@ -43,17 +45,19 @@ class Index:
     impact of term t within block b, ``coarse[t, c]`` that within COARSE blocks.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], n: int | None = None, mean: float | None = None, longest: int | None = None, df: dict[str, int] | None = None):
+        """``n``, ``mean`` length, ``longest`` and document counts ``df`` are those of the
+        whole benchmark, where the items are but a part of it."""
         self.ids = [i for i, _ in items]
         words = [text.split() for _, text in items]
         terms = [[t for t in map(term, w) if t] for w in words]
         self.number = {t: k for k, t in enumerate(sorted({t for x in terms for t in x}))}
-        self.longest = max((len(w) for w in words), default=1)
-        n, mean = len(items), sum(map(len, terms)) / max(1, len(items)) or 1.0
-        df = Counter(t for x in terms for t in set(x))
-        self.size = max(BLOCK, -(-n // MOST_BLOCKS))
+        self.longest = longest or max((len(w) for w in words), default=1)
+        n, mean = n or len(items), mean or sum(map(len, terms)) / max(1, len(items)) or 1.0
+        df = df or Counter(t for x in terms for t in set(x))
+        self.size = max(BLOCK, -(-len(items) // MOST_BLOCKS))
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.number]
-        self.most = np.zeros((len(self.number) + 1, max(1, -(-n // self.size))), np.float32)
+        self.most = np.zeros((len(self.number) + 1, max(1, -(-len(items) // self.size))), np.float32)
         self.parts: list[tuple[set, set]] = []
         for k, (w, x) in enumerate(zip(words, terms, strict=True)):
             own = {
@@ -90,7 +94,8 @@ class Index:
         low, high = block * self.size, (block + 1) * self.size
         lists = []
         for t in terms:
-            own = [p for p in self.postings[t] if low <= p[0] < high]
+            listed = self.postings[t]
+            own = listed[bisect_left(listed, (low,)) : bisect_left(listed, (high,))]
             if own:
                 lists.append([own, 0, float(self.most[t, block])])
         out = []
@@ -181,21 +186,77 @@ def _items(benchmark: DataFrame) -> DataFrame:
 _INDEXES: dict[str, Index] = {}
 
 
-def _index(key: str, rows: list[tuple[int, str]]) -> Index:
-    """The index of some items, built once per worker process."""
+def _index(key: str, held: tuple) -> Index:
+    """The index of some items, built once per worker process. Passes follow each
+    other, so one is kept at a time."""
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Index(rows)
+        _INDEXES[key] = Index(*held)
     return _INDEXES[key]
 
 
-def _passes(spark, items: DataFrame, max_items: int):
-    """Broadcasts of at most about ``max_items`` items each that together hold all of them."""
-    rounds = max(1, -(-items.count() // max_items))
+def _passes(items: DataFrame, max_items: int) -> Iterator[tuple[str, Broadcast]]:
+    """Broadcasts of at most about ``max_items`` items each that together hold all
+    of them, each with the statistics of the whole benchmark."""
+    spark = items.sparkSession
+    count = items.count()
+    rounds = max(1, -(-count // max_items))
+
+    def terms_of(ids: list, texts: list) -> dict:
+        made = [text.split() for text in texts]
+        return {"item_id": ids, "text": texts, "terms": [[t for t in map(term, w) if t] for w in made], "n_words": [len(w) for w in made]}
+
+    split = map_rows(items, ["item_id", "text"], terms_of, "item_id long, text string, terms array<string>, n_words long").filter("n_words > 0")
+    if rounds == 1:  # the index counts for itself
+        rows = [(r["item_id"], r["text"]) for r in split.orderBy("item_id", "text").collect()]
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast((rows,))
+        return
+    split = materialize(split.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))), "items")
+    whole = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"), F.max("n_words").alias("longest")).first()
+    own = split.select("part", F.explode(F.array_distinct("terms")).alias("term"))
+    df = materialize(own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts")), "terms")
     for i in range(rounds):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == i)
-        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect() if r["text"].split()]
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
+        rows = [(r["item_id"], r["text"]) for r in split.filter(F.col("part") == i).select("item_id", "text").orderBy("item_id", "text").collect()]
+        counts = {r["term"]: r["df"] for r in df.filter(F.array_contains("parts", F.lit(i).cast("long"))).select("term", "df").collect()}
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast((rows, whole["n"], whole["mean"], whole["longest"], counts))
+
+
+def _searcher(key: str, held: Broadcast, least: float, overlap: float) -> Callable:
+    """A pandas UDF: the items found in each text, and the best score."""
+
+    def search(texts: pd.Series) -> pd.DataFrame:
+        index = _index(key, held.value)
+        items, scores = [], []
+        for at in range(0, len(texts), ROWS):
+            for x in leaks(index, [t or "" for t in texts.iloc[at : at + ROWS]], least, overlap):
+                items.append(sorted({index.ids[k] for k in x}))
+                scores.append(round(max(x.values()), 6) if x else None)
+        return pd.DataFrame({"items": pd.Series(items, dtype=object), "score": pd.Series(scores, dtype="float64")})
+
+    return F.pandas_udf(search, "items array<bigint>, score double")
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, least: float, overlap: float, max_items: int, text_col: str) -> DataFrame:
+    """``hidden(docs)`` with leak_items and leak_score.
+
+    One pass adds them in place. Of more, each is a job of its own, so that a
+    worker holds one index at a time: it writes the few texts in which it finds
+    something, by their digests, and these are joined to the rows in the end."""
+    work, text = hidden(docs), F.col(place(docs, text_col))
+    ship_package(docs.sparkSession)
+    parts = list(_passes(_items(benchmark), max_items))
+    if len(parts) == 1:
+        work = work.withColumn("found", _searcher(*parts[0], least, overlap)(text))
+        return work.withColumns({"leak_items": F.coalesce("found.items", F.array().cast("array<bigint>")), "leak_score": F.col("found.score")}).drop("found")
+    hits = None
+    for key, held in parts:
+        one = work.select(text.alias("text")).withColumn("found", _searcher(key, held, least, overlap)(F.col("text")))
+        one = materialize(one.filter(F.size("found.items") > 0).select(F.md5("text").alias("digest"), "found.items", "found.score").distinct(), "hits")
+        hits = one if hits is None else hits.unionByName(one)
+        held.unpersist()
+    found = hits.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("leak_items"), F.max("score").alias("leak_score"))
+    joined = work.join(broadcast_if_small(materialize(found, "found"), 100_000), F.md5(text) == F.col("digest"), "left").drop("digest")
+    return joined.withColumn("leak_items", F.coalesce("leak_items", F.array().cast("array<bigint>")))
 
 
 def find_leaks(
@@ -213,29 +274,15 @@ def find_leaks(
     items; all items scoring ``least`` or more are retrieved by block-max WAND
     and verified by their question and answer. The index is broadcast: it holds
     about ``max_items`` items, and a larger benchmark is worked through in as
-    many passes. Null and wordless texts and items find nothing; repeated items
-    count once by id and text; each row is judged by its own text, so null or
-    repeated ids and clashing column names do no harm; an empty table or
-    benchmark gives no find. Narrow passes: no shuffle of texts.
+    many passes, all by the statistics of the whole. Null and wordless texts and
+    items find nothing; very long texts are searched whole; repeated items count
+    once by id and text; each row is judged by its own text, so null or repeated
+    ids do no harm. An input column named like an appended one gives way to it,
+    any other stays; an empty table or benchmark gives no find. Narrow passes:
+    no shuffle of texts.
     """
-    df = docs.withColumn("_leak_items", F.array().cast("array<bigint>")).withColumn("_leak_score", F.lit(None).cast("double"))
-    ship_package(docs.sparkSession)
-    for key, held in _passes(docs.sparkSession, _items(benchmark), max_items):
-
-        def search(texts: pd.Series, key=key, held=held) -> pd.DataFrame:
-            index = _index(key, held.value)
-            items, scores = [], []
-            for at in range(0, len(texts), ROWS):
-                for x in leaks(index, [t or "" for t in texts.iloc[at : at + ROWS]], least, overlap):
-                    items.append(sorted({index.ids[k] for k in x}))
-                    scores.append(round(max(x.values()), 6) if x else None)
-            return pd.DataFrame({"items": pd.Series(items, dtype=object), "score": pd.Series(scores, dtype="float64")})
-
-        search.__annotations__ = {}
-        found = F.pandas_udf(search, "items array<bigint>, score double", PandasUDFType.SCALAR)
-        df = df.withColumn("_new", found(F.col(text_col)))
-        df = df.withColumn("_leak_items", F.array_sort(F.array_union("_leak_items", "_new.items"))).withColumn("_leak_score", F.greatest("_leak_score", "_new.score")).drop("_new")
-    return df
+    work = _searched(docs, benchmark, least, overlap, max_items, text_col)
+    return shown(work, docs, _leak_items=F.col("leak_items"), _leak_score=F.col("leak_score"))
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -245,6 +292,6 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return df.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), F.array_join("_leak_items", ",").alias("items"), F.col("_leak_score").alias("score"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` in which no test item was found."""
-    return find_leaks(docs, benchmark, **how).filter(F.size("_leak_items") == 0).select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.5, max_items: int = 20_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no test item was found, with their own columns, whatever those are called."""
+    return shown(_searched(docs, benchmark, least, overlap, max_items, text_col).filter(F.size("leak_items") == 0), docs)

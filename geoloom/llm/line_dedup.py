@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.common import hidden, place, shown
 from geoloom.operators.components import connected_components
 from geoloom.plans.materialize import broadcast_if_small, materialize
 
@@ -12,9 +13,10 @@ _BLANKS = " \t\n\x0b\f\r"
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line) of the lines, trimmed, with ``min_chars`` characters or more."""
-    every = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.select("doc_id", "pos", F.btrim("line", F.lit(_BLANKS)).alias("line")).filter(F.length("line") >= min_chars)
+    """(doc_id, text_key, pos, line) of the lines, trimmed, with ``min_chars``
+    characters or more; id and text_key, a hash of the whole text, name the row."""
+    every = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return every.select("doc_id", "text_key", "pos", F.btrim("line", F.lit(_BLANKS)).alias("line")).filter(F.length("line") >= min_chars)
 
 
 def _cut(length: Column, k: int, parts: int) -> Column:
@@ -152,44 +154,68 @@ def edit_links(docs: DataFrame, edits: int, min_chars: int, crowd: int = 4) -> D
     return materialize(both.filter(near).select("u", "v").distinct(), "links")
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies and near copies of lines removed from ``text``,
     and the columns _n_lines, _n_removed and _n_links appended.
 
     Lines of ``min_chars`` or more characters (blank ends trimmed) are linked at
     an edit distance of ``edits`` or less; linked lines form a class, and of
-    each class the occurrence of the smallest (doc_id, position) stays. Shorter
-    lines stay. ``_n_links`` sums, over a document's lines, the number of other
+    each class the first occurrence, by id, then line number, stays. Shorter
+    lines stay. ``_n_links`` sums, over a row's lines, the number of other
     different lines within the distance. Null and empty texts stay as they are
-    (null has no line); rows with a null id are left alone; rows that repeat an
-    id are treated alike; other columns are carried along, whatever their
-    names. An empty table gives an empty one.
+    (null has no line); rows with a null id are left alone. Every row is treated
+    by its own text: of rows that repeat an id with other texts each keeps what
+    is new in it, and of rows that repeat an id and its text one keeps its lines
+    and the others lose those of ``min_chars`` or more. Other columns are carried
+    along whatever their names, but one named like an appended column gives way
+    to it. An empty table gives an empty one.
     """
-    narrow = materialize(lines_of(docs, min_chars).select("doc_id", "pos", F.unhex(F.md5("line")).alias("id")), "lines")
-    links = edit_links(docs, edits, min_chars)
+    work = _deduped(docs, edits, min_chars, id_col, text_col)
+    return shown(work, docs, _n_lines=F.col("n_lines"), _n_removed=F.col("n_removed"), _n_links=F.col("n_links"))
+
+
+def drop_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` as :func:`dedup_lines` leaves them, without the rows of whose words
+    nothing is left by that; with their own columns, whatever those are called."""
+    work = _deduped(docs, edits, min_chars, id_col, text_col)
+    return shown(work.filter((F.col("n_removed") == 0) | F.col(place(docs, text_col)).rlike(r"[^\x20\x09-\x0D]")), docs)
+
+
+def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """``hidden(docs)`` with the new text in its place, n_lines, n_removed and n_links."""
+    texts = hidden(docs).select(F.col(place(docs, id_col)).alias("doc_id"), F.col(place(docs, text_col)).alias("text"))
+    narrow = materialize(lines_of(texts, min_chars).select("doc_id", "text_key", "pos", F.unhex(F.md5("line")).alias("id")), "lines")
+    links = edit_links(texts, edits, min_chars)
     linked = links.select(F.col("u").alias("id")).union(links.select("v")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
-    firsts = narrow.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = narrow.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
     known = materialize(
         firsts.join(linked, "id", "left").join(classes, "id", "left").filter("n > 1 or n_links > 0").select("id", "first", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "known",
     )
     best = known.groupBy("class").agg(F.min("first").alias("best"))
     seen = narrow.join(known.join(best, "class").select("id", "best", "n_links"), "id")
-    per_doc = seen.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.struct("doc_id", "pos") != F.col("best"), F.col("pos"))).alias("_drop"), F.sum("n_links").alias("_n_links")
-    )
-    own = [F.col("d." + f"`{c}`") for c in docs.columns if c != "text"]
-    joined = docs.alias("d").join(per_doc.withColumnRenamed("doc_id", "_doc").alias("x"), F.col("d.doc_id") == F.col("x._doc"), "left")
-    parts = F.split(F.col("d.text"), "\n")
-    text = F.when(F.size("x._drop") > 0, F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("x._drop", i)), "\n")).otherwise(F.col("d.text"))
-    return joined.select(
-        *own,
-        text.alias("text"),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("x._drop"), F.lit(0)).cast("long").alias("_n_removed"),
-        F.coalesce("x._n_links", F.lit(0)).cast("long").alias("_n_links"),
-    ).select(*docs.columns, "_n_lines", "_n_removed", "_n_links")
+    later = F.when(F.struct("doc_id", "pos", "text_key") != F.col("best"), F.col("pos"))
+    per_row = seen.groupBy("doc_id", "text_key").agg(F.collect_set(later).alias("gone"), F.collect_set("pos").alias("every"), F.sum("n_links").alias("links"), F.count(F.lit(1)).alias("met"))
+    copies = F.call_function("div", F.col("met"), F.size("every"))  # how many rows bear this id and text
+    per_row = materialize(per_row.select("doc_id", "text_key", "gone", F.when(copies > 1, F.col("every")).alias("every"), F.call_function("div", "links", copies).alias("links"), copies.alias("copies")), "rows")
+
+    work = hidden(docs).withColumn("row_id", F.col(place(docs, id_col))).withColumn("row_key", F.xxhash64(place(docs, text_col)))
+    joined = work.join(per_row, (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key")), "left")
+    if not per_row.filter("copies > 1").isEmpty():
+        again = materialize(joined.filter("copies > 1").withColumn("nth", F.monotonically_increasing_id()), "again")
+        one = again.groupBy(F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")).agg(F.min("nth").alias("one"))
+        again = again.join(one, (F.col("doc_id") == F.col("one_id")) & (F.col("text_key") == F.col("one_key")))
+        again = again.withColumn("gone", F.when(F.col("nth") == F.col("one"), F.col("gone")).otherwise(F.col("every"))).select(*joined.columns)
+        joined = joined.filter("copies is null or copies = 1").unionByName(again)
+    text = F.col(place(docs, text_col))
+    parts = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    kept = F.when(F.size("gone") > 0, F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")).otherwise(text)
+    joined = joined.withColumn("kept_text", kept).withColumn("n_parts", F.coalesce(F.size(parts), F.lit(0)))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    joined = joined.withColumns({place(docs, text_col): F.col("kept_text"), "n_lines": count("n_parts"), "n_removed": count(F.size("gone")), "n_links": count("links")})
+    return joined
 
 
 def line_digest(docs: DataFrame, **how) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from array import array
 
@@ -105,8 +106,9 @@ def generate_patterns(weight: np.ndarray, demand: np.ndarray, capacity: int, rou
 
     The restricted linear program is solved by the revised simplex method; the
     duals price the classes, the knapsack finds the pattern of the most negative
-    reduced cost, and generation ends when no pattern improves (or after
-    ``rounds``, which only costs padding)."""
+    reduced cost, and generation ends when no pattern improves. A plan that is
+    still improving after ``rounds`` is used as it is, with a warning: every piece
+    is packed all the same, with more padding than need be."""
     m = len(weight)
     start = capacity // weight
     columns = [row for row in np.diag(start)]
@@ -130,6 +132,8 @@ def generate_patterns(weight: np.ndarray, demand: np.ndarray, capacity: int, rou
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
+    else:
+        warnings.warn(f"column generation stopped after {rounds} rounds while still improving", stacklevel=2)
     return [(columns[k], float(use[k])) for k in range(m) if use[k] > 0]
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from geoloom.llm.common import Span, hashed_share, map_rows, sha256, span_list
+from geoloom.llm.common import Overlaps, Span, hashed_share, map_rows, sha256, span_list
 
 # Fixed values of the base rules.
 KINDS = ("email", "ip", "card", "phone")
@@ -66,73 +66,174 @@ def base_spans(text: str) -> list[Span]:
 # --- the random field -------------------------------------------------------------
 
 LABELS = ("none", *KINDS)
-# A token worth a label has an @ or at least four digits; groups of digits with single
-# blanks, dots, dashes or brackets between them are one token.
-_TOKEN = re.compile(r"\+?\(?[0-9](?:[0-9().-]|\x20(?=[(0-9]))*[0-9]|[^\s@]+@[^\s@]+")
-_HINTS = re.compile(r"(?i:mail|tel|phone|call|fax|card|visa|account|ip|host|server)\W*\Z", re.A)
-FEATURES = 16
+# A token worth a label is an address with an @, an address or a host number with its signs spelt out, or at least
+# four digits; groups of digits with single blanks, dots, dashes, slashes or brackets between them are one token.
+_AT, _DOT = r"(?:\s?[(\[{]\s?at\s?[)\]}]\s?|\s?@\s?|\sat\s)", r"(?:\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s)"
+_SPELT = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+"
+    rf"|(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])",
+    re.I | re.A,
+)
+_TOKEN = re.compile(r"(?<![0-9])\+?\(?[0-9](?:[0-9().-]|[\x20/](?=[(0-9]))*[0-9]|(?<![^\s@])[^\s@]+@[^\s@]+")
+_SOME = re.compile(r"[0-9@]|[\s(\[{]dot[\s)\]}]", re.I)  # without any there is neither a base span nor a token
+_HINTS = tuple(
+    re.compile(rf"(?:{words})\W*(?:\w{{1,8}}\W+)?\Z", re.I | re.A)
+    for words in ("e-?mails?|mail|write|contact|reach", "ip|host|server|address|client", "card|visa|mastercard|amex|credit|debit", "tel|telephone|phone|call|fax|mobile|cell|dial|telefon|whatsapp")
+)
+FEATURES = 26
 # Log-odds of the label of a token that a base rule has found.
 _CERTAIN = 20.0
 _EDGES = r"\"'<>()[]{},;:!?"
 
 
 def tokens(text: str) -> list[Span]:
-    """(token, start, end) of the candidate tokens of a text."""
-    out = []
+    """(token, start, end) of the candidate tokens of a text, in order."""
+    out = [(m[0], m.start(), m.end()) for m in _SPELT.finditer(text)] if re.search(r"[\s(\[{](?:dot|\.)[\s)\]}]", text, re.I) else []
+    taken = Overlaps(out)
     for m in _TOKEN.finditer(text):
         s, a, b = m[0], m.start(), m.end()
         if "@" in s:
             a += len(s) - len(s.lstrip(_EDGES))
             s = s.strip(_EDGES).rstrip(".")
             b = a + len(s)
-        if s and ("@" in s or sum(c.isdigit() for c in s) >= 4):
+        if s and ("@" in s or sum(c.isdigit() for c in s) >= 4) and not taken.any(a, b):
             out.append((s, a, b))
-    return out
+    return sorted(out, key=lambda t: t[1])
+
+
+def label_of(where: Overlaps, a: int, b: int) -> int:
+    """The label of a span that holds [a, b) or lies inside it (the first kind, of several); 0 without one."""
+    return min((LABELS.index(k) for k, x, y in where.over(a, b) if x <= a and b <= y or a <= x and y <= b), default=0)
+
+
+def plain(token: str) -> str:
+    """A token with spelt-out signs put back: name (at) host dot org, 10[.]0[.]0[.]1."""
+    if not _SPELT.fullmatch(token):
+        return token
+    return re.sub(_DOT, ".", re.sub(_AT, "@", token, flags=re.I), flags=re.I)
 
 
 def features(token: str, before: str) -> list[float]:
-    digits = re.sub("[^0-9]", "", token)
-    parts = re.split("[^0-9]+", token.strip("+().- "))
-    n = len(digits)
-    quad = len(parts) == 4 and all(p and len(p) <= 3 for p in parts) and token.count(".") == 3
+    """What the field is told of a token by itself; ``before`` are the characters in front of it."""
+    sure = plain(token)
+    spelt = sure != token
+    digits = re.sub("[^0-9]", "", sure)
+    parts = re.findall("[0-9]+", sure)
+    n, groups = len(digits), len(parts)
+    quad = groups == 4 and all(len(p) <= 3 for p in parts) and sure.count(".") == 3 and "@" not in sure
+    mail = "@" in sure
+    even = groups in (3, 4, 5) and max(map(len, parts)) <= 4 and not quad
+    card = 13 <= n <= 19 and luhn(digits)
     return [
         1.0,
-        "@" in token,
-        bool(re.fullmatch(r"[^@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", token)),
-        token.startswith("+"),
-        10 <= n <= 15,
-        14 <= n <= 19,
-        14 <= n <= 19 and luhn(digits),
+        mail,
+        bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}", sure)),
+        spelt,
+        not mail and sure.startswith("+"),
+        not mail and bool(re.match(r"00[1-9]", sure)),
+        not mail and 7 <= n <= 9,
+        not mail and 10 <= n <= 15,
+        not mail and 16 <= n <= 19,
+        not mail and n > 19,
+        not mail and n < 7,
+        card and not mail,
+        card and not mail and digits[0] in "3456",
+        card and not mail and groups in (3, 4) and {len(p) for p in parts} <= {4, 5, 6},
         quad,
         quad and all(int(p) <= 255 for p in parts),
-        n < 10,
-        n > 19,
-        "(" in token,
-        token.isdigit(),
-        token[:1] in "3456" and 15 <= n <= 16,
-        bool(_HINTS.search(before)),
-        not digits,
+        "(" in sure,
+        sure.isdigit(),
+        even and 10 <= n <= 13,
+        even and len(parts[-1]) == 4 and n in (10, 11, 12, 13),
+        bool(re.fullmatch(r"(?:1[5-9]|20)[0-9]{2}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:1[5-9]|20)[0-9]{2}", sure)),
+        bool(re.fullmatch(r"97[89][- ]?(?:[0-9]+[- ]?){3,4}[0-9]", sure)),
+        *(bool(h.search(before)) for h in _HINTS),
     ]  # type: ignore[return-value]
 
 
 def skip_key(token: str) -> str:
     """Tokens with an equal key count as repeated or similar: the same digits
     however grouped, or the same address without case and trailing signs."""
-    return token.lower().strip("._-+") if "@" in token else "#" + re.sub("[^0-9]", "", token).lstrip("0")
+    sure = plain(token)
+    return sure.lower().strip("._-+") if "@" in sure else "#" + re.sub("[^0-9]", "", sure).lstrip("0")
 
 
-def fit_weights(samples: list[tuple[list[float], int]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> list[list[float]]:
-    """Node weights by multinomial logistic regression (full-batch gradient)."""
-    w = np.zeros((len(LABELS), FEATURES))
-    if samples:
-        x = np.array([s[0] for s in samples], float)
-        y = np.eye(len(LABELS))[[s[1] for s in samples]]
-        for _ in range(rounds):
-            z = x @ w.T
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            w += rate * ((y - p).T @ x / len(x) - decay * w)
-    return w.tolist()
+def respelt(kind: str, token: str) -> list[str]:
+    """Other spellings of an entity that no base rule knows."""
+    if kind == "email":
+        name, _, host = token.partition("@")
+        return [f"{name}{at}{host.replace('.', dot)}" for at, dot in ((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."))]
+    if kind == "ip":
+        return [token.replace(".", dot) for dot in ("[.]", " dot ", "(.)")]
+    digits = re.sub("[^0-9]", "", token)
+    if kind == "card":
+        cut = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(cut), "/".join(cut)]
+    own = digits[-10:]
+    bare = token.lstrip("+")
+    return [
+        *([bare] if not bare.isdigit() else []),
+        f"00{digits}",
+        f"({own[:3]}) {own[3:6]}-{own[6:]}",
+        f"{own[:3]}-{own[3:6]}-{own[6:]}",
+        f"{own[:3]}.{own[3:6]}.{own[6:]}",
+        f"{own[:3]} {own[3:6]} {own[6:]}",
+    ]
+
+
+def examples() -> list[tuple[list[float], int]]:
+    """Made-up tokens with their labels, by rule: each kind as the base rules know
+    it and respelt, with and without a word before it, and numbers that are none
+    (dates, years, book numbers, counts, order numbers, versions)."""
+    out: list[tuple[list[float], int]] = []
+    words = ("", "mail to ", "host at ", "card no ", "call me: ")
+    for i in range(40):
+        d = str(1_000_003 * (7_919 * i + 31) % 10**15).zfill(15)
+        card = next(c for c in (f"{'3456'[i % 4]}{d[:14]}{k}" for k in range(10)) if luhn(c))
+        made = {
+            "email": f"{'abcdefghij'[i % 10]}nn.{d[:i % 4]}x@{'mnopqrs'[i % 7]}ail.{('org', 'com', 'co.uk', 'de')[i % 4]}",
+            "ip": ".".join(str(int(d[k : k + 3]) % 256) for k in (0, 3, 6, 9)),
+            "card": (card, " ".join(card[k : k + 4] for k in (0, 4, 8, 12)), "-".join(card[k : k + 4] for k in (0, 4, 8, 12)))[i % 3],
+            "phone": (f"+{1 + i % 9} ({d[:3]}) {d[3:6]}-{d[6:10]}", f"+{30 + i % 60} {d[:3]} {d[3:10]}", f"+{1 + i % 9}-{d[:3]}-{d[3:6]}-{d[6:10]}")[i % 3],
+        }
+        for k, (kind, token) in enumerate(made.items(), 1):
+            for form in (token, *respelt(kind, token)):
+                out += [(features(form, before), k) for before in ("of ", words[k])]
+        for none in (
+            f"{1900 + i}-{1 + i % 12:02}-{1 + i % 28:02}", f"{1 + i % 28:02}.{1 + i % 12:02}.{1950 + i}", f"{1950 + i}-{1960 + i}", f"{d[:4]}", f"{d[:6]}", f"{d[:8]}", f"{d[:11]}", f"{d[:13]}",
+            f"978-{d[0]}-{d[1:5]}-{d[5:9]}-{d[9]}", f"{i}.{d[:3]}.{d[3]}", f"{d[:3]}.{d[3:6]}.{d[6:9]}", f"{d[:15]}{d[:15]}", f"{d[:5]}-{d[5:9]}", f"{d[:2]} {d[2:6]}", f"{300 + i}.{d[:3]}.{d[3:6]}.{d[6:8]}",
+        ):
+            out += [(features(none, before), 0) for before in ("of ", "no ")]
+    return out
+
+
+def fit_field(rows: list[tuple], rounds: int = 400, rate: float = 1.0, decay: float = 1e-4) -> tuple[list[list[float]], float, float]:
+    """Weights of the features and of the two kinds of ties, by the pseudo-likelihood:
+    each token's label given its features and its neighbours' labels.
+
+    Rows are (features, label, labels of chain neighbours, labels of skip
+    neighbours, count), the neighbours as counts by label. Each label weighs as
+    the square root of its count, so that many plain numbers don't drown the
+    few entities. Ties never turn negative."""
+    k = len(LABELS)
+    x = np.array([r[0] for r in rows], float)
+    y = np.array([r[1] for r in rows])
+    ties = np.array([[r[2], r[3]] for r in rows], float)  # row, kind of tie, label
+    n = np.array([r[4] for r in rows], float)
+    size = np.array([n[y == c].sum() for c in range(k)])
+    n = n / np.sqrt(np.maximum(size, 1.0))[y]
+    n /= n.sum()
+    w, t = np.zeros((k, x.shape[1])), np.zeros(2)
+    vw, vt, hot = np.zeros_like(w), np.zeros(2), np.eye(k)[y]
+    for _ in range(rounds):
+        z = x @ w.T + np.einsum("rtk,t->rk", ties, t)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        gap = (hot - p) * n[:, None]
+        vw = 0.9 * vw + gap.T @ x - decay * w
+        vt = 0.9 * vt + np.einsum("rk,rtk->t", gap, ties) - decay * t
+        w, t = w + rate * vw, np.maximum(t + rate * vt, 0.0)
+    return w.tolist(), float(t[0]), float(t[1])
 
 
 def marginals(unary: np.ndarray, edges: list[tuple[int, int]], tie: list[float], rounds: int = 8) -> np.ndarray:
@@ -157,110 +258,139 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], tie: list[float],
     return belief - np.logaddexp.reduce(belief, axis=1, keepdims=True)
 
 
-def certain(found: list[Span], base: list[Span]) -> dict[str, tuple[int, int]]:
+def ties_of(found: list[Span]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain ties (tokens next to each other in the text) and skip ties (each token
+    with the one before of its key, however far) between the tokens of a text."""
+    chain, skip, last = [], [], {}
+    for i, (s, a, _) in enumerate(found):
+        if i and a - found[i - 1][2] <= 3:
+            chain.append((i - 1, i))
+        key = skip_key(s)
+        if key in last:  # the occurrences of a key form a chain, not all pairs
+            skip.append((last[key], i))
+        last[key] = i
+    return chain, skip
+
+
+def certain(found: list[Span], labels: list[int]) -> dict[str, tuple[int, int]]:
     """The first token that a base rule labels, and its label, by skip key. Addresses
     of hosts are left out: their digits grouped in another way are no repeat."""
     known: dict[str, tuple[int, int]] = {}
-    for i, t in enumerate(found) if base else ():
-        k = _label(t, base)
+    for i, (t, k) in enumerate(zip(found, labels, strict=True)):
         if k and LABELS[k] != "ip":
             known.setdefault(skip_key(t[0]), (i, k))
     return known
 
 
-def field_spans(text: str, weights: np.ndarray, chain: float, skip: float, floor: float, base: list[Span] = [], repeat: float = 8.0) -> list[Span]:  # noqa: B006
+def field_spans(text: str, weights: np.ndarray, chain: float, skip: float, floor: float, base: Sequence[Span] = (), repeat: float = 8.0) -> list[Span]:
     """Spans of tokens whose most likely label is an entity with probability ``floor``.
 
     A token inside one of the ``base`` spans has that label for certain; every
-    repeat of it is tied to it by ``repeat``, other repeats one to the next by
-    ``skip``."""
+    repeat of it is tied to it by ``repeat`` at least, other repeats one to the
+    next by ``skip``."""
     found = tokens(text)
     if not found:
         return []
     unary = np.array([features(s, text[max(0, a - 24) : a]) for s, a, _ in found], float) @ weights.T
-    known = certain(found, base)
-    for i, k in known.values():
-        unary[i] = _CERTAIN * (np.arange(len(LABELS)) == k)
-    edges, tie, last = [], [], {}
-    for i, (s, a, _) in enumerate(found):
-        if i and a - found[i - 1][2] <= 3:  # next to each other in the text
-            edges.append((i - 1, i))
-            tie.append(chain)
-        key = skip_key(s)
-        if key in known:
-            if i != known[key][0]:
-                edges.append((known[key][0], i))
-                tie.append(repeat)
-        elif key in last:  # the occurrences of a key form a chain, not all pairs
-            edges.append((last[key], i))
+    where = Overlaps(list(base))
+    labels = [label_of(where, a, b) for _, a, b in found]
+    known = certain(found, labels)
+    for i, k in enumerate(labels):
+        if k:
+            unary[i] = _CERTAIN * (np.arange(len(LABELS)) == k)
+    near, far = ties_of(found)
+    edges, tie = list(near), [chain] * len(near)
+    for i, j in far:
+        key = skip_key(found[j][0])
+        if key not in known:
+            edges.append((i, j))
             tie.append(skip)
-        last[key] = i
+    for j, (s, _, _) in enumerate(found):
+        root = known.get(skip_key(s))
+        if root and root[0] != j:
+            edges.append((root[0], j))
+            tie.append(max(skip, repeat))
     best = marginals(unary, edges, tie)
     labels = best.argmax(axis=1)
     return [(LABELS[k], a, b) for (_, a, b), k, p in zip(found, labels, best.max(axis=1), strict=True) if k and p >= np.log(floor)]
 
 
-def _label(span: Span, base: list[Span]) -> int:
-    return next((LABELS.index(k) for k, a, b in base if a <= span[1] and span[2] <= b or span[1] <= a and b <= span[2]), 0)
-
-
-def train_field(docs: DataFrame, sample: int = 20_000, most: int = 50, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
-    """Node weights learnt from the tokens of about ``sample`` documents (chosen
-    by their hashed ids; all, if there are no more), labelled by the base rules.
-    Every token of those texts takes part; equal features with an equal label
-    weigh as their number, but no more than ``most``, so that one common form
-    doesn't outweigh the rest. A token that no base rule labels but that repeats
-    one which is labelled is held out: it is what the field is to find. Only the
-    distinct features reach the driver."""
+def train_field(docs: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[list[float]], float, float]:
+    """Feature weights and the weights of chain and skip ties, learnt from the
+    tokens of about ``sample`` documents (chosen by their hashed ids; all, if
+    there are no more), labelled by the base rules, and from made-up
+    :func:`examples` of other spellings, which weigh as much as the sample.
+    Every token of those texts takes part, equal ones by their number. A token that no
+    base rule labels but that repeats one which is labelled is held out: it is
+    what the field is to find. Only distinct rows and their counts reach the driver."""
 
     def fn(_: list, texts: list) -> dict:
-        x, y = [], []
+        x, y, near, far = [], [], [], []
         for text in texts:
             text = text or ""
-            base = base_spans(text)
-            found = tokens(text)
-            known = certain(found, base)
-            for t in found:
-                k = _label(t, base)
-                if k or skip_key(t[0]) not in known:
+            found = tokens(text) if _SOME.search(text) else []
+            if not found:
+                continue
+            where = Overlaps(base_spans(text))
+            labels = [label_of(where, a, b) for _, a, b in found]
+            known = certain(found, labels)
+            out = [not k and skip_key(t[0]) in known for t, k in zip(found, labels, strict=True)]
+            sides = [[[0] * len(LABELS) for _ in found] for _ in range(2)]
+            for side, edges in zip(sides, ties_of(found), strict=True):
+                for i, j in edges:
+                    if not out[i] and not out[j]:
+                        side[i][labels[j]] += 1
+                        side[j][labels[i]] += 1
+            for i, t in enumerate(found):
+                if not out[i]:
                     x.append([float(v) for v in features(t[0], text[max(0, t[1] - 24) : t[1]])])
-                    y.append(k)
-        return {"x": x, "y": y}
+                    y.append(labels[i])
+                    near.append(sides[0][i])
+                    far.append(sides[1][i])
+        return {"x": x, "y": y, "near": near, "far": far}
 
     chosen = hashed_share(docs.select(id_col, text_col), id_col, sample)
-    found = map_rows(chosen, [id_col, text_col], fn, "x array<double>, y int").groupBy("x", "y").count().orderBy("y", "x").collect()
-    return fit_weights([(r["x"], r["y"]) for r in found for _ in range(min(most, r["count"]))])
+    found = map_rows(chosen, [id_col, text_col], fn, "x array<double>, y int, near array<int>, far array<int>")
+    rows = [tuple(r) for r in found.groupBy("x", "y", "near", "far").count().orderBy("y", "x", "near", "far").collect()]
+    made, none = examples(), [0] * len(LABELS)
+    first = np.array(fit_field([(x, y, none, none, 1.0) for x, y in made])[0])
+    # The base rules can't know other spellings: what looks like one is no example of "none".
+    rows = [r for r in rows if r[1] or (first @ np.array(r[0])).argmax() == 0]
+    share = max(1.0, sum(r[4] for r in rows)) / len(made)
+    return fit_field(rows + [(x, y, none, none, share) for x, y in made])
 
 
 def scan_pii(
-    docs: DataFrame, sample: int = 20_000, chain: float = 0.3, skip: float = 2.0, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text", repeat: float = 8.0
+    docs: DataFrame, sample: int = 20_000, floor: float = 0.9, id_col: str = "doc_id", text_col: str = "text", repeat: float = 8.0
 ) -> DataFrame:
     """Per row: id, ``base`` and ``extra`` spans (kind, start, end; code points).
 
     ``base`` follows the four base rules. ``extra`` comes from a skip-chain
-    random field over the tokens that hold an @ or four digits: neighbouring
-    tokens and repeated or similar tokens, however far apart, favour one label,
-    and loopy message passing settles the labels of the whole document. Repeats
-    of an e-mail address, card or phone of a base span are tied to it by
-    ``repeat``, which outweighs the floor and much evidence of their own. A token
-    outside every base span whose label has probability ``floor`` is reported.
-    A null text is empty; an empty table gives an empty one; repeated rows give
-    repeated results; other columns are not read. No shuffle of texts.
+    random field over the tokens that hold an @, four digits, or an address with
+    its signs spelt out: neighbouring tokens and repeated or similar tokens,
+    however far apart, favour one label, and loopy message passing settles the
+    labels of the whole document. Repeats of an e-mail address, card or phone of
+    a base span are tied to it by ``repeat`` at least, which outweighs the floor
+    and much evidence of their own. A token outside every base span whose label
+    has probability ``floor`` is reported. A null text is empty; very long texts
+    are scanned whole; an empty table gives an empty one; repeated rows give
+    repeated results; other columns, whatever their names, are not read. No
+    shuffle of texts.
     """
-    weights = train_field(docs, sample, id_col=id_col, text_col=text_col)
+    weights, chain, skip = train_field(docs, sample, id_col=id_col, text_col=text_col)
 
     def fn(ids: list, texts: list) -> dict:
         w = np.array(weights)
-        out: dict[str, list] = defaultdict(list)
+        out: dict[str, list] = {id_col: ids, "base": [], "extra": []}
         for text in texts:
             text = text or ""
-            some = re.search("[0-9@]", text)  # without, there is neither a base span nor a token
+            some = _SOME.search(text)
             base = base_spans(text) if some else []
-            extra = field_spans(text, w, chain, skip, floor, base, repeat) if some else []
-            extra = [x for x in extra if not any(x[1] < b and a < x[2] for _, a, b in base)]
+            where = Overlaps(base)
+            extra = [x for x in field_spans(text, w, chain, skip, floor, base, repeat) if not where.any(x[1], x[2])] if some else []
             for name, spans in (("base", base), ("extra", extra)):
                 out[name].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        return {id_col: ids, **out} if ids else {id_col: [], "base": [], "extra": []}
+        return out
 
     span = "array<struct<kind:string,start:long,end:long>>"
     return map_rows(docs, [id_col, text_col], fn, f"{id_col} long, base {span}, extra {span}")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hashed_share
+from geoloom.llm.common import hashed_share, hidden, place, shown
 
 # Fixed values of the base rules.
 _BLANKS = " \t\n\x0b\f\r"
@@ -69,7 +69,7 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int,
     """
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     good = hashed_share(good, "doc_id", trusted)
-    own = docs.select("doc_id", text_col).join(F.broadcast(good.withColumn("_trusted", F.lit(1))), "doc_id", "left").select("_trusted", F.col(text_col).alias("_text"))
+    own = hidden(docs).select(F.col(place(docs, "doc_id")).alias("doc_id"), F.col(place(docs, text_col)).alias("_text")).join(F.broadcast(good.withColumn("_trusted", F.lit(1))), "doc_id", "left").select("_trusted", "_text")
     h1 = own.withColumn("_h1", F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w)))
     grams = h1.select("_trusted", F.explode(F.concat("_h1", _joined(F.col("_h1"), F.col("_h1"), 1))).alias("_g"))
     rows = (
@@ -92,35 +92,49 @@ def judge_quality(
     text_col: str = "text",
 ) -> DataFrame:
     """Every row of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score and kept appended (prefixed by ``_q_``,
-    so clashing names of the input stay).
+    n_repeat_words, base_failed, score and kept appended, prefixed by ``_q_``; an
+    input column of just such a name gives way, any other stays as it is.
 
     ``score`` is the log-likelihood ratio of the text's hashed words and word
     pairs between the trusted-target and the raw-corpus multinomials, divided
     by their number; ``kept`` means that the base rules pass and the score is at
     least ``threshold``. A null, empty or blank text has no words and fails the
-    base rules. With no trusted documents all scores follow the raw corpus
-    alone. Repeated rows count once each; an empty table gives an empty one.
+    base rules; a very long one is judged whole. With no trusted documents all
+    scores follow the raw corpus alone. Null ids do no harm; repeated rows count
+    once each, repeated labels once; an empty table gives an empty one.
     Two narrow passes; the only shuffle holds ``buckets`` counters a task.
     """
+    work = _judged(docs, labels, buckets, trusted, threshold, smooth, text_col)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    return shown(work, docs, **{f"_q_{c}": F.col(c) for c in names})
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, with their own columns, whatever those are called."""
+    given = {"buckets": 1 << 14, "trusted": 50_000, "threshold": -0.1, "smooth": 1.0, **how}
+    return shown(_judged(docs, labels, text_col=text_col, **given).filter("kept"), docs)
+
+
+def _judged(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int, threshold: float, smooth: float, text_col: str) -> DataFrame:
+    """``hidden(docs)`` with the measures, the score and the verdict of each row."""
     weights = gram_weights(docs, labels, buckets, trusted, smooth, text_col)
     table = F.from_json(F.lit("[" + ",".join(map(repr, weights)) + "]"), "array<double>")
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.element_at(table, F.pmod(g, F.lit(buckets)).cast("int") + 1))
-    own = [c for c in docs.columns]
-    df = with_measures(docs, text_col)
+    work = hidden(docs)
+    df = with_measures(work, place(docs, text_col))
     failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
     score = F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))
     df = df.select(
-        *own,
-        *(F.col(f"_{c}").alias(f"_q_{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        failed.alias("_q_base_failed"),
-        F.round(score, 6).alias("_q_score"),
-        F.spark_partition_id().alias("_q_task"),
+        *work.columns,
+        *(F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        failed.alias("base_failed"),
+        F.round(score, 6).alias("score"),
+        F.spark_partition_id().alias("task"),
     )
     # Always true, but bound to the task, which keeps the optimizer from writing the nested expressions
     # above out into a filter on the verdict; written out they grow exponentially.
-    here = F.col("_q_task") >= 0
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_score") >= threshold) & here).drop("_q_task")
+    here = F.col("task") >= 0
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & here)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -8,7 +8,7 @@ import string
 
 from pyspark.sql import DataFrame
 
-from geoloom.llm.common import Span, map_rows, sha256, span_list, vocabulary_path
+from geoloom.llm.common import Overlaps, Span, map_rows, sha256, span_list, vocabulary_path
 
 # Fixed values of the base rules.
 KINDS = ("assign", "access", "hex", "random")
@@ -32,6 +32,15 @@ _DIGEST = re.compile(
 )
 _WORDY = re.compile(r"(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,8}))*")
 
+# Within longer stretches, a random string is looked for in pieces between the separators of addresses, calls and lists.
+_PIECE = re.compile(r"[A-Za-z0-9+_.~!@#$%^*-]{16,}")
+_NAMED = re.compile(r"(?:[A-Za-z]{1,12}[0-9]{0,4}|[0-9]{1,8}[A-Za-z]{0,3})(?:[-_+.@~]+(?:[A-Za-z]{1,12}[0-9]{0,4}|[0-9]{1,8}[A-Za-z]{0,3}))*")
+# The same inside a longer run, and signs that don't belong to a string when they stand at its ends.
+_INNER = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGEST.pattern})(?![A-Za-z0-9])", re.I)
+_TRIM = "-._~!*+@"
+#: Characters of a random string at least, the share of a piece from which on the whole piece is reported, and the shares of letters and digits in it.
+LEAST, WHOLE, ALNUM, LETTER = 16, 0.6, 0.7, 0.3
+
 _ENCODERS: dict[str, object] = {}
 
 
@@ -54,12 +63,36 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
+def dense_windows(lengths: list[int], ratio: float) -> list[tuple[int, int]]:
+    """The disjoint windows (first and end character) of a string, cut into tokens of
+    these lengths, in which characters per token fall furthest below ratio: the
+    maximal scoring stretches where a token scores ratio less its length."""
+    out: list[tuple[int, int, float, float]] = []  # start, end, score before the start, score at the end
+    at, total = 0, 0.0
+    for n in lengths:
+        score = ratio - n
+        before, total = total, total + score
+        if score > 0:
+            new = (at, at + n, before, total)
+            while True:
+                k = next((i for i in range(len(out) - 1, -1, -1) if out[i][2] < new[2]), None)
+                if k is None or out[k][3] >= new[3]:
+                    break
+                new = (out[k][0], new[1], out[k][2], new[3])
+                del out[k:]
+            out.append(new)
+        at += n
+    return [(a, b) for a, b, _, _ in out]
+
+
 def random_spans(text: str, encoding, ratio: float) -> list[Span]:
     """Runs, or stretches of 16 or more letters in them, whose characters per
-    token fall below ``ratio`` and that are no known digest, identifier or alphabet."""
+    token fall below ``ratio`` and that are no known digest, identifier or
+    alphabet; then windows of that kind in longer pieces with other signs."""
 
     def random(s: str) -> bool:
-        return s.lower() not in _ALPHABET and len(s) < ratio * len(encoding.encode_ordinary(s))
+        s = _INNER.sub("", s)
+        return len(s) >= LEAST and s.lower() not in _ALPHABET and len(s) < ratio * len(encoding.encode_ordinary(s))
 
     found: list[Span] = []
     for m in _RUN.finditer(text):
@@ -71,7 +104,28 @@ def random_spans(text: str, encoding, ratio: float) -> list[Span]:
             found.append(("random", m.start(), m.end()))
         elif not s.isalpha():
             found += [("random", m.start() + x.start(), m.start() + x.end()) for x in _LETTERS.finditer(s) if random(x[0])]
-    return found
+    for m in _PIECE.finditer(text):
+        s = m[0]
+        if _RUN.fullmatch(s) or _DIGEST.fullmatch(s):
+            continue
+        lengths = [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(s)]
+        for a, b in dense_windows(lengths, ratio):
+            if b - a >= WHOLE * len(s):
+                a, b = 0, len(s)
+            a, b = a + len(s[a:b]) - len(s[a:b].lstrip(_TRIM)), b - (len(s[a:b]) - len(s[a:b].rstrip(_TRIM)))
+            t = s[a:b]
+            letters, digits = sum(map(str.isalpha, t)), sum(map(str.isdigit, t))
+            if len(t) >= LEAST and letters >= LETTER * len(t) and letters + digits >= ALNUM * len(t) and not _NAMED.fullmatch(t) and random(t):
+                found.append(("random", m.start() + a, m.start() + b))
+    # Of finds that overlap, one after another, the longest stays.
+    out: list[Span] = []
+    for x in sorted(set(found), key=lambda x: (x[1], -x[2])):
+        if out and x[1] < out[-1][2]:
+            if x[2] - x[1] > out[-1][2] - out[-1][1]:
+                out[-1] = x
+        else:
+            out.append(x)
+    return out
 
 
 def scan_secrets(
@@ -83,11 +137,14 @@ def scan_secrets(
     of 16 or more characters whose ratio of characters to tokens is below
     ``ratio``: runs mixing letters and digits, of letters alone, of letters and
     signs with changes of case within a word, and stretches of 16 or more
-    letters within other runs; unless they lie inside a base span or are a known
-    digest, a UUID, an alphabet or words and short numbers in a row. Numbers
-    alone are none: they have about three digits a token however random. A null
-    text is empty; an empty table gives an empty one; repeated rows give
-    repeated results; other columns are not read. One narrow pass: no shuffle.
+    letters within other runs; then windows of that ratio inside longer pieces
+    (parts of an address, strings with other signs among them); unless they lie
+    inside a base span or are a known digest, a UUID, an alphabet or words and
+    short numbers in a row. Numbers alone are none: they have about three digits
+    a token however random. A null text is empty; very long texts are scanned
+    whole; an empty table gives an empty one; repeated rows give repeated
+    results; other columns, whatever their names, are not read. One narrow pass:
+    no shuffle.
     """
 
     def fn(ids: list, texts: list) -> dict:
@@ -96,7 +153,8 @@ def scan_secrets(
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            extra = [x for x in random_spans(text, encoding, ratio) if not any(a <= x[1] and x[2] <= b for _, a, b in base)]
+            where = Overlaps(base)
+            extra = [x for x in random_spans(text, encoding, ratio) if not any(a <= x[1] and x[2] <= b for _, a, b in where.over(x[1], x[2]))]
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base + extra])
         return {id_col: ids, "spans": spans}
 

@@ -6,15 +6,15 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import map_rows
+from geoloom.llm.common import hidden, map_rows, place, shown
 from geoloom.operators.components import connected_components
 from geoloom.plans.materialize import materialize
 
-#: Hashes counted at a time for one text, and fingerprints compared in one tile.
-CHUNK, TILE = 65_536, 1_024
+#: Hashes counted at a time for one text, and fingerprints along the side of one tile.
+CHUNK, TILE = 65_536, 256
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -60,36 +60,36 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tile_links(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Boolean matrix of the pairs that differ in at most ``radius`` bits.
+def tile_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """Boolean matrix of the pairs that differ in at most ``radius`` bits, and the
+    number of tile pairs that were skipped.
 
     The fingerprints come in order of population count. Tiles are compared by
     exclusive-or and bit count; a pair of tiles whose population counts lie
     further apart than the radius can hold no link and is skipped."""
     n = len(fps)
     pop = np.bitwise_count(fps)
-    near = np.zeros((n, n), bool)
+    near, skipped = np.zeros((n, n), bool), 0
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
             if int(pop[b]) - int(pop[min(a + TILE, n) - 1]) > radius:
+                skipped += -(-(n - b) // TILE)
                 break
             hit = np.bitwise_count(fps[a : a + TILE, None] ^ fps[None, b : b + TILE]) <= radius
             near[a : a + TILE, b : b + TILE] = hit
             near[b : b + TILE, a : a + TILE] = hit.T
-    return near
+    return near, skipped
 
 
 def spanning_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     """Index pairs that connect just what the links within the group connect:
     one star per connected part, so at most one pair less than members."""
     n = len(fps)
-    if n == 2:
-        return [(0, 1)] if ((fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= radius else []
     own = np.array(fps, np.int64).view(np.uint64)
     order = np.argsort(np.bitwise_count(own), kind="stable")
-    near = tile_links(own[order], radius)
+    near, _ = tile_links(own[order], radius)
     out, seen = [], np.zeros(n, bool)
-    for root in range(n):
+    for root in np.flatnonzero(near.sum(axis=1) > 1):
         if seen[root]:
             continue
         seen[root] = True
@@ -101,32 +101,65 @@ def spanning_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def group_links(reps: DataFrame, radius: int = 4, spare: int = 2, group: int = 1_024) -> DataFrame:
+def spare_blocks(n: int, radius: int, group: int) -> int:
+    """How many blocks a mask should hold for ``n`` fingerprints: none (all of them
+    are compared) up to a few tiles' worth, then as many as leave about a
+    ``group`` of them under a key."""
+    if n <= 16 * group:
+        return 0
+    spare = 1
+    while spare < radius and n >> (64 * spare // (radius + spare)) > group:
+        spare += 1
+    return spare
+
+
+def dealt_tiles(keyed: DataFrame, radius: int, group: int) -> DataFrame:
+    """(mask, bits, a, b, fps, reps): the members of keyed(fp, rep, mask, bits) by
+    pairs of cells to compare.
+
+    A key with at most ``group`` members is one cell. The members of a larger
+    one are laid out by population count and cut into cells of about ``group``;
+    each pair of cells is a row of its own, but pairs whose population counts lie
+    further apart than the radius can hold no link and aren't made. So no task
+    holds more than two cells at a time, whatever a key's share of the rows."""
+    keyed = keyed.withColumn("pop", F.bit_count("fp"))
+    large = keyed.groupBy("mask", "bits").count().filter(F.col("count") > group).select("mask", "bits")
+    large = materialize(large, "crowded")
+    small = keyed.join(large, ["mask", "bits"], "left_anti").select("fp", "rep", "mask", "bits", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    if not large.isEmpty():
+        crowd = keyed.join(large, ["mask", "bits"], "left_semi")
+        before = F.sum("count").over(Window.partitionBy("mask", "bits").orderBy("pop")) - F.col("count")
+        layout = crowd.groupBy("mask", "bits", "pop").count().withColumn("before", before)
+        at = lambda c: F.call_function("div", c, F.lit(group)).cast("int")
+        layout = materialize(layout.select("mask", "bits", "pop", at(F.col("before")).alias("first"), at(F.col("before") + F.col("count") - 1).alias("last")), "layout")
+        cells = layout.withColumn("cell", F.explode(F.sequence("first", "last"))).groupBy("mask", "bits", "cell").agg(F.min("pop").alias("low"), F.max("pop").alias("high"))
+        one, two = cells.toDF("mask", "bits", "a", "low_a", "high_a"), cells.toDF("mask", "bits", "b", "low_b", "high_b")
+        pairs = materialize(one.join(two, ["mask", "bits"]).filter(f"a <= b and low_b - high_a <= {radius}").select("mask", "bits", "a", "b"), "tiles")
+        placed = crowd.join(layout, ["mask", "bits", "pop"]).withColumn("cell", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("last") - F.col("first") + 1).cast("int"))
+        sides = pairs.withColumn("cell", F.col("a")).unionByName(pairs.filter("a < b").withColumn("cell", F.col("b")))
+        small = small.unionByName(placed.join(sides, ["mask", "bits", "cell"]).select("fp", "rep", "mask", "bits", "a", "b"))
+    return small.groupBy("mask", "bits", "a", "b").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).filter(F.size("fps") > 1)
+
+
+def group_links(reps: DataFrame, radius: int = 4, spare: int | None = None, group: int = 1_024) -> DataFrame:
     """Links (u, v) between the ``rep`` of fingerprints of ``reps(fp, rep)``,
     enough to connect all that any pair within ``radius`` bits connects.
 
-    Fingerprints meet under the masks of :func:`block_masks`. A key with more
-    than ``group`` of them is dealt into cells, and each pair of cells is a group
-    of its own, so no task ever holds more than two cells, whatever the key's
-    share of the rows; no pair is left out.
+    Up to 16 groups of fingerprints are all compared with each other. More meet
+    under the masks of :func:`block_masks` first, which leave out no pair within
+    the radius; ``spare`` overrides the choice of masks. Either way the
+    comparison is exact, cell against cell (:func:`dealt_tiles`), in tiles
+    (:func:`tile_links`).
     """
-    masks = block_masks(radius, spare)
+    if spare is None:
+        spare = spare_blocks(reps.count(), radius, group)
+    masks = block_masks(radius, spare) if spare else [0]
     keyed = reps.select(
         "fp",
         "rep",
         F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)))).alias("key"),
     ).select("fp", "rep", "key.mask", "key.bits")
-    count = keyed.groupBy("mask", "bits").count()
-    large = materialize(count.filter(F.col("count") > group).select("mask", "bits", F.ceil(F.col("count") / group).cast("int").alias("cells")), "cells")
-    cells = F.coalesce("cells", F.lit(1))
-    cell = F.pmod(F.xxhash64("fp"), cells).cast("int")
-    dealt = (
-        keyed.join(large, ["mask", "bits"], "left")
-        .select("fp", "rep", "mask", "bits", cell.alias("cell"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
-        .groupBy("mask", "bits", F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b"))
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
-        .filter(F.size("fps") > 1)
-    )
+    dealt = dealt_tiles(keyed, radius, group)
 
     def fn(fps: list, reps: list) -> dict:
         u, v = [], []
@@ -156,12 +189,13 @@ def simhash_groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that name their component: one of each group. Of rows that
-    repeat a kept id one stays; rows with a null id can't be named and stay."""
-    first = materialize(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "first")
-    once = first.distinct().withColumn("_kept", F.lit(True))
-    kept = docs.join(once, "doc_id", "left").filter("_kept or doc_id is null").select(*docs.columns)
-    if first.count() == once.count():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    repeat a kept id one stays; rows with a null id can't be named and stay. All
+    columns stay, whatever their names; an empty table gives an empty one."""
+    first = materialize(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")), "first")
+    once, at = first.distinct(), place(docs, id_col)
+    work = hidden(docs).join(once, F.col(at) == F.col("kept_id"), "left").filter(f"kept_id is not null or {at} is null").drop("kept_id")
+    if first.count() > once.count():
+        work = work.filter(f"{at} is not null").dropDuplicates([at]).unionByName(work.filter(f"{at} is null"))
+    return shown(work, docs)

@@ -35,7 +35,7 @@ HARD = [
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
-    """The documents and the hard texts, with columns whose names the operators use inside."""
+    """The documents and the hard texts, with further columns."""
     own = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in own] + [(10_000 + i, t) for i, t in enumerate(HARD)]
     return rows, spark.createDataFrame([(d, t, 7, "x") for d, t in rows], "doc_id long, text string, n long, line string")
@@ -345,9 +345,9 @@ def test_pii(docs):
     got = by_id(pii_digest(df))
     kinds = ("email", "ip", "card", "phone")
     for d, t in rows:
-        t = (t or "")[:20_000]
+        t = t or ""
         spans = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)] if "@" in t else []
-        spans += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))] if d != 10_012 else []
+        spans += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
         spans += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(x := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(x)]
         spans += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
         spans.sort(key=lambda s: (s[1], kinds.index(s[0])))
