@@ -17,7 +17,7 @@ from geoloom.llm.secret_scan import secret_digest
 from geoloom.llm.simhash import simhash_groups
 from geoloom.llm.token_counts import count_tokens
 from geoloom.llm.url_filter import ORACLE as URL_ORACLE
-from geoloom.llm.url_filter import judge_urls, listed_urls
+from geoloom.llm.url_filter import BLOCKLIST, judge_urls
 from geoloom.sources.tables import table
 
 
@@ -38,8 +38,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, listed_urls(pages))
+    listed = spark.createDataFrame([(u,) for u in BLOCKLIST], "url string")
+    return judge_urls(table(spark, sf_dir, "pages"), listed)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
