@@ -85,3 +85,58 @@ def right_closed_bin(x, edges: list[float]) -> Column:
     for i in range(len(edges) - 2, -1, -1):
         out = F.when((x > edges[i]) & (x <= edges[i + 1]), i).otherwise(out)
     return out
+
+
+def flood_seconds(seconds, depth_u, depth_v, worst: float, fail: float) -> Column:
+    """Travel time under water: the deeper end decides; depths outside (0, 10) count
+    as none, from ``worst`` on the road is cut, below it the time grows with the depth."""
+    clean = lambda d: F.when((d > 0) & (d < 10), d).otherwise(F.lit(0.0))
+    depth = F.greatest(clean(depth_u), clean(depth_v))
+    return F.when(depth >= worst, F.lit(float(fail))).when(depth > 0, seconds * worst / (worst - depth)).otherwise(seconds)
+
+
+def roughness_factor(iri, smooth: float = 5.0, rough: float = 16.0, least: float = 0.5) -> Column:
+    """Speed factor of a road's roughness: 1 up to ``smooth``, ``least`` from ``rough`` on, linear between."""
+    return F.when(iri < smooth, 1.0).when(iri > rough, least).otherwise(1 - (1 - least) * (iri - smooth) / (rough - smooth))
+
+
+def transport_cost(length_m, per_tonne_km, fixed=0.0) -> Column:
+    """Money a kilogram for a length in metres at a price a tonne and kilometre, with a fixed part a tonne."""
+    return (length_m / 1000 * per_tonne_km + fixed) / 1000
+
+
+def log_base(x, base: float) -> Column:
+    """Logarithm to a base; null unless x is positive."""
+    return F.when(x > 0, F.log(x) / F.log(F.lit(float(base))))
+
+
+def byte_scale(x, low, high, top: float = 255.0) -> Column:
+    """Linear scale of [low, high] to [0, top], clipped and rounded down."""
+    return F.floor(F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * top)
+
+
+def reflectance(x, gain, offset, sun_elevation) -> Column:
+    """Top-of-atmosphere reflectance of a digital number, corrected for the sun's height in degrees."""
+    return (x * gain + offset) / F.sin(F.radians(sun_elevation))
+
+
+def tile_code(lon, lat) -> Column:
+    """Name of the one-degree tile that holds a point, as N05E036."""
+    part = lambda x, pos, neg, n: F.concat(F.when(x >= 0, pos).otherwise(neg), F.lpad(F.abs(F.floor(x)).cast("string"), n, "0"))
+    return F.concat(part(lat, "N", "S", 2), part(lon, "E", "W", 3))
+
+
+def electrified(share, light, most: float = 0.6, dark: float = 0.23156) -> Column:
+    """Two flags in one number: 10 if the electrified share exceeds ``most``, 1 if the night light exceeds ``dark``."""
+    return F.coalesce((share > most).cast("int"), F.lit(0)) * 10 + F.coalesce((light > dark).cast("int"), F.lit(0))
+
+
+def link_capacity(lanes, per_lane) -> Column:
+    """Capacity of a link: the least of its listed lane counts times the capacity of a lane."""
+    return F.array_min(lanes) * per_lane
+
+
+def natural_key(text) -> Column:
+    """Sort key by which numbers inside a name compare as numbers: the name with each padded to 12 digits."""
+    parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")

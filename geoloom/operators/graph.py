@@ -164,3 +164,39 @@ def join_networks(base: DataFrame, base_edges: DataFrame, other: DataFrame, othe
     own = base_edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "length", F.lit("base").alias("kind"))
     added = other_edges.select(name("u").alias("u"), name("v").alias("v"), "length", F.lit("added").alias("kind"))
     return own.unionByName(added).unionByName(reflect_all(glue))
+
+
+def replace_cost(edges: DataFrame, observed: DataFrame, keys: Sequence[str], cost: str) -> DataFrame:
+    """``edges`` whose ``cost`` is the observed one where the edge's keys have any; observed tells which."""
+    seen = observed.select(*keys, F.col(cost).alias("_seen"))
+    joined = edges.join(seen, list(keys), "left")
+    return joined.withColumn("observed", F.col("_seen").isNotNull().cast("int")).withColumn(cost, F.coalesce("_seen", cost)).select(*edges.columns, "observed")
+
+
+def condition_summary(edges: DataFrame, by: Sequence[str], unmeasured: str = "NOT MEASURED", classes: Sequence[str] = ("GOOD",)) -> DataFrame:
+    """(*by, measured, one length a condition class, mean_iri) of edges(length, condition, iri):
+    the mean roughness leaves blanks out above and keeps their length below the line."""
+    known = F.col("condition") != unmeasured
+    total = F.sum(F.when(known, F.col("length")))
+    parts = [F.sum(F.when(F.col("condition") == c, F.col("length"))).alias(c) for c in classes]
+    return edges.groupBy(*by).agg(total.alias("measured"), *parts, (F.sum(F.when(known, F.col("iri") * F.col("length"))) / total).alias("mean_iri"))
+
+
+def length_by_class(edges: DataFrame) -> DataFrame:
+    """(class, km) of edges(classes, length): an edge with several classes counts for its first."""
+    return edges.groupBy(F.get("classes", F.lit(0)).alias("class")).agg((F.sum("length") / 1000).alias("km"))
+
+
+def average_speed(edges: DataFrame) -> DataFrame:
+    """(kmh) of edges(length, seconds): the whole length over the whole time."""
+    return edges.agg(((F.sum("length") / 1000) / (F.sum("seconds") / 3600)).alias("kmh"))
+
+
+def class_speed(edges: DataFrame) -> DataFrame:
+    """(class, kmh) of edges(class, mean_speed): the mean of the positive speeds; 0 without any."""
+    return edges.groupBy("class").agg(F.coalesce(F.avg(F.when(F.col("mean_speed") > 0, F.col("mean_speed"))), F.lit(0.0)).alias("kmh"))
+
+
+def longest_part(parts: Column) -> Column:
+    """The longest of array<struct<length, part>>; of equal ones the last."""
+    return F.array_max(parts)

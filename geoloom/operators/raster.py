@@ -83,3 +83,22 @@ def first_return(cells: DataFrame, years: list[int]) -> DataFrame:
     """``cells`` with first_return: the smallest of the columns y<year> whose value lies between 0 and 100; 0 without one."""
     hit = F.coalesce(*(F.when((F.col(f"y{y}") > 0) & (F.col(f"y{y}") < 100), y) for y in sorted(years)), F.lit(0))
     return cells.withColumn("first_return", hit)
+
+
+def built_by_epoch(cells: DataFrame, codes: dict[int, int]) -> DataFrame:
+    """(zone, built_<year>...): cells of each zone whose value reaches the code of the year, which later years have lower."""
+    return cells.groupBy("zone").agg(*(F.sum((F.col("value") >= code).cast("int")).alias(f"built_{year}") for year, code in codes.items()))
+
+
+def light_sums(cells: DataFrame, zones: DataFrame, floor: float) -> DataFrame:
+    """(zone, urban_lights, rural_lights) of cells(zone, value, urban) from ``floor`` up; 0 for a zone without any."""
+    kept = cells.filter(F.col("value") >= floor).groupBy("zone").agg(F.sum(F.when(F.col("urban"), F.col("value"))).alias("_u"), F.sum(F.when(~F.col("urban"), F.col("value"))).alias("_r"))
+    return zones.join(kept, "zone", "left").select("zone", F.coalesce("_u", F.lit(0.0)).alias("urban_lights"), F.coalesce("_r", F.lit(0.0)).alias("rural_lights"))
+
+
+def agglomerations(cities: DataFrame, tie: str) -> DataFrame:
+    """(footprint, kind, main_city, pop, cities) of cities(footprint, city, pop)."""
+    n = F.count(F.lit(1))
+    return cities.groupBy("footprint").agg(
+        F.when(n == 1, "city").otherwise("agglomeration").alias("kind"), F.max_by("city", F.struct("pop", tie)).alias("main_city"), F.sum("pop").alias("pop"), n.alias("cities")
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.weights import mph
+
 
 def seconds_between(later, earlier) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1_000_000
@@ -38,3 +40,13 @@ def daily(events: DataFrame, user: str, ts: str, value: str) -> DataFrame:
     return events.groupBy(user, F.to_date(ts).alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total")
     )
+
+
+def accurate_pings(pings: DataFrame, accuracy: str, worst: float) -> DataFrame:
+    """Pings whose accuracy in metres is known and better than ``worst``."""
+    return pings.filter(F.col(accuracy) < worst)
+
+
+def plausible_journeys(journeys: DataFrame, distance: str, seconds: str, slow: float = 0.1, fast: float = 120.0, least: float = 100.0) -> DataFrame:
+    """``journeys`` with mph, of those over ``least`` metres whose speed lies between the bounds."""
+    return journeys.withColumn("mph", mph(F.col(distance), F.col(seconds))).filter((F.col(distance) > least) & (F.col("mph") > slow) & (F.col("mph") < fast))

@@ -36,3 +36,12 @@ def daily_by_user(events: DataFrame, late: str = "1 day") -> DataFrame:
         _timed(events, late).groupBy(win, "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .select("user_id", F.to_date("window.start").alias("day"), "n", "low", "high")
     )
+
+
+def sliding_days(events: DataFrame, days: int = 5, late: str = "1 day") -> DataFrame:
+    """(user_id, last_day, total) of windows of some days that slide by one; named by their last day."""
+    win = F.window("ts", f"{days} days", "1 day")
+    return (
+        _timed(events, late).groupBy(win, "user_id").agg(F.sum("value").alias("total"))
+        .select("user_id", F.date_sub(F.to_date("window.end"), 1).alias("last_day"), "total")
+    )
