@@ -6,16 +6,17 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.plans.materialize import materialize, ship_package
+from geoloom.plans.materialize import broadcast_if_small, materialize, ship_package
 
 Graph = dict[tuple, dict[object, list[tuple[object, float]]]]
 
 
-def _search(moves: dict, source, cutoff: float | None) -> list[tuple]:
-    """(node, cost, prev, hops) reached from a source, by a heap; ties go to the smaller predecessor."""
+def _search(moves: dict, source, cutoff: float | None, closed: tuple | None = None) -> list[tuple]:
+    """(node, cost, prev, hops) reached from a source, by a heap, without the
+    ``closed`` edge; of equal costs the fewer hops win, then the smaller predecessor."""
     out, done, heap = [], set(), [(0.0, 0, source, None)]
     while heap:
         cost, hops, node, prev = heappop(heap)
@@ -24,12 +25,12 @@ def _search(moves: dict, source, cutoff: float | None) -> list[tuple]:
         done.add(node)
         out.append((node, cost, prev, hops))
         for to, step in moves.get(node, ()):
-            if to not in done and (cutoff is None or cost + step <= cutoff):
+            if to not in done and (cutoff is None or cost + step <= cutoff) and (node, to) != closed:
                 heappush(heap, (cost + step, hops + 1, to, node))
     return out
 
 
-def _by_heap(moves: DataFrame, start: DataFrame, own: list[str], keys: tuple[str, ...], cutoff: float | None) -> DataFrame:
+def _by_heap(moves: DataFrame, start: DataFrame, own: list[str], keys: tuple[str, ...], cutoff: float | None, closed: tuple[str, str] | None) -> DataFrame:
     """The search where the edges fit into every task: they are broadcast, the sources are dealt out."""
     spark = moves.sparkSession
     ship_package(spark)
@@ -45,20 +46,22 @@ def _by_heap(moves: DataFrame, start: DataFrame, own: list[str], keys: tuple[str
         for batch in batches:
             for row in batch.to_dict("records"):
                 lead = [row[k] for k in keys]
-                found = _search(held.value.get(tuple(row[k] for k in own), {}), row["o"], cutoff)
+                found = _search(held.value.get(tuple(row[k] for k in own), {}), row["o"], cutoff, tuple(row[k] for k in closed) if closed else None)
                 yield pd.DataFrame([(*lead, row["o"], *x) for x in found], columns=names).astype({"prev": object})
 
     spread = start.repartition(max(1, 2 * spark.sparkContext.defaultParallelism), "o")
     return materialize(spread.mapInPandas(run, schema), "dist")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys: tuple[str, ...] = (), max_rounds: int = 10_000, heap_edges: int = 500_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys: tuple[str, ...] = (), max_rounds: int = 10_000, heap_edges: int = 500_000, closed: tuple[str, str] | None = None) -> DataFrame:
     """(*keys, o, node, cost, prev, hops) of the cheapest path from each source.
 
     ``edges(u, v, cost)`` are directed, with costs of zero or more; ``sources``
     has ``o`` and the ``keys`` (a scenario, say). Where edges carry the keys
-    too, each scenario sees its own edges. Nodes out of reach, or beyond ``cutoff``,
-    have no row.
+    too, each scenario sees its own edges; ``closed`` names two of the keys that
+    hold the ends of an edge which is out of use for that source. Nodes out of
+    reach, or beyond ``cutoff``, have no row. Of equal costs the path with fewer
+    hops is told, then that by the smaller predecessor.
 
     Up to ``heap_edges`` edges are broadcast and each task searches from its own
     sources. A larger network is relaxed in rounds: only nodes whose cost has
@@ -70,18 +73,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
     moves = materialize(moves.groupBy(*own, "node", "to").agg(F.min("step").alias("step")), "moves")
     start = sources.select(*keys, "o").distinct()
     if moves.limit(heap_edges + 1).count() <= heap_edges:
-        return _by_heap(moves, start, own, keys, cutoff)
+        return _by_heap(moves, start, own, keys, cutoff, closed)
     best = materialize(start.select("*", F.col("o").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(dict(start.dtypes)["o"]).alias("prev"), F.lit(0).alias("hops")), "dist")
     front = best
     for _ in range(max_rounds):
-        tried = front.join(moves, [*own, "node"]).select(
+        met = front.join(moves, [*own, "node"])
+        if closed:
+            met = met.filter((F.col("node") != F.col(closed[0])) | (F.col("to") != F.col(closed[1])))
+        tried = met.select(
             *keys, "o", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("prev"), (F.col("hops") + 1).alias("hops")
         )
         if cutoff is not None:
             tried = tried.filter(F.col("cost") <= cutoff)
-        tried = tried.groupBy(*keys, "o", "node").agg(F.min(F.struct("cost", "prev", "hops")).alias("new"))
-        old = best.select(*keys, "o", "node", F.col("cost").alias("_cost"))
-        better = tried.join(old, [*keys, "o", "node"], "left").filter("_cost is null or new.cost < _cost").select(*keys, "o", "node", "new.*")
+        tried = tried.groupBy(*keys, "o", "node").agg(F.min(F.struct("cost", "hops", "prev")).alias("new"))
+        old = best.select(*keys, "o", "node", F.struct("cost", "hops", F.coalesce("prev", "o").alias("prev")).alias("_old"))
+        better = tried.join(old, [*keys, "o", "node"], "left").filter("node <> o and (_old is null or new < _old)").select(*keys, "o", "node", "new.cost", "new.prev", "new.hops")
         front = materialize(better, "front")
         if front.isEmpty():
             return best
@@ -91,65 +97,110 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
 
 
 def od_matrix(edges: DataFrame, origins: DataFrame, destinations: DataFrame, fail_value: float | None = None, cutoff: float | None = None) -> DataFrame:
-    """(o, d, cost) of every origin(o) and destination(d); ``fail_value`` where there is no path."""
+    """(o, d, cost) of the pairs of origins(o) and destinations(d) with a path; with
+    a ``fail_value`` of all pairs, those without a path at that cost."""
     found = shortest_paths(edges, origins, cutoff).select("o", F.col("node").alias("d"), "cost")
-    pairs = origins.select("o").distinct().crossJoin(F.broadcast(destinations.select("d").distinct()))
-    out = pairs.join(found, ["o", "d"], "left")
-    return out if fail_value is None else out.withColumn("cost", F.coalesce("cost", F.lit(float(fail_value))))
-
-
-def assign_flows(paths: DataFrame, demand: DataFrame, max_hops: int = 10_000) -> DataFrame:
+    ends = broadcast_if_small(destinations.select("d").distinct(), 100_000)
+    if fail_value is None:
+        return found.join(ends, "d", "left_semi").select("o", "d", "cost")
+    pairs = origins.select("o").distinct().crossJoin(ends)
+    return pairs.join(found, ["o", "d"], "left").withColumn("cost", F.coalesce("cost", F.lit(float(fail_value))))
+
+
+def _jumps(steps: DataFrame) -> Iterator[DataFrame]:
+    """Tables (o, node, up) of each node's ancestor 1, 2, 4, ... steps up the path
+    trees of steps(o, node, prev): each the one before joined with itself, so a
+    path of n hops takes about log2(n) of them."""
+    now = steps.select("o", "node", F.col("prev").alias("up"))
+    for _ in range(64):
+        now = materialize(now, "jumps")
+        if now.isEmpty():
+            return
+        yield now
+        now = now.join(now.select("o", F.col("node").alias("up"), F.col("up").alias("_up")), ["o", "up"]).select("o", "node", F.col("_up").alias("up"))
+    raise ValueError("the predecessors of the paths run in a circle")
+
+
+def assign_flows(paths: DataFrame, demand: DataFrame) -> DataFrame:
     """(u, v, flow): all-or-nothing assignment of demand(o, d, flow) to the paths.
 
-    Flows walk back from the destinations along the predecessors, all at once;
-    flows of one origin that meet at a node go on as one row."""
+    The flow into a node is the demand of all that lies behind it in its
+    origin's tree: sums over descendants less than 1, 2, 4, ... steps away, each
+    from the one before, whatever the length of the paths."""
     steps = materialize(paths.filter("prev is not null").select("o", "node", "prev"), "steps")
-    now = materialize(demand.filter("o <> d").groupBy("o", F.col("d").alias("node")).agg(F.sum("flow").alias("flow")), "flow")
-    parts = []
-    for _ in range(max_hops):
-        moved = materialize(now.join(steps, ["o", "node"]), "flow")
-        if moved.isEmpty():
-            break
-        parts.append(moved.select(F.col("prev").alias("u"), F.col("node").alias("v"), "flow"))
-        now = moved.filter("prev <> o").groupBy("o", F.col("prev").alias("node")).agg(F.sum("flow").alias("flow"))
-    spark = demand.sparkSession
-    kind = dict(paths.dtypes)["node"]
-    every = spark.createDataFrame([], f"u {kind}, v {kind}, flow double")
-    for p in parts:
-        every = every.unionByName(p.withColumn("flow", F.col("flow").cast("double")))
-    return every.groupBy("u", "v").agg(F.sum("flow").alias("flow"))
+    own = demand.filter("o <> d").groupBy("o", F.col("d").alias("node")).agg(F.sum(F.col("flow").cast("double")).alias("flow"))
+    below = materialize(own, "below")
+    for jump in _jumps(steps):
+        carried = below.join(jump, ["o", "node"]).select("o", F.col("up").alias("node"), "flow")
+        below = materialize(below.unionByName(carried).groupBy("o", "node").agg(F.sum("flow").alias("flow")), "below")
+    return below.join(steps, ["o", "node"]).groupBy(F.col("prev").alias("u"), F.col("node").alias("v")).agg(F.sum("flow").alias("flow"))
 
 
-def path_edges(paths: DataFrame, pairs: DataFrame, max_hops: int = 10_000) -> DataFrame:
+def path_edges(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     """(o, d, seq, u, v): the edges of the path of each pair(o, d), seq counted back from the destination."""
     steps = materialize(paths.filter("prev is not null").select("o", "node", "prev"), "steps")
-    now = pairs.select("o", "d").distinct().withColumn("node", F.col("d"))
-    out = None
-    for k in range(max_hops):
-        moved = materialize(now.join(steps, ["o", "node"]).select("o", "d", F.lit(k).alias("seq"), F.col("prev").alias("u"), F.col("node").alias("v")), "route")
-        if out is not None and moved.isEmpty():
-            break
-        out = moved if out is None else out.unionByName(moved)
-        now = moved.filter("u <> o").select("o", "d", F.col("u").alias("node"))
-    return out
+    met = pairs.select("o", "d").distinct().select("o", "d", F.col("d").alias("node"), F.lit(0).alias("seq"))
+    met = materialize(met.join(steps.select("o", "node"), ["o", "node"], "left_semi"), "route")
+    for k, jump in enumerate(_jumps(steps)):
+        further = met.join(jump, ["o", "node"]).select("o", "d", F.col("up").alias("node"), (F.col("seq") + (1 << k)).alias("seq"))
+        met = materialize(met.unionByName(further), "route")
+    return met.join(steps, ["o", "node"]).select("o", "d", "seq", F.col("prev").alias("u"), F.col("node").alias("v"))
 
 
 def break_edges(edges: DataFrame, tested: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
     """(edge_u, edge_v, o, d, base, cost): the OD costs with each tested edge(u, v) out of use.
 
-    All scenarios run as one search, keyed by the edge that is missing; only
-    pairs whose base path uses the edge can change, so only their origins are
-    searched again."""
-    base = materialize(shortest_paths(edges, origins), "base")
+    All scenarios are one search over one set of edges, in which each source
+    carries the edge it may not use; only pairs whose base path uses the edge can
+    change, so only their origins are searched again."""
+    base = shortest_paths(edges, origins)
     ends = destinations.select("d").distinct()
     pairs = base.filter("o <> node").join(ends, base["node"] == ends["d"], "left_semi").select("o", F.col("node").alias("d"))
-    used = materialize(path_edges(base, pairs).join(tested.select("u", "v").distinct(), ["u", "v"], "left_semi").select("u", "v", "o", "d").distinct(), "used")
-    scenario = used.select(F.concat_ws(">", "u", "v").alias("s"), F.col("u").alias("edge_u"), F.col("v").alias("edge_v"), "o", "d")
-    cases = scenario.select("s", "edge_u", "edge_v").distinct()
-    left = edges.select("u", "v", "cost").crossJoin(F.broadcast(cases)).filter("not (u = edge_u and v = edge_v)").select("s", "u", "v", "cost")
-    again = shortest_paths(left, scenario.select("s", "o"), keys=("s",)).select("s", "o", F.col("node").alias("d"), F.col("cost").alias("cost"))
+    used = path_edges(base, pairs).join(tested.select("u", "v").distinct(), ["u", "v"], "left_semi")
+    used = materialize(used.select(F.col("u").alias("edge_u"), F.col("v").alias("edge_v"), "o", "d").distinct(), "used")
+    keys = ("edge_u", "edge_v")
+    again = shortest_paths(edges, used.select(*keys, "o"), keys=keys, closed=keys).select(*keys, "o", F.col("node").alias("d"), "cost")
     old = base.select("o", F.col("node").alias("d"), F.col("cost").alias("base"))
-    return scenario.join(old, ["o", "d"]).join(again, ["s", "o", "d"], "left").select("edge_u", "edge_v", "o", "d", "base", "cost")
+    return used.join(old, ["o", "d"]).join(again, [*keys, "o", "d"], "left").select(*keys, "o", "d", "base", "cost")
+
+
+def k_shortest(edges: DataFrame, pairs: DataFrame, k: int, max_hops: int) -> DataFrame:
+    """(o, d, rank, cost, path): up to k cheapest loopless paths of each pair(o, d)
+    with at most ``max_hops`` edges, ties by fewer, then smaller nodes.
+
+    Paths grow by one edge a round, all pairs at once. A prefix is dropped only
+    where it can't be among the k: its cost plus the shortest way on exceeds the
+    cost of k complete paths already known for the pair."""
+    moves = edges.filter("u <> v").groupBy("u", "v").agg(F.min("cost").alias("step"))
+    moves = materialize(moves, "moves")
+    back = shortest_paths(moves.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("step").alias("cost")), pairs.select(F.col("d").alias("o")))
+    left = materialize(back.select(F.col("o").alias("d"), F.col("node"), F.col("cost").alias("left")), "left")
+    now = pairs.select("o", "d").distinct().filter("o <> d").select("o", "d", F.col("o").alias("node"), F.lit(0.0).alias("cost"), F.array("o").alias("path"))
+    best = Window.partitionBy("o", "d").orderBy("cost", F.size("path"), "path")
+    done = None
+    for _ in range(max_hops):
+        grown = now.join(moves, now["node"] == moves["u"]).filter(~F.array_contains("path", F.col("v")))
+        grown = grown.select("o", "d", F.col("v").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.array_append("path", F.col("v")).alias("path")).join(left, ["d", "node"])
+        if done is not None:
+            worst = done.groupBy("o", "d").agg(F.max(F.when(F.col("rank") == k, F.col("cost"))).alias("worst"))
+            grown = grown.join(worst, ["o", "d"], "left").filter("worst is null or cost + left <= worst").drop("worst")
+        grown = materialize(grown, "prefixes")
+        ended = grown.filter("node = d").select("o", "d", "cost", "path")
+        known = ended if done is None else done.drop("rank").unionByName(ended)
+        done = materialize(known.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "known")
+        now = grown.filter("node <> d").drop("left")
+        if now.isEmpty():
+            break
+    return done.select("o", "d", "rank", "cost", "path")
+
+
+def logit_split(paths: DataFrame, spread: float = 0.05) -> DataFrame:
+    """``paths`` of :func:`k_shortest` with share: exp(-spread * cost) over the pair's
+    paths; of paths of one pair with equal costs the first alone counts."""
+    first = paths.withColumn("_n", F.row_number().over(Window.partitionBy("o", "d", F.round("cost", 9)).orderBy("rank"))).filter("_n = 1").drop("_n")
+    pair = Window.partitionBy("o", "d")
+    weight = F.exp(-spread * (F.col("cost") - F.min("cost").over(pair)))
+    return first.withColumn("_w", weight).withColumn("share", F.col("_w") / F.sum("_w").over(pair)).drop("_w")
 
 
 def isochrone(paths: DataFrame, thresholds: list[float]) -> DataFrame:

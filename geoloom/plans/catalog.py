@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo, weights
 from geoloom.operators import access, graph, locate, raster, routing, spatial, temporal
 from geoloom.operators.components import connected_components
+from geoloom.plans.materialize import broadcast_if_small, materialize
 from geoloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,9 +68,11 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ng3(spark: SparkSession, sf: str) -> DataFrame:
-    """(u, v, n, cost): each nation's three largest flows as directed edges."""
+    """(u, v, n, cost): each nation's three largest flows as directed edges, written
+    once, since the queries on it read it several times."""
     w = Window.partitionBy("u").orderBy(F.desc("n"), "v")
-    return flows(spark, sf).withColumn("k", F.row_number().over(w)).filter("k <= 3").select("u", "v", "n", (1000.0 / F.col("n")).alias("cost"))
+    top = flows(spark, sf).withColumn("k", F.row_number().over(w)).filter("k <= 3")
+    return materialize(top.select("u", "v", "n", (1000.0 / F.col("n")).alias("cost")).coalesce(1), "ng3")
 
 
 def nation_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +84,8 @@ def ng3_od(spark: SparkSession, sf: str) -> DataFrame:
     edges = ng3(spark, sf)
     found = routing.shortest_paths(edges, edges.select(F.col("u").alias("o"))).select("o", F.col("node").alias("d"), "cost")
     w = nation_weights(spark, sf)
-    at = lambda end: F.broadcast(w.select(F.col("nation").alias(end), F.col("w").alias(f"w_{end}")))
+    w = broadcast_if_small(materialize(w, "weights"), 100_000)
+    at = lambda end: w.select(F.col("nation").alias(end), F.col("w").alias(f"w_{end}"))
     return found.join(at("o"), "o").join(at("d"), "d")
 
 
@@ -533,7 +537,14 @@ def catchment_pop(spark, sf):
     return near.join(od.select("o", "w_o").distinct(), "o").groupBy("d").agg(F.sum("w_o").alias("pop"), F.count(F.lit(1)).alias("origins"))
 
 
-@query()
+_ROUNDS = ", ".join(
+    f"r{k} as (select o, d, p, a, case when sum(flow) over (partition by o) > 0 then flow * p / sum(flow) over (partition by o) else 0 end as flow from c{k - 1}), "
+    f"c{k} as (select o, d, p, a, case when sum(flow) over (partition by d) > 0 then flow * a / sum(flow) over (partition by d) else 0 end as flow from r{k})"
+    for k in range(1, 11)
+)
+
+
+@query("with recursive " + OD + f", c0 as (select o, d, w_o::double as p, w_d::double as a, 10000 / cost as flow from od where o <> d), {_ROUNDS} select o, d, round(case when flow < 0.1 then 0 else flow end, 4) as flow from c10")
 def furness10(spark, sf):
     od = ng3_od(spark, sf).filter("o <> d")
     cells = od.select("o", "d", (10_000 / F.col("cost")).alias("weight"), F.col("w_o").cast("double").alias("production"), F.col("w_d").cast("double").alias("attraction"))
@@ -548,7 +559,15 @@ def aon_assignment(spark, sf):
     return routing.assign_flows(paths, demand)
 
 
-@query()
+_BROKEN = ", ".join(
+    f"b{k} as (select bu, bv, o, node, min(cost) as cost from (select * from b{k - 1} union all select x.bu, x.bv, x.o, e.v, x.cost + e.cost from b{k - 1} x join ng3 e on e.u = x.node where not (e.u = bu and e.v = bv)) group by 1, 2, 3, 4)"
+    for k in range(1, 17)
+)
+
+
+@query("with recursive " + BACK + f""", b0 as (select distinct u as bu, v as bv, o, o as node, 0.0::double as cost from back), {_BROKEN},
+t as (select k.u, k.v, k.o, k.d, p.cost as base, b.cost from back k join paths p on p.o = k.o and p.node = k.d left join b16 b on b.bu = k.u and b.bv = k.v and b.o = k.o and b.node = k.d where k.d in (select u from ng3))
+select u as edge_u, v as edge_v, round(coalesce(sum(cost - base), 0), 4) as extra, cast(sum(case when cost is null then 1 else 0 end) as bigint) as lost, count(*) as pairs from t group by 1, 2""")
 def edge_criticality(spark, sf):
     """Extra cost and lost pairs for each edge when it breaks."""
     e = ng3(spark, sf).select("u", "v", "cost")
@@ -620,13 +639,29 @@ def p_median_sites(spark, sf):
     return locate.p_median(od, 3)
 
 
-@query()
+_COVER0 = "l0 as (select distinct o, d, w_o::double as w from od where cost <= 60)"
+
+
+def _picks(rounds: int, go_on: str) -> str:
+    """Greedy picks as CTEs: k<i> the choice of round i, l<i + 1> what it leaves open."""
+    return ", ".join(
+        f"k{i} as (select {i} as pick, d, sum(w) as gained from l{i} {go_on.format(i=i)} group by d order by gained desc, d limit 1), l{i + 1} as (select * from l{i} where o not in (select o from l{i} where d in (select d from k{i})))"
+        for i in range(rounds)
+    )
+
+
+_GOT = ["0"] + [" + ".join(f"coalesce((select gained from k{j}), 0)" for j in range(i)) for i in range(1, 26)]
+
+
+@query("with recursive " + OD + f", {_COVER0}, " + _picks(3, "where w > 0") + " select * from (" + " union all ".join(f"select * from k{i}" for i in range(3)) + ") t")
 def max_cover_sites(spark, sf):
     od = ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o"))
     return locate.max_cover(od, 3, 60.0)
 
 
-@query()
+@query("with recursive " + OD + f", {_COVER0}, t as (select sum(w) as total from (select distinct o, w from l0)), "
+       + _picks(25, "where {{got{i}}} < 0.9 * (select total from t) - 1e-9").format(**{f"got{i}": _GOT[i] for i in range(25)})
+       + " select * from (" + " union all ".join(f"select * from k{i}" for i in range(25)) + ") t")
 def set_cover_sites(spark, sf):
     od = ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o"))
     return locate.set_cover(od, 60.0, 0.9)
