@@ -90,3 +90,80 @@ def synthetic_lon(key) -> Column:
 def synthetic_lat(key) -> Column:
     """Deterministic test latitude of an integer key."""
     return ((key * 17) % 180 - 90).cast("double")
+
+
+def _open_pairs(points: Column) -> tuple[Column, Column]:
+    """The starts and the ends of the legs of array<struct<x, y>>."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.slice(points, 1, n), F.slice(points, 2, n)
+
+
+def planar_length(points: Column) -> Column:
+    """Length of array<struct<x, y>> in its own units."""
+    legs = F.zip_with(*_open_pairs(points), lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)))
+    return F.aggregate(legs, F.lit(0.0), lambda s, d: s + d)
+
+
+def cut_line(points: Column, distance) -> tuple[Column, Column]:
+    """The two parts of array<struct<x, y>> cut at a distance from its start; at 0
+    or less, or beyond its length, one of them is empty."""
+    legs = F.zip_with(*_open_pairs(points), lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)))
+    along = F.aggregate(legs, F.array(F.lit(0.0)), lambda s, d: F.array_append(s, F.element_at(s, -1) + d))
+    spots = F.zip_with(points, along, lambda p, d: F.struct(p.alias("p"), d.alias("d")))
+    before, after = F.filter(spots, lambda s: s["d"] < distance), F.filter(spots, lambda s: s["d"] >= distance)
+    a, b = F.element_at(before, -1), F.get(after, F.lit(0))
+    t = (distance - a["d"]) / F.nullif(b["d"] - a["d"], F.lit(0.0))
+    spot = F.array(F.struct((a["p"]["x"] + t * (b["p"]["x"] - a["p"]["x"])).alias("x"), (a["p"]["y"] + t * (b["p"]["y"] - a["p"]["y"])).alias("y")))
+    own = lambda s: F.transform(s, lambda x: x["p"])
+    inside = (F.size(before) > 0) & (F.size(after) > 0)
+    beyond = F.filter(after, lambda s: s["d"] > distance)
+    return F.when(inside, F.concat(own(before), spot)).otherwise(own(before)), F.when(inside, F.concat(spot, own(beyond))).otherwise(own(after))
+
+
+def clip_segment(x1, y1, x2, y2, ring: Column) -> Column:
+    """The part of a segment inside a convex, counter-clockwise, closed ring, as
+    struct<t0, t1> of its shares of the segment; null if none is inside."""
+    dx, dy = x2 - x1, y2 - y1
+    walls = F.zip_with(*_open_pairs(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def wall(s: Column, e: Column) -> Column:
+        nx, ny = -(e["b"]["y"] - e["a"]["y"]), e["b"]["x"] - e["a"]["x"]  # points inwards
+        away, rate = (x1 - e["a"]["x"]) * nx + (y1 - e["a"]["y"]) * ny, dx * nx + dy * ny
+        t = -away / F.nullif(rate, F.lit(0.0))
+        return F.struct(
+            F.when(rate > 0, F.greatest(s["t0"], t)).when((rate == 0) & (away < 0), F.lit(2.0)).otherwise(s["t0"]).alias("t0"),
+            F.when(rate < 0, F.least(s["t1"], t)).otherwise(s["t1"]).alias("t1"),
+        )
+
+    part = F.aggregate(walls, F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1")), wall)
+    return F.when(part["t0"] < part["t1"], part)
+
+
+def clip_ring(ring: Column, by: Column) -> Column:
+    """What a closed ring and a convex, counter-clockwise, closed ring have in common,
+    as a closed ring (empty if nothing): wall by wall, the ring's corners inside
+    stay, and where an edge crosses the wall a corner is added."""
+    walls = F.zip_with(*_open_pairs(by), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def wall(corners: Column, e: Column) -> Column:
+        far = lambda p: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
+        last = F.concat(F.array(F.element_at(corners, -1)), F.slice(corners, 1, F.size(corners) - 1))
+
+        def step(p: Column, q: Column) -> Column:  # p before q
+            a, b = far(p), far(q)
+            t = a / F.nullif(a - b, F.lit(0.0))
+            met = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            crossed = (a >= 0) != (b >= 0)
+            return F.concat(F.when(crossed, F.array(met)).otherwise(F.slice(corners, 1, 0)), F.when(b >= 0, F.array(q)).otherwise(F.slice(corners, 1, 0)))
+
+        return F.when(F.size(corners) > 0, F.flatten(F.zip_with(last, corners, step))).otherwise(corners)
+
+    start = F.transform(F.slice(ring, 1, F.size(ring) - 1), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    out = F.aggregate(walls, start, wall)
+    return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
+
+
+def box_ring(x1, y1, x2, y2) -> Column:
+    """The closed, counter-clockwise ring of a box."""
+    at = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, Column) else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y"))
+    return F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2), at(x1, y1))

@@ -62,3 +62,19 @@ def catchment(od: DataFrame, cutoff: float) -> DataFrame:
 def within_thresholds(od: DataFrame, cuts: list[float], weight: str) -> DataFrame:
     """One column within_<cut> a threshold: cumulative weight reached below it."""
     return od.groupBy("o").agg(*(F.coalesce(F.sum(F.when(F.col("cost") < c, F.col(weight))), F.lit(0)).alias(f"within_{c:g}") for c in cuts))
+
+
+def with_walks(od: DataFrame, legs: DataFrame, direct: DataFrame) -> DataFrame:
+    """(o, net, best, mode): the least cost to any destination of od(o, d, cost), the
+    walk of legs(d, walk) at its end included, against the walk of direct(o, direct)
+    all the way; a destination without a leg costs no walk."""
+    total = od.join(legs, "d", "left").groupBy("o").agg(F.min(F.col("cost") + F.coalesce("walk", F.lit(0.0))).alias("net"))
+    both = total.join(direct, "o", "full")
+    mode = F.when(F.col("net").isNull() | (F.col("direct") <= F.col("net")), "walk").otherwise("net")
+    return both.select("o", "net", F.least("net", "direct").alias("best"), mode.alias("mode"))
+
+
+def nearest_in_region(od: DataFrame, regions: DataFrame) -> DataFrame:
+    """(o, d, cost) of the nearest destination that lies in the origin's region, by regions(node, region)."""
+    at = lambda end: regions.select(F.col("node").alias(end), F.col("region").alias(f"_{end}"))
+    return nearest(od.join(at("o"), "o").join(at("d"), "d").filter("_o = _d").select("o", "d", "cost"))

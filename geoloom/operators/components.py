@@ -62,3 +62,49 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .union(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
         .distinct()
     )
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(node, component) of the directed edges(u, v): nodes that reach each other
+    share a component, named by its smallest node.
+
+    Each round spreads the smallest name forward over what is left; a name's root
+    then collects, backward among its own, those that also reach it: they are a
+    component and go. Rounds work on all roots at once."""
+    left = materialize(edges.select("u", "v").filter("u <> v").distinct(), "arcs")
+    nodes = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).filter("node is not null").distinct(), "nodes")
+    done = None
+    for _ in range(max_rounds):
+        if nodes.isEmpty():
+            return done if done is not None else nodes.withColumn("component", F.col("node"))
+        name = materialize(nodes.withColumn("name", F.col("node")), "names")
+        while True:
+            told = left.join(name, left["u"] == name["node"]).groupBy(F.col("v").alias("node")).agg(F.min("name").alias("heard"))
+            new = materialize(name.join(told, "node", "left").select("node", F.least("name", F.coalesce("heard", "name")).alias("name"), (F.col("heard") < F.col("name")).alias("fell")), "names")
+            name = new.select("node", "name")
+            if new.filter("fell").isEmpty():
+                break
+        at = lambda end: name.select(F.col("node").alias(end), F.col("name").alias(f"name_{end}"))
+        same = materialize(left.join(at("u"), "u").join(at("v"), "v").filter("name_u = name_v").select("u", "v"), "same")
+        front = name.filter("node = name")
+        found = materialize(front, "found")
+        while True:
+            front = same.join(front, same["v"] == front["node"]).select(F.col("u").alias("node"), "name").distinct().join(found.select("node"), "node", "left_anti")
+            front = materialize(front, "front")
+            if front.isEmpty():
+                break
+            found = materialize(found.unionByName(front), "found")
+        part = found.select("node", F.col("name").alias("component"))
+        done = part if done is None else done.unionByName(part)
+        nodes = materialize(nodes.join(found.select("node"), "node", "left_anti"), "nodes")
+        gone = lambda end: found.select(F.col("node").alias(end))
+        left = materialize(left.join(gone("u"), "u", "left_anti").join(gone("v"), "v", "left_anti"), "arcs")
+    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+
+def largest_component(edges: DataFrame, strong: bool = False) -> DataFrame:
+    """The edges inside the component with the most nodes (ties: the smallest name), weak or strong."""
+    parts = materialize((strong_components if strong else connected_components)(edges), "parts")
+    best = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    keep = parts.join(F.broadcast(best), "component", "left_semi").select("node")
+    return edges.join(keep.withColumnRenamed("node", "u"), "u", "left_semi").join(keep.withColumnRenamed("node", "v"), "v", "left_semi").select(*edges.columns)

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.geo import cell, clip_ring, clip_segment, point_in_ring, ring_area
 from geoloom.operators.components import connected_components
 from geoloom.operators.spatial import nearest_join, within_distance
+from geoloom.plans.materialize import materialize
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -200,3 +202,92 @@ def class_speed(edges: DataFrame) -> DataFrame:
 def longest_part(parts: Column) -> Column:
     """The longest of array<struct<length, part>>; of equal ones the last."""
     return F.array_max(parts)
+
+
+def clip_edges(edges: DataFrame, ring: Column) -> DataFrame:
+    """edges(u, v, x1, y1, x2, y2) cut to a convex, counter-clockwise, closed ring:
+    edges outside go, those across its border get new ends; kept tells the share left."""
+    c = F.col
+    part = edges.withColumn("_t", clip_segment(c("x1"), c("y1"), c("x2"), c("y2"), ring)).filter("_t is not null")
+    at = lambda a, b, t: c(a) + c(f"_t.{t}") * (c(b) - c(a))
+    moved = {"x1": at("x1", "x2", "t0"), "y1": at("y1", "y2", "t0"), "x2": at("x1", "x2", "t1"), "y2": at("y1", "y2", "t1")}
+    return part.withColumns({**{f"_{k}": v for k, v in moved.items()}, "kept": c("_t.t1") - c("_t.t0")}).select(
+        *(c(f"_{k}").alias(k) if k in moved else c(k) for k in edges.columns), "kept"
+    )
+
+
+def name_ends(edges: DataFrame, nodes: DataFrame, digits: int = 10) -> DataFrame:
+    """``edges`` with u and v by the place of their ends: the node(node, x, y) there,
+    to ``digits`` decimals, or a new name made of the place."""
+    spot = lambda x, y: F.concat_ws(":", F.round(x, digits), F.round(y, digits))
+    known = nodes.groupBy(spot(F.col("x"), F.col("y")).alias("_spot")).agg(F.min(F.col("node").cast("string")).alias("_node"))
+    out = edges
+    for end, k in (("u", 1), ("v", 2)):
+        out = out.withColumn("_spot", spot(F.col(f"x{k}"), F.col(f"y{k}"))).join(known, "_spot", "left")
+        out = out.withColumn(end, F.coalesce("_node", F.concat(F.lit("new_node_"), F.col("_spot")))).drop("_spot", "_node")
+    return out
+
+
+def split_border_nodes(edges: DataFrame, borders: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """edges(u, v, cost, country) whose border nodes(node) that trips start or end at
+    are split: edges of a country meet its own copy "<node>|<country>", and each
+    copy is tied to the node itself, both ways, at a cost of ``epsilon``."""
+    at = lambda end: borders.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}"))
+    own = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    name = lambda end: F.when(F.col(f"_{end}"), F.concat_ws("|", end, "country")).otherwise(F.col(end).cast("string"))
+    moved = own.select(name("u").alias("u"), name("v").alias("v"), "cost", F.lit("line").alias("kind"))
+    copies = own.filter("_u").select(F.col("u").alias("node"), "country").union(own.filter("_v").select("v", "country")).distinct()
+    ties = copies.select(F.concat_ws("|", "node", "country").alias("u"), F.col("node").cast("string").alias("v"), F.lit(float(epsilon)).alias("cost"), F.lit("tie").alias("kind"))
+    return moved.unionByName(reflect_all(ties))
+
+
+def multimodal(parts: dict[str, DataFrame], boarding: float = 0.0) -> DataFrame:
+    """(u, v, seconds, mode) of the edges(u, v, seconds) of several modes in one network; all but walking cost ``boarding`` more."""
+    every = None
+    for mode, edges in parts.items():
+        one = edges.select("u", "v", (F.col("seconds") + (0.0 if mode == "walk" else boarding)).alias("seconds"), F.lit(mode).alias("mode"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def dissolve(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """(<key>, cx, cy): the cells, ``size`` wide, whose centres lie in any polygon(<key>, ring) of the key, each once."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    near = polygons.withColumn("cx", F.explode(F.sequence(cell(F.array_min(xs), size), cell(F.array_max(xs), size))))
+    near = near.withColumn("cy", F.explode(F.sequence(cell(F.array_min(ys), size), cell(F.array_max(ys), size))))
+    inside = point_in_ring((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("ring"))
+    return near.filter(inside).select(key, "cx", "cy").distinct()
+
+
+def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(a_id, b_id, area, ring) of the common parts of a(id, ring) and b(id, ring), the
+    latter convex and counter-clockwise; both are dealt to the cells of their
+    bounding boxes and met there once."""
+
+    def dealt(df: DataFrame, to: str) -> DataFrame:
+        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+        own = df.select(F.col("id").alias(f"{to}_id"), F.col("ring").alias(f"{to}_ring"), cell(F.array_min(xs), size).alias(f"{to}_x"), cell(F.array_min(ys), size).alias(f"{to}_y"), cell(F.array_max(xs), size).alias("_x1"), cell(F.array_max(ys), size).alias("_y1"))
+        return own.withColumn("_cx", F.explode(F.sequence(f"{to}_x", "_x1"))).withColumn("_cy", F.explode(F.sequence(f"{to}_y", "_y1"))).drop("_x1", "_y1")
+
+    met = dealt(a, "a").join(dealt(b, "b"), ["_cx", "_cy"])
+    met = met.filter((F.col("_cx") == F.greatest("a_x", "b_x")) & (F.col("_cy") == F.greatest("a_y", "b_y")))  # the first cell in common
+    cut = met.select("a_id", "b_id", clip_ring(F.col("a_ring"), F.col("b_ring")).alias("ring"))
+    return cut.withColumn("area", F.abs(ring_area(F.col("ring")))).filter("area > 1e-12").select("a_id", "b_id", "area", "ring")
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """(u, pairs, closed, clustering) of the undirected graph of edges(u, v): the share
+    of each node's pairs of neighbours that are neighbours of each other.
+
+    Each edge points to its end of higher degree, so a hub lists few edges of its
+    own; triangles are found once, from their lowest node, and count for all three."""
+    both = edges.filter("u <> v").select("u", "v").union(edges.filter("u <> v").select("v", "u")).distinct()
+    degree = materialize(both.groupBy("u").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    at = lambda end: degree.select(F.col("u").alias(end), F.struct("degree", F.col("u").alias("node")).alias(f"_{end}"))
+    up = materialize(both.join(at("u").withColumnRenamed("u", "_n"), F.col("u") == F.col("_n")).drop("_n").join(at("v"), "v").filter("_u < _v").select("u", "v", "_v"), "oriented")
+    wedge = up.select("u", F.col("v").alias("x"), F.col("_v").alias("_x")).join(up.select("u", F.col("v").alias("y"), F.col("_v").alias("_y")), "u").filter("_x < _y")
+    closed = wedge.join(up.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"], "left_semi")
+    hits = closed.select(F.explode(F.array("u", "x", "y")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("closed"))
+    out = degree.filter("degree > 1").join(hits, "u", "left")
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return out.select("u", pairs.cast("long").alias("pairs"), F.coalesce("closed", F.lit(0)).alias("closed"), (F.coalesce("closed", F.lit(0)) / pairs).alias("clustering"))

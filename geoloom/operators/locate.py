@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.plans.materialize import materialize
@@ -31,11 +31,11 @@ def max_cover(od: DataFrame, p: int, cutoff: float) -> DataFrame:
     return spark.createDataFrame(chosen, f"pick int, d {dict(od.dtypes)['d']}, gained double")
 
 
-def set_cover(od: DataFrame, cutoff: float, share: float = 1.0, max_picks: int = 100_000) -> DataFrame:
+def set_cover(od: DataFrame, cutoff: float, share: float = 1.0) -> DataFrame:
     """As max_cover, until ``share`` of the coverable weight is covered."""
     total = od.filter(F.col("cost") <= cutoff).select("o", "w_o").distinct().agg(F.sum("w_o")).first()[0] or 0.0
     spark, left, chosen, got = od.sparkSession, materialize(od.filter(F.col("cost") <= cutoff).select("o", "d", "w_o").distinct(), "cover"), [], 0.0
-    while got < share * total - 1e-9 and len(chosen) < max_picks:
+    while got < share * total - 1e-9:
         best = _pick(left.groupBy("d").agg(F.sum("w_o").alias("score")))
         if best is None:
             break
@@ -69,20 +69,45 @@ def _value(od: DataFrame, sites: list) -> tuple[int, float]:
     return row["n"], row["c"] or 0.0
 
 
-def p_median(od: DataFrame, p: int, rounds: int | None = None, most_choices: int = 5_000) -> DataFrame:
+def p_median_method(sites: int, p: int, most_choices: int = 5_000) -> str:
+    """The method that :func:`p_median` takes by itself for so many sites."""
+    return "exact" if sites >= p and comb(sites, p) <= most_choices else "exchange"
+
+
+def capacitated(od: DataFrame, chosen: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(o, d, cost) of origins served by the chosen(d) sites within capacities(d, cap):
+    deferred acceptance by cost. Each origin asks its nearest site; a site keeps
+    the nearest that fit into its capacity, weight after weight, and the rest ask
+    their next one. An origin that fits nowhere has no row."""
+    left = materialize(od.join(chosen.select("d"), "d", "left_semi").filter("cost is not null").select("o", "d", "cost", "w_o"), "asked")
+    while True:
+        first = left.groupBy("o").agg(F.min(F.struct("cost", "d")).alias("x")).select("o", F.col("x.d").alias("d"))
+        asked = left.join(first, ["o", "d"])
+        load = F.sum("w_o").over(Window.partitionBy("d").orderBy("cost", "o").rowsBetween(Window.unboundedPreceding, 0))
+        judged = materialize(asked.withColumn("load", load).join(capacities, "d"), "judged")
+        over = judged.filter("load > cap").select("o", "d")
+        if over.isEmpty():
+            return judged.select("o", "d", "cost")
+        left = materialize(left.join(over, ["o", "d"], "left_anti"), "asked")
+
+
+def p_median(od: DataFrame, p: int, rounds: int | None = None, most_choices: int = 5_000, method: str = "auto") -> DataFrame:
     """(d): p facilities with a small sum of w_o * cost to the nearest.
 
     Sets that serve more origins come before sets that serve fewer, then the
-    cheaper. Up to ``most_choices`` choices of sites are all priced, in one
-    grouped join, and the best taken (ties: the first in order). Beyond that
-    greedy choice is followed by exchange until no swap helps (or for ``rounds``
-    rounds, if given); the swaps of a site are priced in one grouped pass over
-    the table."""
+    cheaper. Method "exact" prices all choices of sites, in one grouped join, and
+    takes the best (ties: the first in order). Method "exchange" chooses greedily,
+    then swaps until no swap helps (or for ``rounds`` rounds, if given); the
+    swaps of a site are priced in one grouped pass over the table, and the result
+    need not be the best. "auto" is exact up to ``most_choices`` choices and
+    exchange beyond; :func:`p_median_method` tells which."""
+    if method not in ("auto", "exact", "exchange"):
+        raise ValueError(f"no such method: {method}")
     spark = od.sparkSession
     od = od.filter("cost is not null").select("o", "d", (F.col("cost") * F.col("w_o")).alias("c"))
     od = materialize(od.groupBy("o", "d").agg(F.min("c").alias("c")), "median")
     n = od.select("d").distinct().count()
-    if n >= p and comb(n, p) <= most_choices:
+    if method == "exact" or (method == "auto" and p_median_method(n, p, most_choices) == "exact"):
         sites = sorted(r["d"] for r in od.select("d").distinct().collect())
         return spark.createDataFrame([(x,) for x in _best_of_all(od, sites, p)], f"d {dict(od.dtypes)['d']}")
     order = (F.desc("new"), F.round("more", 9), "d")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.geo import cell
 from geoloom.plans.materialize import broadcast_if_small, materialize, ship_package
 
 Graph = dict[tuple, dict[object, list[tuple[object, float]]]]
@@ -213,3 +214,28 @@ def isochrone(paths: DataFrame, thresholds: list[float]) -> DataFrame:
         .groupBy("o", "threshold")
         .agg(F.count(F.lit(1)).alias("nodes"), F.max("cost").alias("farthest"))
     )
+
+
+def isochrone_cells(paths: DataFrame, nodes: DataFrame, thresholds: list[float], size: float, around: int = 0) -> DataFrame:
+    """(o, threshold, cx, cy): the area within each threshold of an origin as cells,
+    ``size`` wide: those of the nodes(node, x, y) reached, and ``around`` more on every side."""
+    cuts = paths.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    at = nodes.select("node", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    met = paths.join(at, "node").crossJoin(F.broadcast(cuts)).filter("cost <= threshold").select("o", "threshold", "cx", "cy").distinct()
+    span = F.sequence(F.lit(-around), F.lit(around))
+    wide = met.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
+    return wide.select("o", "threshold", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy")).distinct()
+
+
+def route_improvement(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(o, d, edges, cost, saved, mean_speed) of the routes in steps(o, d, u, v) over
+    edges(u, v, cost, seconds, km, rural, seen, class_speed, speed): ``saved`` are the
+    seconds that rural edges with an observed speed would save at the speed of
+    their class; the mean speed, observed where known, is weighted by length."""
+    known = steps.join(edges, ["u", "v"])
+    observed = F.col("seen") > 0
+    saved = F.when(observed & F.col("rural"), F.col("seconds") - F.col("km") / F.col("class_speed") * 3600).otherwise(0.0)
+    speed = F.when(observed, F.col("seen")).otherwise(F.col("speed"))
+    return known.groupBy("o", "d").agg(
+        F.count(F.lit(1)).alias("edges"), F.sum("cost").alias("cost"), F.sum(saved).alias("saved"), (F.sum(speed * F.col("km")) / F.sum("km")).alias("mean_speed")
+    )

@@ -63,6 +63,8 @@ def nearest_join(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds
         if rest.isEmpty():
             break
         size *= 2
+    else:
+        raise RuntimeError(f"nearest neighbours not settled within {max_rounds} rounds: start with wider cells")
     return out
 
 

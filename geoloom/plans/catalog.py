@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, weights
-from geoloom.operators import access, graph, locate, raster, routing, spatial, temporal
+from geoloom.operators import access, graph, locate, ranks, raster, routing, spatial, temporal
 from geoloom.operators.components import connected_components
 from geoloom.plans.materialize import broadcast_if_small, materialize
 from geoloom.sources.tables import table
@@ -285,8 +285,10 @@ def rollup_admin(spark, sf):
 
 @query("""select o_orderpriority, round(median(o_totalprice), 4) as med, round(quantile_cont(o_totalprice, 0.25), 4) as p25, round(quantile_cont(o_totalprice, 0.9), 4) as p90, round(stddev_pop(o_totalprice), 2) as sd from orders group by 1""")
 def median_pctl(spark, sf):
-    p = lambda q: _r(F.percentile("o_totalprice", q))
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(_r(F.median("o_totalprice")).alias("med"), p(0.25).alias("p25"), p(0.9).alias("p90"), F.round(F.stddev_pop("o_totalprice"), 2).alias("sd"))
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice")
+    p = ranks.percentiles(o, ["o_orderpriority"], "o_totalprice", {"med": 0.5, "p25": 0.25, "p90": 0.9})
+    sd = o.groupBy("o_orderpriority").agg(F.round(F.stddev_pop("o_totalprice"), 2).alias("sd"))
+    return p.join(sd, "o_orderpriority").select("o_orderpriority", *(_r(c).alias(c) for c in ("med", "p25", "p90")), "sd")
 
 
 @query("select p_type, p_brand, count(*) as n from part group by 1, 2")
@@ -369,7 +371,7 @@ def cumcount(spark, sf):
 def ngroup(spark, sf):
     """Group numbers in the order of the keys: ranked over the distinct keys, then joined, so the global window never holds the rows."""
     p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-    keys = p.select("p_type", "p_brand").distinct().withColumn("grp", (F.row_number().over(Window.orderBy("p_type", "p_brand")) - 1).cast("long"))
+    keys = ranks.running(p.select("p_type", "p_brand").distinct(), [], ["p_type", "p_brand"]).select("p_type", "p_brand", F.col("rank").alias("grp"))
     return p.join(keys, ["p_type", "p_brand"]).select("p_partkey", "grp")
 
 
@@ -428,9 +430,8 @@ def except_keys(spark, sf):
 
 @query("""select o_orderkey from (select o_orderkey, sum(o_totalprice) over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) - o_totalprice as spent from orders) where spent < 2000000""")
 def budget_prefix(spark, sf):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    df = table(spark, sf, "orders").withColumn("spent", F.sum("o_totalprice").over(w) - F.col("o_totalprice"))
-    return df.filter("spent < 2000000").select("o_orderkey")
+    df = ranks.running(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], "o_totalprice")
+    return df.filter(F.col("running") - F.col("o_totalprice") < 2_000_000).select("o_orderkey")
 
 
 # --- graphs -----------------------------------------------------------------------------------
@@ -665,3 +666,11 @@ def max_cover_sites(spark, sf):
 def set_cover_sites(spark, sf):
     od = ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o"))
     return locate.set_cover(od, 60.0, 0.9)
+
+
+@query("with recursive " + OD + """, a as (select o, d, cost, w_o from od where d in (0, 1, 2, 3)), k as (select o, arg_min(d, (cost, d)) as d, min(cost) as cost, any_value(w_o) as w from a group by 1) select o, d, round(cost, 6) as cost from k""")
+def capacitated_sites(spark, sf):
+    """Origins dealt to four sites within their capacities, here wide enough for all."""
+    od = ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o"))
+    sites = od.filter("d in (0, 1, 2, 3)").select("d").distinct()
+    return locate.capacitated(od, sites, sites.withColumn("cap", F.lit(1e12))).withColumn("cost", F.round("cost", 6))

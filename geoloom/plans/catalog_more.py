@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import graph, spatial, temporal
+from geoloom.operators import graph, ranks, spatial, temporal
 from geoloom.plans.catalog import _CUSTOMERS, _GRID, _SUPPLIERS, NG3, OD, _grid, _points, _r, ng3, ng3_od, query
+from geoloom.plans.materialize import broadcast_if_small, materialize
 from geoloom.sources.tables import table
 
 
@@ -58,7 +59,9 @@ def leave_one_out_buffer(spark, sf):
     """Median distance to the nearest other point."""
     s = _points(spark, sf, "supplier", "s_suppkey")
     near = spatial.nearest_join(s, s, 8.0, 2).filter("a_id <> b_id").groupBy("a_id").agg(F.min("dist").alias("d"))
-    return near.agg(_r(F.median("d")).alias("buffer"), F.count(F.lit(1)).alias("n"))
+    near = materialize(near, "nearest")
+    half = ranks.percentiles(near, [], "d", {"buffer": 0.5})
+    return half.crossJoin(near.agg(F.count(F.lit(1)).alias("n"))).select(_r("buffer").alias("buffer"), "n")
 
 
 @query(f"with c as ({_CUSTOMERS}), s as ({_SUPPLIERS}) select s.id, count(c.id) as n, round(coalesce(sum(c_acctbal), 0), 2) as total, arg_max(c.id, (c_acctbal, c.id)) as largest from s left join (c join customer on c_custkey = c.id) on sqrt(pow(s.x - c.x, 2) + pow(s.y - c.y, 2)) <= 6 group by 1")
@@ -116,7 +119,7 @@ def compactness(spark, sf):
     """Gravity compactness of the zones: each population times the others over their distance, over the total."""
     k = F.col("c_nationkey")
     n = table(spark, sf, "customer").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("p")).select("k", "p", geo.synthetic_lon(F.col("k")).alias("x"), geo.synthetic_lat(F.col("k")).alias("y"))
-    pair = n.alias("a").join(F.broadcast(n.alias("b")), F.col("a.k") != F.col("b.k"))
+    pair = n.alias("a").join(broadcast_if_small(n, 20_000).alias("b"), F.col("a.k") != F.col("b.k"))
     dist = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
     total = F.broadcast(n.agg(F.sum("p").alias("total")))
     return pair.crossJoin(total).agg(_r(F.sum(F.col("a.p") * F.col("b.p") / dist) / F.max("total")).alias("compactness"))
@@ -154,12 +157,7 @@ def weighted_od_summary(spark, sf):
 select u, pairs, closed, round(closed / pairs, 6) as clustering from t""")
 def clustering(spark, sf):
     """Share of each node's pairs of neighbours that are neighbours of each other."""
-    e = ng3(spark, sf)
-    r = e.select("u", "v").union(e.select("v", "u")).distinct()
-    p = r.alias("a").join(r.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.v") < F.col("b.v"))).select(F.col("a.u").alias("node"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
-    met = p.join(r.select(F.col("u").alias("x"), F.col("v").alias("y"), F.lit(1).alias("hit")), ["x", "y"], "left")
-    t = met.groupBy(F.col("node").alias("u")).agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("closed"))
-    return t.withColumn("clustering", F.round(F.col("closed") / F.col("pairs"), 6))
+    return graph.clustering(ng3(spark, sf)).withColumn("clustering", F.round("clustering", 6))
 
 
 @query("""with recursive """ + OD + """ select o, count(*) - 1 as reached, round((count(*) - 1) / nullif(sum(cost), 0), 6) as closeness from od group by 1""")
@@ -185,7 +183,7 @@ def duplicate_flags(spark, sf):
 @query("""select p_partkey, round(least(greatest((p_retailprice - lo) / (hi - lo), 0), 1) * 255, 4) as scaled from part, (select quantile_cont(p_retailprice, 0.02) as lo, quantile_cont(p_retailprice, 0.98) as hi from part)""")
 def percentile_scale(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    ends = F.broadcast(p.agg(F.percentile("p_retailprice", 0.02).alias("lo"), F.percentile("p_retailprice", 0.98).alias("hi")))
+    ends = F.broadcast(ranks.percentiles(p, [], "p_retailprice", {"lo": 0.02, "hi": 0.98}))
     x = (F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return p.crossJoin(ends).select("p_partkey", _r(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255).alias("scaled"))
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one where the
-    setting is absent, which only suits a session without remote executors."""
+    setting is absent and the session has no remote executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = getattr(spark.sparkContext, "_geoloom_dir", None)
         if not found:
