@@ -209,10 +209,12 @@ def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col:
         again = again.withColumn("gone", F.when(F.col("nth") == F.col("one"), F.col("gone")).otherwise(F.col("every"))).select(*joined.columns)
         joined = joined.filter("copies is null or copies = 1").unionByName(again)
     text = F.col(place(docs, text_col))
-    parts = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    kept = F.when(F.size("gone") > 0, F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")).otherwise(text)
-    joined = joined.withColumn("kept_text", kept).withColumn("n_parts", F.coalesce(F.size(parts), F.lit(0)))
+    # Generated as a column, so that the text is split once and not for every line that stays.
+    joined = joined.withColumn("parts", F.explode(F.array(F.when(F.size("gone") > 0, F.split(text, "\n")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    kept = F.when(F.col("parts").isNotNull(), F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")).otherwise(text)
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    joined = joined.withColumn("kept_text", kept).withColumn("n_parts", F.coalesce(breaks, F.lit(0)))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     joined = joined.withColumns({place(docs, text_col): F.col("kept_text"), "n_lines": count("n_parts"), "n_removed": count(F.size("gone")), "n_links": count("links")})
     return joined
