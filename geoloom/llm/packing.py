@@ -101,23 +101,39 @@ def knapsack(value: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), pattern
 
 
-def generate_patterns(weight: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4_000) -> list[tuple[np.ndarray, float]]:
+def generate_patterns(
+    weight: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4_000, smoothing: float = 0.95
+) -> list[tuple[np.ndarray, float]]:
     """Patterns and fractional uses that meet the demand with (nearly) the fewest sequences.
 
-    The restricted linear program is solved by the revised simplex method; the
-    duals price the classes, the knapsack finds the pattern of the most negative
-    reduced cost, and generation ends when no pattern improves. A plan that is
-    still improving after ``rounds`` is used as it is, with a warning: every piece
-    is packed all the same, with more padding than need be."""
+    The restricted linear program is solved by the revised simplex method, and
+    the knapsack prices the classes: first by duals drawn towards the best known
+    ones (``smoothing``, which spares the many rounds in which plain duals swing
+    to and fro), then, if that pattern doesn't improve, by the duals themselves.
+    Any prices divided by the value of their best pattern prove a lower bound, as
+    does the pieces' whole length; generation ends when the plan needs no more
+    sequences than the bound rounded up, which no whole plan can go below, or when
+    no pattern improves. A plan that is still improving after ``rounds`` is used as
+    it is, with a warning: every piece is packed all the same, with more padding
+    than need be."""
     m = len(weight)
     start = capacity // weight
     columns = [row for row in np.diag(start)]
     inverse = np.diag(1.0 / start)
     use = demand / start
+    area, bound, center = float(demand @ weight) / capacity, 0.0, np.zeros(m)
     for _ in range(rounds):
+        if use.sum() <= np.ceil(max(area, bound) - 1e-6) + 1e-9:
+            break
         duals = inverse.sum(axis=0)
-        value, pattern = knapsack(np.maximum(duals, 0.0), weight, capacity)
-        if value <= 1 + 1e-7:
+        for pull in (smoothing, 0.0) if bound else (0.0,):
+            prices = np.maximum(pull * center + (1 - pull) * duals, 0.0)
+            value, pattern = knapsack(prices, weight, capacity)
+            if demand @ prices / value > bound:
+                bound, center = float(demand @ prices / value), prices / value
+            if duals @ pattern > 1 + 1e-7:
+                break
+        else:
             break
         step = inverse @ pattern
         ok = step > 1e-10

@@ -334,6 +334,26 @@ def test_patterns_meet_the_lower_bound():
     assert sum(n for _, n in made) <= np.ceil(sum(u for _, u in plan)) + len(weight)
 
 
+def test_patterns_reach_the_proven_bound():
+    """256 length classes reach what no plan can go below, without running out of rounds; so do
+    pieces too long to pair, where the bound is more than their whole length."""
+    import warnings
+
+    from geoloom.llm.packing import generate_patterns, round_patterns
+
+    rng = np.random.default_rng(3)
+    many = np.unique(np.minimum(rng.geometric(0.02, 20_000), 256), return_counts=True)
+    cases = [(*many, 256, np.ceil(many[0] @ many[1] / 256)), (np.array([6, 7]), np.array([50, 70]), 10, 120), (np.array([3, 6]), np.array([30, 50]), 10, 50)]
+    for weight, demand, capacity, least in cases:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            plan = generate_patterns(weight, demand.astype(float), capacity)
+        assert sum(u for _, u in plan) <= least + 1e-6
+        made = round_patterns(plan, weight, demand, capacity)
+        assert (sum(p * n for p, n in made) == demand).all() and all(p @ weight <= capacity for p, _ in made)
+        assert sum(n for _, n in made) <= 1.002 * least + 2
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
