@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import hidden, map_rows, place, shown
 from geoloom.operators.components import connected_components
-from geoloom.plans.materialize import materialize
+from geoloom.plans.materialize import broadcast_if_small, materialize
 
 #: Hashes counted at a time for one text, and fingerprints along the side of one tile.
 CHUNK, TILE = 65_536, 256
@@ -189,13 +189,22 @@ def simhash_groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that name their component: one of each group. Of rows that
-    repeat a kept id one stays; rows with a null id can't be named and stay. All
-    columns stay, whatever their names; an empty table gives an empty one."""
-    first = materialize(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")), "first")
-    once, at = first.distinct(), place(docs, id_col)
-    work = hidden(docs).join(once, F.col(at) == F.col("kept_id"), "left").filter(f"kept_id is not null or {at} is null").drop("kept_id")
-    if first.count() > once.count():
-        work = work.filter(f"{at} is not null").dropDuplicates([at]).unionByName(work.filter(f"{at} is null"))
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", few: int = 1_000_000) -> DataFrame:
+    """``docs`` without the documents of ``groups`` that don't name their component:
+    one of each group stays. Of rows that repeat a kept id one stays; rows with a
+    null id can't be named and stay. All columns stay, whatever their names; an
+    empty table gives an empty one.
+
+    Only the ids that go or repeat meet the texts: up to ``few`` of them by a
+    broadcast, so that no text is shuffled, more by a shuffle join.
+    """
+    at, names = place(docs, id_col), F.col("doc_id") == F.col("component_id")
+    per_id = groups.filter("doc_id is not null").groupBy(F.col("doc_id").alias("odd_id")).agg(F.max(names).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = materialize(per_id.filter("not stays or n > 1"), "odd")
+    gone, again = odd.filter("not stays").select("odd_id"), odd.filter("stays").select("odd_id")
+    match = F.col(at) == F.col("odd_id")
+    work = hidden(docs).join(broadcast_if_small(gone, few), match, "left_anti")
+    if not again.isEmpty():
+        again = broadcast_if_small(again, few)
+        work = work.join(again, match, "left_anti").unionByName(work.join(again, match, "left_semi").dropDuplicates([at]))
     return shown(work, docs)
