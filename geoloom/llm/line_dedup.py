@@ -201,7 +201,8 @@ def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col:
     per_row = materialize(per_row.select("doc_id", "text_key", "gone", F.when(copies > 1, F.col("every")).alias("every"), F.call_function("div", "links", copies).alias("links"), copies.alias("copies")), "rows")
 
     work = hidden(docs).withColumn("row_id", F.col(place(docs, id_col))).withColumn("row_key", F.xxhash64(place(docs, text_col)))
-    joined = work.join(per_row, (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key")), "left")
+    # One plan at every size: per_row grows with the rows, so it is never broadcast.
+    joined = work.join(per_row.hint("merge"), (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key")), "left")
     if not per_row.filter("copies > 1").isEmpty():
         again = materialize(joined.filter("copies > 1").withColumn("nth", F.monotonically_increasing_id()), "again")
         one = again.groupBy(F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")).agg(F.min("nth").alias("one"))
