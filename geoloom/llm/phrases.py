@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from geoloom.plans.materialize import materialize, ship_package
 
 #: A-Z lower-cased, piece ends as line feeds; other bytes stay.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
-#: Tokens encoded at a time, distinct entries of a task's counter, and the most slots of the word and pair tables.
-TOKENS, ENTRIES, WORD_SLOTS, PAIR_BITS = 1 << 20, 1 << 19, 1 << 24, 1 << 27
+#: Tokens encoded at a time, distinct entries of a task's counter, and the most slots of the word table and bits of the others.
+TOKENS, ENTRIES, WORD_SLOTS, GRAM_BITS = 1 << 20, 1 << 19, 1 << 24, 1 << 27
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -96,10 +97,10 @@ def word_table(frequent: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def pair_table(pairs: DataFrame, size: int) -> np.ndarray:
-    """A bit a slot, set where a frequent pair of words may be; ``size`` bits bound it."""
+def bit_table(grams: DataFrame, size: int) -> np.ndarray:
+    """A bit a slot, set where a frequent pair or triple of words may be; ``size`` bits bound it."""
     slot = F.col("h").bitwiseAND(F.lit(size - 1))
-    bits = pairs.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
+    bits = grams.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits"))
     out = np.zeros(max(1, size >> 5), np.uint32)
     got = bits.toArrow()
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
@@ -117,7 +118,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.ids: dict[tuple, dict] = {}
-        self.words, self.hashes, self.orders = [b""], [0], [(1 << 64) - 1]
+        self.words, self.hashes, self.orders, self.crowds = [b""], [0], [(1 << 64) - 1], [0.0]
 
     def _new(self, lang: str, own: dict, word: bytes) -> int:
         h = word_hash(lang.encode(), word)
@@ -128,11 +129,13 @@ class Encoder:
             self.words.append(word)
             self.hashes.append(h)
             self.orders.append(((255 - level) << 56) | (h >> 8))
+            self.crowds.append(2.0 ** (level / 4))  # at least the word's count
         own[word] = at
         return at
 
-    def stretches(self, texts: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, np.ndarray]]:
-        """(lang, numbers) of about a million tokens at a time; a piece is never cut in two."""
+    def stretches(self, texts: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, np.ndarray | None]]:
+        """(lang, numbers) of about a million tokens at a time; a piece is never cut in
+        two. None in place of numbers: those given so far will mean other words from here on."""
         held: dict[str, list] = {}
         for lang, text in texts:
             out = held.setdefault(lang, [])
@@ -151,6 +154,7 @@ class Encoder:
                 for k, x in held.items():
                     if x:
                         yield k, np.array(x, np.int32)
+                yield "", None
                 held.clear()
                 self.clear()
         for k, x in held.items():
@@ -158,27 +162,62 @@ class Encoder:
                 yield k, np.array(x, np.int32)
 
 
-def pair_counts(docs: DataFrame, held) -> DataFrame:
-    """(h, f): occurrences of pairs of adjacent words, neither of them surely rare, by hash."""
+class Grams:
+    """The pairs and triples of adjacent words of a stretch that may be frequent, by
+    the word table (one byte a slot) and the pair and triple tables (bits)."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | None = None):
+        h = hashes[ids]
+        self.pair = pair_hash(h[:-1], h[1:])
+        self.linked = (ids[:-1] > 0) & (ids[1:] > 0)
+        if pairs is not None:
+            self.linked &= _set(pairs, self.pair)
+            self.triple = pair_hash(self.pair[:-1], h[2:])
+            self.trebled = self.linked[:-1] & self.linked[1:]
+        if triples is not None:
+            self.trebled &= _set(triples, self.triple)
+
+
+def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h & np.uint64(32 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
+
+def gram_counts(docs: DataFrame, held) -> DataFrame:
+    """(h, f): occurrences, by hash, of pairs of adjacent words that may be frequent,
+    or of triples where the broadcast has a pair table; tasks count before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Encoder(held.value)
+        table, pairs = held.value
+        code, kept, n = Encoder(table), [], 0
+
+        def told() -> pa.RecordBatch:
+            h, at = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+            f = np.bincount(at, np.concatenate([x for _, x in kept]), len(h)).astype(np.int64)
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f)], names=["h", "f"])
+
         for _, ids in code.stretches(_texts(batches)):
-            a, b = ids[:-1], ids[1:]
-            both = (a > 0) & (b > 0)
-            keys, n = np.unique(a[both].astype(np.int64) << 32 | b[both], return_counts=True)
-            hashes = np.array(code.hashes, np.uint64)
-            h = pair_hash(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "f"])
+            if ids is None:
+                continue
+            own = Grams(ids, np.array(code.hashes, np.uint64), pairs)
+            kept.append(np.unique(own.pair[own.linked] if pairs is None else own.triple[own.trebled], return_counts=True))
+            n += len(kept[-1][0])
+            if n > 4 * TOKENS:
+                yield told()
+                n = 0
+        if kept:
+            yield told()
 
     return docs.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
-def reaches(ids: np.ndarray, order: np.ndarray, linked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def reaches(ids: np.ndarray, order: np.ndarray, linked: np.ndarray, trebled: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """How far the fragment of each token reaches to the left, over words that come
     strictly before its own in the order, and to the right, over words that don't
     come after it. So an n-gram lies in the fragment of one of its tokens: the
-    leftmost of its rarest word. ``linked[i]``: pair (i, i + 1) may be frequent."""
+    leftmost of its rarest word. ``linked[i]`` and ``trebled[i]``: the pair and the
+    triple from i on may be frequent; a fragment ends where one is not."""
     n = len(ids)
     left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
     on = ids > 0
@@ -189,48 +228,74 @@ def reaches(ids: np.ndarray, order: np.ndarray, linked: np.ndarray, most: int) -
         if d < n:
             ok_l[d:] &= linked[: n - d] & (order[: n - d] < order[d:])
             ok_r[: n - d] &= linked[d - 1 : n - 1] & (order[d:] <= order[: n - d])
+            if d > 1:
+                ok_l[d:] &= trebled[: n - d]
+                ok_r[: n - d] &= trebled[d - 2 : n - 2]
         left += ok_l
         right += ok_r
     return left, right
 
 
-def fragments(docs: DataFrame, held, most: int) -> DataFrame:
-    """(lang, pivot, fragment, at, n): the rewritten text around each word, with the
-    place of the pivot in it, counted in the task before the shuffle."""
+def fragments(docs: DataFrame, held, most: int, buckets: int, crowd: int) -> DataFrame:
+    """(bucket, lang, whole, fragment, at, n): the rewritten texts around the words of
+    a bucket of pivots, bundled: lists of fragments, of the pivot's place in each
+    and of how often it occurs, counted in the task before the shuffle.
+
+    A pivot lies in one bucket by its hash; one that may occur over ``crowd`` times
+    by the word table, the same in every task, is dealt to several (not whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pairs = held.value
+        table, pairs, triples = held.value
         code = Encoder(table)
-        span = 2 * most - 1
+        span, steps = 2 * most - 1, np.arange(-(most - 1), most)
+        counts: dict[str, Counter] = {}
+
+        def told(lang: str) -> Iterator[pa.RecordBatch]:
+            items, words = iter(counts.pop(lang).items()), code.words
+            while own := list(islice(items, 1 << 18)):
+                found = np.frombuffer(b"".join(k for k, _ in own), np.int32).reshape(-1, span)
+                pivot = found[:, most - 1]
+                parts = 1 + (np.array(code.crowds)[pivot] / crowd).astype(np.uint64)
+                h = np.array(code.hashes, np.uint64)[pivot]
+                part = np.array([xxhash.xxh64_intdigest(k) for k, _ in own], np.uint64) % parts
+                bucket = ((h ^ (h >> np.uint64(31))) + part) % np.uint64(buckets)
+                for whole in (True, False):
+                    rows = np.flatnonzero((parts == 1) == whole)
+                    rows = rows[np.argsort(bucket[rows], kind="stable")]
+                    if not len(rows):
+                        continue
+                    names, first = np.unique(bucket[rows], return_index=True)
+                    ends = pa.array(np.append(first, len(rows)).astype(np.int32))
+                    texts = [b" ".join([words[x] for x in r if x]) for r in found[rows].tolist()]
+                    lists = (pa.array(texts, pa.binary()).cast(pa.string()), pa.array((found[rows, : most - 1] > 0).sum(axis=1).astype(np.int32)), pa.array([own[i][1] for i in rows.tolist()], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names.astype(np.int32)), pa.array([lang] * len(names)), pa.array([whole] * len(names)), *(pa.ListArray.from_arrays(ends, x) for x in lists)],
+                        names=["bucket", "lang", "whole", "fragment", "at", "n"],
+                    )
+
         for lang, ids in code.stretches(_texts(batches)):
-            order, hashes = np.array(code.orders, np.uint64)[ids], np.array(code.hashes, np.uint64)[ids]
-            slot = pair_hash(hashes[:-1], hashes[1:]) & np.uint64(32 * len(pairs) - 1)
-            hit = (pairs[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1
-            linked = np.append((hit == 1) & (ids[:-1] > 0) & (ids[1:] > 0), False)
-            left, right = reaches(ids, order, linked, most)
-            at = np.flatnonzero(left + right)
-            padded = np.pad(ids, most - 1)
-            steps = np.arange(-(most - 1), most)
-            rows = padded[at[:, None] + (most - 1) + steps]
-            rows[(steps < -left[at, None]) | (steps > right[at, None])] = 0
-            counted = Counter(np.ascontiguousarray(rows, np.int32).view(np.dtype((np.void, 4 * span))).ravel().tolist())
-            if not counted:
+            if ids is None:  # the numbers are about to be given anew
+                for k in list(counts):
+                    yield from told(k)
                 continue
-            found = np.frombuffer(b"".join(counted), np.int32).reshape(-1, span)
-            words = code.words
-            texts = [b" ".join([words[x] for x in r if x]) for r in found.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(found)),
-                    pa.array([words[x] for x in found[:, most - 1]], pa.binary()).cast(pa.string()),
-                    pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array((found[:, : most - 1] > 0).sum(axis=1).astype(np.int32)),
-                    pa.array(list(counted.values()), pa.int64()),
-                ],
-                names=["lang", "pivot", "fragment", "at", "n"],
-            )
-
-    return docs.mapInArrow(run, "lang string, pivot string, fragment string, at int, n long")
+            own = Grams(ids, np.array(code.hashes, np.uint64), pairs, triples)
+            left, right = reaches(ids, np.array(code.orders, np.uint64)[ids], own.linked, own.trebled, most)
+            # Where the word before, the word itself and the one after are no frequent triple, no n-gram holds all three: two fragments.
+            across = np.zeros(len(ids), bool)
+            across[1:-1] = own.trebled
+            padded, counted = np.pad(ids, most - 1), counts.setdefault(lang, Counter())
+            for at, to_left, to_right in ((across & (left + right > 0), True, True), (~across & (left > 0), True, False), (~across & (right > 0), False, True)):
+                at = np.flatnonzero(at)
+                rows = padded[at[:, None] + (most - 1) + steps]
+                rows[(steps < -left[at, None] * to_left) | (steps > right[at, None] * to_right)] = 0
+                counted.update(np.ascontiguousarray(rows, np.int32).view(np.dtype((np.void, 4 * span))).ravel().tolist())
+            if sum(map(len, counts.values())) > 2 * ENTRIES:
+                for k in list(counts):
+                    yield from told(k)
+        for k in list(counts):
+            yield from told(k)
+
+    return docs.mapInArrow(run, "bucket int, lang string, whole boolean, fragment array<string>, at array<int>, n array<long>")
 
 
 def owned(words: list[str], at: int, most: int) -> Iterator[str]:
@@ -241,44 +306,47 @@ def owned(words: list[str], at: int, most: int) -> Iterator[str]:
 
 
 def mined(routed: DataFrame, most: int, least: int) -> DataFrame:
-    """(lang, phrase, a) of rows (lang, pivot, part, whole, fragment, at, n) that
-    come sorted by pivot: one pivot's n-grams are counted at a time, and those of a
-    pivot that is whole in this task go on only if they are frequent."""
+    """(lang, phrase, a) of the bundles of :func:`fragments` that come sorted by
+    bucket: one bucket's n-grams are counted at a time. Those of whole pivots go on
+    only if they are frequent; a count that grows too large goes on in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts, out = None, Counter(), ([], [], [])
+        now, counts, cut = None, Counter(), False
 
-        def close() -> None:
-            for phrase, n in counts.items():
-                if not now[3] or n >= least:
-                    for c, x in zip(out, (now[0], phrase, n), strict=True):
-                        c.append(x)
+        def told() -> Iterator[pa.RecordBatch]:
+            items = iter(counts.items())
+            while own := list(islice(((k, n) for k, n in items if cut or n >= least or not now[2]), 1 << 16)):
+                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(own)), pa.array([k for k, _ in own]), pa.array([n for _, n in own], pa.int64())], names=["lang", "phrase", "a"])
             counts.clear()
 
-        def told() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "a"])
-            for c in out:
-                c.clear()
-            return made
-
         for batch in batches:
-            for lang, pivot, part, whole, fragment, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (lang, pivot, part, whole):
+            for row in range(batch.num_rows):
+                bucket, lang, whole, texts, places, times = (c[row].as_py() for c in batch.columns)
+                if now != (bucket, lang, whole):
                     if now:
-                        close()
-                    now = (lang, pivot, part, whole)
-                    if len(out[0]) > 10_000:
-                        yield told()
-                for phrase in owned(fragment.split(" "), at, most):
-                    counts[phrase] += n
+                        yield from told()
+                    now, cut = (bucket, lang, whole), False
+                for fragment, at, n in zip(texts, places, times, strict=True):
+                    for phrase in owned(fragment.split(" "), at, most):
+                        counts[phrase] += n
+                if len(counts) > 4 * ENTRIES:
+                    cut = True
+                    yield from told()
         if now:
-            close()
-        yield told()
+            yield from told()
+
+    return routed.select("bucket", "lang", "whole", "fragment", "at", "n").mapInArrow(run, "lang string, phrase string, a long")
 
-    return routed.select("lang", "pivot", "part", "whole", "fragment", "at", "n").mapInArrow(run, "lang string, phrase string, a long")
 
+def _counted_bits(docs: DataFrame, table: np.ndarray, pairs: np.ndarray | None, least: int) -> np.ndarray:
+    """The pair table, or with it the triple table, by a pass over the texts."""
+    held = docs.sparkSession.sparkContext.broadcast((table, pairs))
+    grams = materialize(gram_counts(docs, held).filter(F.col("f") >= least).select("h"), "grams")
+    held.destroy()
+    return bit_table(grams, slots(grams.count(), 1 << 20, GRAM_BITS))
 
-def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, crowd: int = 200_000) -> tuple[DataFrame, DataFrame]:
+
+def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, crowd: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of the phrases of 2 to ``most`` words that occur ``least``
     times or more in docs(lang, text), and (lang, word, f) of all words."""
     spark = docs.sparkSession
@@ -286,25 +354,19 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5, crowd: in
     often = words.filter(F.col("f") >= least)
     n = often.count()
     table = word_table(often, slots(n, 1 << 16, WORD_SLOTS))
-    held = spark.sparkContext.broadcast(table)
-    pairs = materialize(pair_counts(docs, held).filter(F.col("f") >= least).select("h"), "pairs")
-    held.destroy()
-    held = spark.sparkContext.broadcast((table, pair_table(pairs, slots(pairs.count(), 1 << 20, PAIR_BITS))))
-    made = materialize(fragments(docs, held, most), "fragments")
+    pairs = _counted_bits(docs, table, None, least)
+    triples = _counted_bits(docs, table, pairs, least)
+    held = spark.sparkContext.broadcast((table, pairs, triples))
+    tokens = words.agg(F.sum("f")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens >> 20)
+    made = materialize(fragments(docs, held, most, buckets, crowd), "fragments")
     held.destroy()
-    # The fragments of a crowded pivot are dealt to several tasks, whose counts are added up after.
-    crowded = materialize(made.groupBy("lang", "pivot").count().filter(F.col("count") > crowd).select("lang", "pivot", F.ceil(F.col("count") / crowd).alias("parts")), "crowded")
-    if crowded.isEmpty():
-        routed = made.withColumn("parts", F.lit(1).cast("long"))
-    else:  # at most one for each ``crowd`` fragments
-        routed = made.join(crowded, ["lang", "pivot"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    routed = routed.withColumns({"part": F.pmod(F.xxhash64("fragment", "at"), F.col("parts")), "whole": F.col("parts") == 1})
-    routed = routed.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
+    routed = made.repartition("bucket").sortWithinPartitions("bucket", "lang", "whole")
     phrases = mined(routed, most, least).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     return materialize(phrases, "phrases"), words
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2_000, crowd: int = 200_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2_000, crowd: int = 10_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` collocations.
 
     Texts are lower-cased (A-Z), split at ``.,;:!?`` and line ends into pieces and
@@ -317,11 +379,11 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2_
 
     Every n-gram belongs to its rarest word, the pivot. Tasks rewrite the text
     around each word into the fragment of the words more frequent than it, cut
-    where a word or a pair of words is too rare (an n-gram can't occur more
-    often than its pairs), count equal fragments and send them to the pivot,
-    where n-grams that hold it are counted; a crowded pivot is split. Which
-    words and pairs are too rare is told by two tables of hashes of bounded
-    size; a clash lets a word through and changes no count.
+    where a word, a pair or a triple of words is too rare (an n-gram can't occur
+    more often than what it holds), count equal fragments and send them to the
+    pivot, where n-grams that hold it are counted; a crowded pivot is split.
+    Which ones are too rare is told by tables of hashes of bounded size, each
+    from a pass over the texts; a clash lets a word through and changes no count.
 
     A null language is ``und``, a null or empty text has no words, repeated
     rows count each, ties are ordered by a, then by the phrase's bytes. An
