@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import cell, clip_ring, clip_segment, point_in_ring, ring_area
+from geoloom.functions.geo import clip_ring, clip_segment, ring_area
 from geoloom.operators.components import connected_components
+from geoloom.operators.polygons import covered_cells, touching_pairs
 from geoloom.operators.spatial import nearest_join, within_distance
 from geoloom.plans.materialize import materialize
 
@@ -251,26 +252,18 @@ def multimodal(parts: dict[str, DataFrame], boarding: float = 0.0) -> DataFrame:
 
 
 def dissolve(polygons: DataFrame, key: str, size: float) -> DataFrame:
-    """(<key>, cx, cy): the cells, ``size`` wide, whose centres lie in any polygon(<key>, ring) of the key, each once."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    near = polygons.withColumn("cx", F.explode(F.sequence(cell(F.array_min(xs), size), cell(F.array_max(xs), size))))
-    near = near.withColumn("cy", F.explode(F.sequence(cell(F.array_min(ys), size), cell(F.array_max(ys), size))))
-    inside = point_in_ring((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("ring"))
-    return near.filter(inside).select(key, "cx", "cy").distinct()
+    """(<key>, cx, cy): the cells, ``size`` wide, whose centres lie in any polygon(<key>, ring or rings) of the key, each once."""
+    # A polygon of its own is covered by itself; the key may have any number.
+    each = materialize(polygons.select(F.monotonically_increasing_id().alias("_poly"), *[c for c in (key, "ring", "rings") if c in polygons.columns]), "polygons")
+    cells = covered_cells(each, "_poly", size)
+    return cells.join(each.select("_poly", key), "_poly").select(key, "cx", "cy").distinct()
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id, area, ring) of the common parts of a(id, ring) and b(id, ring), the
-    latter convex and counter-clockwise; both are dealt to the cells of their
-    bounding boxes and met there once."""
-
-    def dealt(df: DataFrame, to: str) -> DataFrame:
-        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-        own = df.select(F.col("id").alias(f"{to}_id"), F.col("ring").alias(f"{to}_ring"), cell(F.array_min(xs), size).alias(f"{to}_x"), cell(F.array_min(ys), size).alias(f"{to}_y"), cell(F.array_max(xs), size).alias("_x1"), cell(F.array_max(ys), size).alias("_y1"))
-        return own.withColumn("_cx", F.explode(F.sequence(f"{to}_x", "_x1"))).withColumn("_cy", F.explode(F.sequence(f"{to}_y", "_y1"))).drop("_x1", "_y1")
-
-    met = dealt(a, "a").join(dealt(b, "b"), ["_cx", "_cy"])
-    met = met.filter((F.col("_cx") == F.greatest("a_x", "b_x")) & (F.col("_cy") == F.greatest("a_y", "b_y")))  # the first cell in common
+    latter convex and counter-clockwise; they meet where their coverings do."""
+    pairs = touching_pairs(a, b, size)
+    met = pairs.join(a.select(F.col("id").alias("a_id"), F.col("ring").alias("a_ring")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("ring").alias("b_ring")), "b_id")
     cut = met.select("a_id", "b_id", clip_ring(F.col("a_ring"), F.col("b_ring")).alias("ring"))
     return cut.withColumn("area", F.abs(ring_area(F.col("ring")))).filter("area > 1e-12").select("a_id", "b_id", "area", "ring")
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import cell, point_in_ring
+from geoloom.functions.geo import cell
+from geoloom.operators.polygons import points_in_polygons  # noqa: F401  it stands with the other joins
 from geoloom.plans.materialize import materialize, ship_package
 
 
@@ -68,21 +69,6 @@ def nearest_join(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds
     return out
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """points(id, x, y, ...) with poly_id of each polygon(poly_id, ring) that holds it.
-
-    Polygons are dealt to the cells of their bounding boxes, points meet them in
-    a cell, and the even-odd rule decides."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    covered = (
-        polygons.withColumn("_cx", F.explode(F.sequence(cell(F.array_min(xs), size), cell(F.array_max(xs), size))))
-        .withColumn("_cy", F.explode(F.sequence(cell(F.array_min(ys), size), cell(F.array_max(ys), size))))
-        .select("poly_id", "ring", "_cx", "_cy")
-    )
-    met = _with_cells(points, size, 0).join(covered, ["_cx", "_cy"])
-    return met.filter(point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).select(*points.columns, "poly_id")
-
-
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """Each row of left with the ``value`` of right's latest row of the same keys
     at or before it (null without one): one union and one window, no range join."""
