@@ -7,6 +7,7 @@ or be several parts."""
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,9 @@ def _levels(cover: DataFrame) -> list[int]:
     return sorted(r[0] for r in cover.select("level").distinct().collect())  # at most a few dozen: one for each doubling of size
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, budget: int = 1_024) -> DataFrame:
-    """points(id, x, y, ...) with poly_id of each polygon(poly_id, ring or rings) that holds it.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, budget: int = 1_024, by: Sequence[str] = ()) -> DataFrame:
+    """points(id, x, y, ...) with poly_id of each polygon(poly_id, ring or rings) that holds
+    it, of those whose columns ``by`` equal the point's.
 
     Polygons are covered by quadtree cells (:func:`covering`), points look up
     their cell at each level in use. A hit in an inner cell is settled; in a
@@ -119,8 +121,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, budg
     own = [F.col(c) for c in points.columns]
     at = points.withColumns({"_x": cell(F.col("x"), size), "_y": cell(F.col("y"), size)}).withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels))))
     at = at.select(*own, "level", F.expr("shiftright(_x, level)").alias("_cx"), F.expr("shiftright(_y, level)").alias("_cy"))
-    held = cover.select("poly_id", "level", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("odd").alias("_odd"), F.col("legs").alias("_legs"))
-    met = at.join(held, ["level", "_cx", "_cy"])
+    if by:
+        cover = cover.join(polygons.select("poly_id", *by), "poly_id")
+    held = cover.select("poly_id", "level", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("odd").alias("_odd"), F.col("legs").alias("_legs"), *by)
+    met = at.join(held, ["level", "_cx", "_cy", *by])
     return met.filter(inside_cell(F.col("x"), F.col("y"), F.col("_odd"), F.col("_legs"))).select(*points.columns, "poly_id")
 
 

@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from geoloom.plans import catalog, catalog_more, catalog_network, catalog_weights  # noqa: F401
+from geoloom.plans import catalog, catalog_more, catalog_network, catalog_shapes, catalog_weights  # noqa: F401
 
 
 def plain(value):

@@ -152,3 +152,56 @@ def test_clean_roads_of_a_grid(spark):
     assert left["both directions"] == edges.count() == 2 * left["chains contracted again"]
     # Corners have two neighbours and are contracted, but the one with the spur, which ends the spur.
     assert nodes.count() == n * n - 3 + 1
+
+
+def told_parts(cells, diagonal=False):
+    """Cells of each contiguous part."""
+    steps = [(1, 0), (-1, 0), (0, 1), (0, -1)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
+    left, parts = set(cells), []
+    while left:
+        front = {left.pop()}
+        part = set(front)
+        while front:
+            front = {(x + a, y + b) for x, y in front for a, b in steps} & left
+            left -= front
+            part |= front
+        parts.append(part)
+    return parts
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_outlines_hold_their_cells(spark, diagonal):
+    from geoloom.operators.outlines import outlines
+
+    rng = random.Random(7)
+    groups = {"a": {(rng.randrange(14), rng.randrange(14)) for _ in range(110)}, "b": {(x, y) for x in range(-9, 10) for y in range(-9, 10) if max(abs(x), abs(y)) % 3 != 1}, "c": {(5, 5)}, None: {(0, 0), (1, 1), (1, 0)}}
+    rows = [(k, x, y) for k, own in groups.items() for x, y in own]
+    got = outlines(spark.createDataFrame(rows + rows[:30], "kind string, cx long, cy long"), ["kind"], 2.0, diagonal).collect()
+    for kind, own in groups.items():
+        told = sorted(sorted(p) for p in told_parts(own, diagonal))
+        found = []
+        for r in (r for r in got if r["kind"] == kind):
+            rings = [[(p["x"] / 2, p["y"] / 2) for p in ring] for ring in r["rings"]]
+            assert all(ring[0] == ring[-1] for ring in rings)
+            assert all((a[0] == b[0]) != (a[1] == b[1]) and (a[0] == b[0]) != (b[0] == c[0]) for ring in rings for a, b, c in zip(ring, ring[1:], ring[2:]))
+            areas = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2 for ring in rings]
+            assert areas[0] > 0 and all(a < 0 for a in areas[1:])
+            assert r["n_corners"] == sum(len(ring) - 1 for ring in rings) and r["area"] == 4 * sum(areas)
+            assert r["perimeter"] == 2 * sum(math.dist(a, b) for ring in rings for a, b in zip(ring, ring[1:]))
+            found.append([(x, y) for x in range(-12, 16) for y in range(-12, 16) if inside(x + 0.5, y + 0.5, rings)])
+        assert sorted(found) == told
+
+
+def test_a_long_ring_takes_few_rounds(spark):
+    from geoloom.operators import outlines
+    from geoloom.plans import materialize as m
+
+    rounds, plain = [], m.materialize
+    outlines.materialize = lambda df, label="part": (rounds.append(label), plain(df, label))[1]
+    try:
+        links = spark.range(5_000).selectExpr("id as side", "(id + 1) % 5000 as next")
+        got = outlines.ring_order(links).selectExpr("count(*)", "max(place)", "max(ring)", "sum(cast(place = side as int))").first()
+    finally:
+        outlines.materialize = plain
+    assert tuple(got) == (5_000, 4_999, 0, 5_000)
+    assert len(rounds) < 35
