@@ -179,13 +179,18 @@ def simhash_groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     component is named by its smallest id. Equal fingerprints (exact copies
     among them) are one node, so a group of copies costs one row per copy.
     Null, empty and blank texts have the fingerprint zero and are linked like
-    any other. Repeated rows repeat in the result; rows with a null id keep a
-    null component unless linked to others; other columns are not read.
+    any other. Repeated rows repeat in the result; rows with a null id link like
+    any other and have a null component only if no row with an id is reachable;
+    other columns are not read.
     """
     prints = materialize(fingerprints(docs, words, seed, id_col, text_col), "prints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = connected_components(group_links(reps.filter("rep is not null"), radius))
-    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # Fingerprints have numbers of their own, so that one held by null ids alone still passes links on.
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id())
+    reps = materialize(reps, "reps")
+    found = connected_components(group_links(reps, radius))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "low", F.coalesce("component", "rep").alias("part"))
+    least = named.groupBy("part").agg(F.min("low").alias("component_id"))
+    named = named.join(least, "part").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

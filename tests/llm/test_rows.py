@@ -156,3 +156,35 @@ def test_cells_of_a_crowded_key_meet_only_within_the_radius(spark):
     want = {(f, g) for f in fps for g in fps if abs(f.bit_count() - g.bit_count()) <= 4}
     cells = max(r["b"] for r in rows) + 1
     assert want <= met and len(rows) < cells * (cells + 1) / 2
+
+
+def test_windows_of_one_long_piece_take_linear_time():
+    import time
+
+    from geoloom.llm.secret_scan import dense_windows, encoder, random_spans
+
+    began = time.monotonic()
+    for lengths in ([4, 1, 2, 1] * 500_000, [1, 3] * 500_000, [1] * 1_000_000 + [9] * 1_000):
+        windows = dense_windows(lengths, 2.0)
+        assert all(a < b for a, b in windows) and all(x[1] <= y[0] for x, y in zip(windows, windows[1:]))
+    text = "aaaa.bb-" * 250_000  # two million characters without a blank
+    random_spans(text, encoder("byte_bpe_50k.tiktoken"), 2.0)
+    assert time.monotonic() - began < 60
+
+
+def test_fingerprints_of_null_ids_pass_links_on(spark, monkeypatch):
+    from geoloom.llm import simhash
+
+    made = spark.createDataFrame([(1, 0x0), (None, 0xF), (2, 0xFF), (None, -1), (None, 1 << 40 | 0xFFFF << 20), (7, 0x0)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
+    got = sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash.simhash_groups(made).collect()), key=str)
+    told = [(1, 0x0, 1), (None, 0xF, 1), (2, 0xFF, 1), (None, (1 << 64) - 1, None), (None, 1 << 40 | 0xFFFF << 20, None), (7, 0x0, 1)]
+    assert got == sorted(told, key=str)
+
+
+def test_lines_alike_whether_few_rows_or_many_are_touched(spark, sf):
+    from geoloom.llm import line_dedup
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, two = (sorted(tuple(r) for r in line_dedup._deduped(docs, 2, 20, "doc_id", "text", few).select("row_id", "in1", "n_lines", "n_removed", "n_links").collect()) for few in (1_000_000, 0))
+    assert one == two and any(r[3] for r in one)
