@@ -67,22 +67,26 @@ def dense_windows(lengths: list[int], ratio: float) -> list[tuple[int, int]]:
     """The disjoint windows (first and end character) of a string, cut into tokens of
     these lengths, in which characters per token fall furthest below ratio: the
     maximal scoring stretches where a token scores ratio less its length."""
-    out: list[tuple[int, int, float, float]] = []  # start, end, score before the start, score at the end
+    # Candidates: start, end, score before the start, score at the end, and the place of the last
+    # earlier candidate that starts lower. Each is passed over once, so the time is linear.
+    out: list[tuple[int, int, float, float, int]] = []
     at, total = 0, 0.0
     for n in lengths:
         score = ratio - n
         before, total = total, total + score
         if score > 0:
-            new = (at, at + n, before, total)
+            start, low, k = at, before, len(out) - 1
             while True:
-                k = next((i for i in range(len(out) - 1, -1, -1) if out[i][2] < new[2]), None)
-                if k is None or out[k][3] >= new[3]:
+                while k >= 0 and out[k][2] >= low:
+                    k = out[k][4]
+                if k < 0 or out[k][3] >= total:
                     break
-                new = (out[k][0], new[1], out[k][2], new[3])
+                start, _, low, _, before_k = out[k]
                 del out[k:]
-            out.append(new)
+                k = before_k
+            out.append((start, at + n, low, total, k))
         at += n
-    return [(a, b) for a, b, _, _ in out]
+    return [(a, b) for a, b, *_ in out]
 
 
 def random_spans(text: str, encoding, ratio: float) -> list[Span]:
