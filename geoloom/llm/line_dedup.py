@@ -181,7 +181,7 @@ def drop_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: s
     return shown(work.filter((F.col("n_removed") == 0) | F.col(place(docs, text_col)).rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
-def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str, few: int = 1_000_000) -> DataFrame:
     """``hidden(docs)`` with the new text in its place, n_lines, n_removed and n_links."""
     texts = hidden(docs).select(F.col(place(docs, id_col)).alias("doc_id"), F.col(place(docs, text_col)).alias("text"))
     narrow = materialize(lines_of(texts, min_chars).select("doc_id", "text_key", "pos", F.unhex(F.md5("line")).alias("id")), "lines")
@@ -201,8 +201,16 @@ def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col:
     per_row = materialize(per_row.select("doc_id", "text_key", "gone", F.when(copies > 1, F.col("every")).alias("every"), F.call_function("div", "links", copies).alias("links"), copies.alias("copies")), "rows")
 
     work = hidden(docs).withColumn("row_id", F.col(place(docs, id_col))).withColumn("row_key", F.xxhash64(place(docs, text_col)))
-    # One plan at every size: per_row grows with the rows, so it is never broadcast.
-    joined = work.join(per_row.hint("merge"), (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key")), "left")
+    # Only rows that lose a line, repeat or have links meet their texts; where they are few, the others are not shuffled.
+    touched = materialize(per_row.filter("size(gone) > 0 or copies > 1 or links > 0"), "touched")
+    match = (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key"))
+    if touched.limit(few + 1).count() <= few:
+        names = F.broadcast(touched.select("doc_id", "text_key"))
+        rest = work.join(names, match, "left_anti")
+        none = {c: F.lit(None).cast(t) for c, t in touched.dtypes}
+        joined = work.join(names, match, "left_semi").join(touched, match).unionByName(rest.withColumns(none))
+    else:
+        joined = work.join(touched, match, "left")
     if not per_row.filter("copies > 1").isEmpty():
         again = materialize(joined.filter("copies > 1").withColumn("nth", F.monotonically_increasing_id()), "again")
         one = again.groupBy(F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")).agg(F.min("nth").alias("one"))
