@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -54,6 +54,8 @@ _OPENS = re.compile(
     r"share(?: this)?(?: article| post)?|newsletter|subscribe.{0,20}|advertisements?|sponsored(?: content)?|anzeige|werbung|publicité|publicidad)\W*",
     re.I,
 )
+# Of those, labels that are headings of articles too.
+_EITHER = re.compile(r"\W*(?:(?:[0-9]+ )?(?:responses?|replies)|more from.{0,20}|trending(?: now)?|newsletter|subscribe.{0,20})\W*", re.I)
 _ANSWER = re.compile(r"\W*(?:reply|report|antworten|répondre|responder)\W*|.{1,60}\b(?:says|wrote|commented|schrieb|a écrit|dice|escribió)\s*:\W*", re.I)
 _NOTICE = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsign up\b|\bsubscribe\b|\bsponsored\b|\badvertisement\b|\balle rechte\b|\btous droits\b|\btodos los derechos\b", re.I)
 
@@ -329,13 +331,24 @@ def train_text(pages: DataFrame, sample: int = 5_000, id_col: str = "page_id", h
     return fit_text_weights([(tuple(r["x"]), r["y"], r["count"]) for r in counts])
 
 
+def prose(text: str, block: Block) -> bool:
+    """Whether a block is a paragraph of sentences: twenty words or more, few of them links, closed by a full stop or the like."""
+    return text.count(" ") >= 19 and block.linked < 0.4 * len(text) and text[-1:] in ".!?…\"”»"
+
+
 def opened(found: list[tuple[str, Block]]) -> list[bool]:
     """Which blocks lie in a part opened by a label such as "Comments": what
     follows under the label's parent (or, if it stands there alone, that one's
     parent) up to the next heading of another kind; and what shares its parent with
-    a comment's own labels."""
+    a comment's own labels.
+
+    One such label among three or more paragraphs ("As Mary wrote:") makes no
+    comment of them, and a heading that articles have too ("Responses") opens
+    such a part only if no paragraph follows or a comment's labels do."""
     out = [False] * len(found)
-    answers = {b.home for t, b in found if len(t) <= 80 and b.rich < RICH_TAG and _ANSWER.fullmatch(t)}
+    marked = [b.home if len(t) <= 80 and b.rich < RICH_TAG and _ANSWER.fullmatch(t) else None for t, b in found]
+    marks, paragraphs = Counter(marked), Counter(b.home for t, b in found if prose(t, b))
+    answers = {home for home, n in marks.items() if home is not None and (n > 1 or paragraphs[home] < 3)}
     for i, (text, b) in enumerate(found):
         if len(b.path) > 2 and b.home in answers:
             out[i] = True
@@ -344,13 +357,15 @@ def opened(found: list[tuple[str, Block]]) -> list[bool]:
         root = b.home
         while len(root) > 1 and (i + 1 == len(found) or found[i + 1][1].path[: len(root)] != root) and (not i or found[i - 1][1].path[: len(root)] != root):
             root = root[:-1]
-        out[i] = True
-        if not b.heading:
-            continue
-        for j in range(i + 1, len(found)):
+        part = [i]
+        for j in range(i + 1, len(found) if b.heading else i + 1):
             t, other = found[j]
             if other.path[: len(root)] != root or (other.heading and len(other.path) <= len(b.path) and not _OPENS.fullmatch(t)):
                 break
+            part.append(j)
+        if b.heading and _EITHER.fullmatch(text) and any(prose(*found[j]) for j in part) and not any(marked[j] is not None and found[j][1].home in answers for j in part):
+            continue
+        for j in part:
             out[j] = True
     return out
 

@@ -88,3 +88,27 @@ def test_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
     got = sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in H.extract_text(df).collect())
     assert [g[:2] for g in got] == [("1", "u"), ("1", "u"), ("2", "None"), ("None", "None")] and got[0] == got[1] and got[2][2:] == ("", 0) == got[3][2:]
+
+
+def test_prose_that_holds_the_labels_of_comments_stays():
+    """By the weights before and after fitting: paragraphs, a menu and a copyright line, and nothing named."""
+    p = [
+        "The settlers came here in the early spring of that year, and they built their first houses by the river with stone.",
+        "In the letters that she sent home she spoke of long winters, of the market in the town and of the people she had met.",
+        "Nobody knew at that time how far the new railway would reach, or who in the end was going to pay for all of it.",
+        "Later writers have doubted the whole story, but the papers that were found in the garden leave little room for that.",
+    ]
+    menu = "<div>" + "".join(f"<div><a href=/{w}>{w}</a></div>" for w in WORDS[:6]) + "</div>"
+    page = lambda body: f"<html><body>{menu}<div><h1>A history of the valley</h1>{body}</div><div>© 2020 The valley. All rights reserved</div></body></html>"
+    para = lambda *k: "".join(f"<p>{p[i]}</p>" for i in k)
+    fitted = H.fit_text_weights([(H.features(t, b), int(b.tag == "p" and b.linked == 0 and t.endswith(".")), 40) for t, b in H.blocks(page(para(0, 1, 2, 3)))])
+    for weights in (H.PRIOR, fitted):
+        for said in ("As Mary wrote:", "The minister says:", "Karl schrieb:"):
+            assert all(x in H.main_text(page(para(0, 1) + f"<p>{said}</p>" + para(2)), weights) for x in p[:3]), said
+        for label in ("Responses", "Subscribers of the paper", "More from the hills", "Replies"):
+            got = H.main_text(page(para(0, 1) + f"<h2>{label}</h2>" + para(2, 3)), weights)
+            assert all(x in got for x in p), label
+        for label in ("Responses", "Comments", "3 replies"):
+            comments = "".join(f"<div><div>{w.capitalize()} says:</div><p>{p[3]}</p><div>Reply</div></div>" for w in WORDS[:3])
+            got = H.main_text(page(para(0, 1, 2)) .replace("</div><div>©", f"</div><div><h2>{label}</h2>{comments}</div><div>©"), weights)
+            assert p[3] not in got and all(x in got for x in p[:3]), label
