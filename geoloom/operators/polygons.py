@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import cell
+from geoloom.functions.geo import cell, clip_ring, ring_area
 from geoloom.plans.materialize import materialize
 
 #: Part of a cell's width by which legs are taken wider, so that rounding hides none.
@@ -160,3 +160,97 @@ def most_rows(budget: int, levels: int) -> int:
 def levels_of(size: float, wide: float) -> int:
     """How many levels a polygon ``wide`` across may have."""
     return 1 + max(0, math.ceil(math.log2(max(wide / size, 1e-9))))
+
+
+# --- pieces of polygons ---------------------------------------------------------------------
+
+
+def trapezoids(polygons: DataFrame, key: str = "id") -> DataFrame:
+    """(key, piece, ring): polygon(key, ring or rings) cut at the heights of all its
+    corners into trapezoids with level tops and bottoms, closed and
+    counter-clockwise. Their areas add up to the polygon's, whatever its shape;
+    its legs must not cross (they may touch).
+
+    Each leg is written once for each band between two corners' heights that it
+    spans, and the legs of a band pair off from left to right."""
+    c = F.col
+    legs = ring_legs(polygons, key).filter("ay <> by").select(key, *(F.when(c("ay") < c("by"), c(a)).otherwise(c(b)).alias(n) for n, a, b in (("x0", "ax", "bx"), ("y0", "ay", "by"), ("x1", "bx", "ax"), ("y1", "by", "ay"))))
+    legs = materialize(legs, "legs")
+    heights = legs.select(key, c("y0").alias("y")).union(legs.select(key, "y1")).distinct()
+    w = Window.partitionBy(key).orderBy("y")
+    bands = materialize(heights.withColumn("k", F.row_number().over(w)).withColumn("top", F.lead("y").over(w)), "bands")
+    rank = lambda y, to: bands.select(key, c("y").alias(y), c("k").alias(to))
+    spans = legs.join(rank("y0", "k0"), [key, "y0"]).join(rank("y1", "k1"), [key, "y1"]).withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1)))
+    placed = spans.join(bands.select(key, "k", c("y").alias("low"), "top"), [key, "k"])
+    at = lambda y: F.when(y == c("y0"), c("x0")).when(y == c("y1"), c("x1")).otherwise(c("x0") + (c("x1") - c("x0")) * (y - c("y0")) / (c("y1") - c("y0")))
+    sides = placed.select(key, "k", "low", "top", at(c("low")).alias("xl"), at(c("top")).alias("xt"))
+    order = Window.partitionBy(key, "k").orderBy(c("xl") + c("xt"), "xl", "xt")
+    paired = sides.withColumn("_n", F.row_number().over(order) - 1).withColumn("_pair", F.call_function("div", c("_n"), F.lit(2)))
+    left, right = (F.max(F.when(c("_n") % 2 == i, F.struct("xl", "xt"))) for i in (0, 1))
+    both = paired.groupBy(key, "k", "_pair").agg(F.first("low").alias("low"), F.first("top").alias("top"), left.alias("l"), right.alias("r"))
+    spot = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    start = spot(c("l.xl"), c("low"))
+    ring = F.array(start, spot(c("r.xl"), c("low")), spot(c("r.xt"), c("top")), spot(c("l.xt"), c("top")), start)
+    return both.filter("r is not null and (r.xl > l.xl or r.xt > l.xt)").select(key, F.struct("k", "_pair").alias("piece"), ring.alias("ring"))
+
+
+def _half(ring: Column, a: Column, b: Column, inside: bool) -> Column:
+    """The part of an open convex ring on the left of the line from a to b, or on its right."""
+    far = lambda p: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) * (1 if inside else -1)
+    last = F.concat(F.slice(ring, F.size(ring), F.when(F.size(ring) > 0, 1).otherwise(0)), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+
+    def step(p: Column, q: Column) -> Column:
+        d, e = far(p), far(q)
+        t = d / F.nullif(d - e, F.lit(0.0))
+        met = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        return F.concat(F.when((d >= 0) != (e >= 0), F.array(met)).otherwise(F.slice(ring, 1, 0)), F.when(e >= 0, F.array(q)).otherwise(F.slice(ring, 1, 0)))
+
+    return F.when(F.size(ring) > 0, F.flatten(F.zip_with(last, ring, step))).otherwise(ring)
+
+
+def _open(ring: Column) -> Column:
+    return F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
+
+
+def subtract(ring: Column, others: Column) -> Column:
+    """What is left of a convex ring (closed, counter-clockwise) without those of an
+    array, as an array of closed convex rings."""
+
+    def without(piece: Column, other: Column) -> Column:
+        walls = F.zip_with(_open(other), F.slice(other, 2, F.greatest(F.size(other) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        walls = F.filter(walls, lambda e: e["a"] != e["b"])
+        cut = lambda s, e: F.struct(_half(s["rest"], e["a"], e["b"], True).alias("rest"), F.concat(s["out"], F.array(_half(s["rest"], e["a"], e["b"], False))).alias("out"))
+        start = F.struct(piece.alias("rest"), F.slice(F.array(piece), 1, 0).alias("out"))
+        return F.filter(F.aggregate(walls, start, cut)["out"], lambda r: F.size(r) > 2)
+
+    pieces = F.aggregate(others, F.array(_open(ring)), lambda s, other: F.flatten(F.transform(s, lambda piece: without(piece, other))))
+    return F.transform(pieces, lambda r: F.concat(r, F.slice(r, 1, 1)))
+
+
+def overlay(a: DataFrame, b: DataFrame, size: float, how: str = "intersection", least: float = 1e-12) -> DataFrame:
+    """(a_id, b_id, area, pieces) of a(id, ring or rings) and b(id, ring or rings) of any
+    shape: the common part of each pair as convex pieces; with how="union" also
+    what is left of each a (b_id null) and of each b (a_id null). Pieces smaller
+    than ``least`` go; pairs or rests without any have no row.
+
+    Both sides are cut into trapezoids, whose coverings meet in cells; two
+    trapezoids are clipped, and a rest is a trapezoid less all that meet it."""
+    if how not in ("intersection", "union"):
+        raise ValueError(f"no such overlay: {how}")
+    number = lambda df: materialize(trapezoids(df, "id").select(F.monotonically_increasing_id().alias("t"), "id", "ring"), "trapezoids")
+    one, two = number(a), number(b)
+    pairs = touching_pairs(one.select(F.col("t").alias("id"), "ring"), two.select(F.col("t").alias("id"), "ring"), size, 64)
+    of = lambda df, k: df.select(F.col("t").alias(f"{k}_id"), F.col("id").alias(f"_{k}"), F.col("ring").alias(f"{k}_ring"))
+    met = pairs.join(of(one, "a"), "a_id").join(of(two, "b"), "b_id")
+    cut = met.withColumn("ring", clip_ring(F.col("a_ring"), F.col("b_ring"))).withColumn("area", F.abs(ring_area(F.col("ring")))).filter(F.col("area") > least)
+    cut = materialize(cut.select("a_id", "b_id", "_a", "_b", "a_ring", "b_ring", "ring", "area"), "common")
+    total = lambda df, x, y: df.groupBy(x.alias("a_id"), y.alias("b_id")).agg(F.sum("area").alias("area"), F.collect_list("ring").alias("pieces"))
+    out = total(cut, F.col("_a"), F.col("_b"))
+    if how == "union":
+        for mine, own, k, other in ((one, "a", 0, "b"), (two, "b", 1, "a")):
+            against = cut.groupBy(F.col(f"{own}_id").alias("t")).agg(F.collect_list(f"{other}_ring").alias("_against"))
+            rest = mine.join(against, "t", "left").withColumn("ring", F.explode(F.when(F.col("_against").isNull(), F.array("ring")).otherwise(subtract(F.col("ring"), F.col("_against")))))
+            rest = rest.withColumn("area", F.abs(ring_area(F.col("ring")))).filter(F.col("area") > least)
+            none = F.lit(None).cast(dict((b if own == "a" else a).dtypes)["id"])
+            out = out.unionByName(total(rest, *((F.col("id"), none) if k == 0 else (none, F.col("id")))))
+    return out

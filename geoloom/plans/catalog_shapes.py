@@ -43,6 +43,28 @@ def star_populations(spark, sf):
     return held.join(balance, "id").groupBy(F.col("poly_id").alias("nation")).agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+_TILES = "tile as (select n_nationkey as zone, (n_nationkey % 6) * 60.0::double - 180 as w, (n_nationkey % 6) * 60.0::double - 120 as e, (n_nationkey // 6) * 60.0::double - 90 as s, (n_nationkey // 6) * 60.0::double - 30 as n from nation where n_nationkey < 18)"
+
+
+def _bounded(x: str) -> str:
+    """The integral of x held between w and e."""
+    return f"(case when {x} < w then w * {x} when {x} > e then w * w + (e * e - w * w) / 2 + e * ({x} - e) else w * w + ({x} * {x} - w * w) / 2 end)"
+
+
+@query(f"""with {_STARS.replace("b.y as y2 from corner", "b.y as y2, a.share from corner")}, {_TILES}, part as (select *, greatest(least(y1, y2), s) as lo, least(greatest(y1, y2), n) as hi, case when y2 > y1 then 1 else -1 end * case when share = 1 then 1 else -1 end as sign from leg, tile where least(y1, y2) < n and greatest(y1, y2) > s),
+run as (select *, x1 + (x2 - x1) * (lo - y1) / (y2 - y1) as xa, x1 + (x2 - x1) * (hi - y1) / (y2 - y1) as xb from part),
+common as (select nation, zone, sum(sign * case when abs(xb - xa) < 1e-9 then (hi - lo) * (least(greatest(xa, w), e) - w) else (hi - lo) / (xb - xa) * ({_bounded('xb')} - {_bounded('xa')}) - (hi - lo) * w end) as area from run group by 1, 2),
+whole as (select nation, sum((x1 * y2 - x2 * y1) / 2 * case when share = 1 then 1 else -1 end) as area from leg group by 1)
+select nation, zone, round(area, 4) as area from common where area > 1e-6 union all select w.nation, null, round(w.area - coalesce(sum(c.area), 0), 4) from whole w left join common c on c.nation = w.nation group by w.nation, w.area having w.area - coalesce(sum(c.area), 0) > 1e-6""")
+def star_overlay(spark, sf):
+    """Concave polygons with holes laid over tiles: the area in common, and what of each polygon lies outside all tiles."""
+    k = F.col("n_nationkey")
+    west, south = (k % 6) * 60.0 - 180, F.floor(k / 6) * 60.0 - 90
+    tiles = table(spark, sf, "nation").filter(k < 18).select(k.alias("id"), geo.box_ring(west, south, west + 60, south + 60).alias("ring"))
+    out = polygons.overlay(stars(spark, sf).withColumnRenamed("poly_id", "id"), tiles, 4.0, "union", 1e-6)
+    return out.filter("a_id is not null").select(F.col("a_id").alias("nation"), F.col("b_id").alias("zone"), F.round("area", 4).alias("area"))
+
+
 # --- noded roads ---------------------------------------------------------------------------
 
 _ROADS = f"road as (select s_suppkey as line_id, {_LON % 's_suppkey'} + s_acctbal / 997 as x1, {_LAT % 's_suppkey'} + s_acctbal / 1789 as y1, {_LON % 's_nationkey'} + s_acctbal / 613 as x2, {_LAT % 's_nationkey'} - s_acctbal / 877 as y2 from supplier)"

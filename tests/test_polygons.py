@@ -205,3 +205,51 @@ def test_a_long_ring_takes_few_rounds(spark):
         outlines.materialize = plain
     assert tuple(got) == (5_000, 4_999, 0, 5_000)
     assert len(rounds) < 35
+
+
+def area(rings):
+    """Of rings that don't overlap but as holes, by the even-odd rule."""
+    own = [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2 for r in rings]
+    return own[0] - sum(own[1:])
+
+
+ANY = "id int, rings array<array<struct<x:double,y:double>>>"
+
+
+def test_trapezoids_fill_their_polygons(spark):
+    from geoloom.functions.geo import ring_area
+    from geoloom.operators.polygons import trapezoids
+
+    rng = random.Random(11)
+    shapes = [(k, [star(rng, rng.uniform(-9, 9), rng.uniform(-9, 9), rng.randint(3, 30), 2, 9)]) for k in range(10)]
+    shapes.append((10, [star(rng, 0, 0, 24, 8, 14), star(rng, 0, 0, 9, 2, 7)]))
+    shapes.append((11, [[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (2.0, 1.0), (0.0, 3.0), (0.0, 0.0)]]))
+    shapes.append((12, [[(1.0, 1.0), (2.0, 1.0), (1.0, 1.0)]]))
+    pieces = trapezoids(spark.createDataFrame(shapes, ANY)).withColumn("area", ring_area(__import__("pyspark.sql.functions", fromlist=["x"]).col("ring"))).collect()
+    for k, rings in shapes:
+        own = [r for r in pieces if r["id"] == k]
+        assert sum(r["area"] for r in own) == pytest.approx(area(rings), abs=1e-9) and all(r["area"] > 0 for r in own)
+        for _ in range(60):
+            x, y = rng.uniform(-20, 20), rng.uniform(-20, 20)
+            assert sum(inside(x, y, [[(p["x"], p["y"]) for p in r["ring"]]]) for r in own) == inside(x, y, rings)
+
+
+def test_overlays_of_any_polygons(spark):
+    from geoloom.operators.polygons import overlay
+
+    rng = random.Random(12)
+    a = [(k, [star(rng, rng.uniform(0, 30), rng.uniform(0, 30), rng.randint(3, 12), 2, 9)]) for k in range(8)] + [(8, [star(rng, 15, 15, 20, 12, 16), star(rng, 15, 15, 8, 3, 10)])]
+    b = [(100 + 10 * i + j, [[(10.0 * i, 10.0 * j), (10.0 * i + 10, 10.0 * j), (10.0 * i + 10, 10.0 * j + 10), (10.0 * i + 4, 10.0 * j + 4), (10.0 * i, 10.0 * j + 10), (10.0 * i, 10.0 * j)]]) for i in range(3) for j in range(3)]
+    rows = overlay(spark.createDataFrame(a, ANY), spark.createDataFrame(b, ANY), 2.0, "union").collect()
+    got = {(r["a_id"], r["b_id"]): (r["area"], [[(p["x"], p["y"]) for p in ring] for ring in r["pieces"]]) for r in rows}
+    assert len(got) == len(rows)
+    common = overlay(spark.createDataFrame(a, ANY), spark.createDataFrame(b, ANY), 2.0).collect()
+    assert {(r["a_id"], r["b_id"]) for r in common} == {k for k in got if None not in k}
+    for k, rings in a:  # b's polygons don't overlap, so what they share with a polygon and its rest make it up
+        assert sum(s for (i, _), (s, _) in got.items() if i == k) == pytest.approx(area(rings))
+    for _ in range(1_500):
+        x, y = rng.uniform(-12, 42), rng.uniform(-12, 42)
+        in_a, in_b = {k for k, r in a if inside(x, y, r)}, {k for k, r in b if inside(x, y, r)}
+        told = {(i, j) for i in in_a for j in in_b} | ({(i, None) for i in in_a} if not in_b else set()) | ({(None, j) for j in in_b} if not in_a else set())
+        assert {k for k, (_, pieces) in got.items() if any(inside(x, y, [p]) for p in pieces)} == told
+    assert overlay(spark.createDataFrame([], ANY), spark.createDataFrame(b, ANY), 2.0, "union").count() == len(b)
