@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import disruption, noding, outlines, polygons, routing
+from geoloom.operators import disruption, form, graph, noding, outlines, polygons, routing
 from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, WEIGHTS, _grid, _points, nation_weights, ng3, query
 from geoloom.plans.catalog_network import _LAT, _LON, _PARCELS, _parcels
 from geoloom.sources.tables import table
@@ -132,6 +132,44 @@ def patch_outlines(spark, sf):
     return _outline_sums(outlines.value_polygons(k, "value", 12.0), "value")
 
 
+# --- the form of cities ----------------------------------------------------------------------
+
+_BUILT = f"""with {_PARCELS}, t as (select p_type, x, y, s, p.p_size from p join part on p_partkey = id), span as (select unnest(generate_series(0, 120)) as k),
+built as materialized (select distinct p_type, a.k as cx, b.k as cy from t, span a, span b where a.k + 0.5 >= x and a.k + 0.5 < x + s and b.k + 0.5 >= y and b.k + 0.5 < y + s),
+bare as materialized (select distinct a.k as cx, b.k as cy from t, span a, span b where p_size > 45 and a.k + 0.5 >= x and a.k + 0.5 < x + s and b.k + 0.5 >= y and b.k + 0.5 < y + s)"""
+
+
+def _built(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The cells of each type's parcels, and those of large parcels, taken as ground that can't be built on."""
+    p = _parcels(spark, sf)
+    return graph.dissolve(p, "p_type", 1.0), graph.dissolve(p.filter("p_size > 45").withColumn("all", F.lit(1)), "all", 1.0).select("cx", "cy")
+
+
+@query(_BUILT + """, ends as (select p_type, cx, min(cy) as lo, max(cy) + 1 as hi from built group by 1, 2), pt as materialized (select distinct p_type, (cx + a)::double as x, y::double as y from (select p_type, cx, unnest([lo, hi]) as y from ends), (values (0), (1)) v(a)),
+pts as materialized (select p_type, x, min(y) as y from pt group by 1, 2 union select p_type, x, max(y) from pt group by 1, 2),
+side as materialized (select p.p_type, p.x as px, p.y as py, q.x as qx, q.y as qy from pts p join pts q on p.p_type = q.p_type and (p.x <> q.x or p.y <> q.y) join pts r on r.p_type = p.p_type group by all
+having bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 or ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) and (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) between 0 and (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))),
+hull as (select p_type, sum(px * qy - qx * py) / 2 as hull from side group by 1),
+hit as (select p_type, cx, cy from side, bare where (py > cy + 0.5) <> (qy > cy + 0.5) and cx + 0.5 < (qx - px) * (cy + 0.5 - py) / (qy - py) + px group by all having count(*) % 2 = 1),
+n as (select p_type, count(*)::double as built from built group by 1), u as (select p_type, count(*)::double as unbuildable from hit group by 1)
+select p_type, built, hull, coalesce(unbuildable, 0.0::double) as unbuildable, round(built / (hull - coalesce(unbuildable, 0)), 6) as coverage from n join hull using (p_type) left join u using (p_type)""")
+def built_coverage(spark, sf):
+    """The built share of each type's convex hull, less what of it can't be built on."""
+    built, bare = _built(spark, sf)
+    return form.coverage(built, bare, ["p_type"]).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(_BUILT + """, n as (select p_type, count(*) as built, cast(ceil(sqrt(count(*)) * 0.23369497725510913) + 2 as int) as reach from built group by 1),
+near as materialized (select b.p_type, b.cx + i.k as cx, b.cy + j.k as cy, min(i.k * i.k + j.k * j.k) as d2 from built b join n using (p_type), (select unnest(generate_series(-40, 40)) as k) i, (select unnest(generate_series(-40, 40)) as k) j where i.k * i.k + j.k * j.k <= reach * reach group by 1, 2, 3),
+far as (select * from near where d2 > 0), c as (select p_type, d2, sum(count(*)) over (partition by p_type order by d2) as k from far group by 1, 2), edge as (select p_type, min(d2) as edge from c join n using (p_type) where k >= built group by 1),
+ring as (select f.p_type, f.cx, f.cy from far f join edge using (p_type) where d2 <= edge)
+select p_type, n.built, count(*) as ring, cast(count(*) filter (where bare.cx is null) as bigint) as buildable, round(count(*) filter (where bare.cx is null) / n.built, 6) as expandability from ring join n using (p_type) left join bare on bare.cx = ring.cx and bare.cy = ring.cy group by 1, 2""")
+def built_expandability(spark, sf):
+    """Each type's built area grows by a ring of its own area: the share of it that can be built on."""
+    built, bare = _built(spark, sf)
+    return form.expandability(built, bare, ["p_type"], []).withColumn("expandability", F.round("expandability", 6))
+
+
 # --- networks under disruption ----------------------------------------------------------------
 
 _PERCENTS, _DRAWS = (5, 20, 50), 3
