@@ -668,9 +668,21 @@ def set_cover_sites(spark, sf):
     return locate.set_cover(od, 60.0, 0.9)
 
 
-@query("with recursive " + OD + """, a as (select o, d, cost, w_o from od where d in (0, 1, 2, 3)), k as (select o, arg_min(d, (cost, d)) as d, min(cost) as cost, any_value(w_o) as w from a group by 1) select o, d, round(cost, 6) as cost from k""")
+def _accepted(rounds: int) -> str:
+    """Rounds of deferred acceptance as CTEs: a<i> what is still asked for before round i, j<i> what is kept or turned down in it."""
+    return ", ".join(
+        f"j{i} as materialized (select a.*, sum(w) over (partition by d order by cost, o rows unbounded preceding) as load from (select * from a{i} qualify row_number() over (partition by o order by cost, d) = 1) a), a{i + 1} as materialized (select * from a{i} where (o, d) not in (select (o, d) from j{i} where load > (select cap from room)))"
+        for i in range(rounds)
+    )
+
+
+@query("with recursive " + OD + """, site as (select nation as d from weights where w > (select avg(w) from weights)), a0 as materialized (select o, d, cost, w_o::double as w from od join site using (d)),
+room as (select 1.1 * sum(w) / (select count(distinct d) from a0) as cap from (select distinct o, w from a0)), """ + _accepted(60) + " select o, d, round(cost, 6) as cost from j59 where load <= (select cap from room)")
 def capacitated_sites(spark, sf):
-    """Origins dealt to four sites within their capacities, here wide enough for all."""
-    od = ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o"))
-    sites = od.filter("d in (0, 1, 2, 3)").select("d").distinct()
-    return locate.capacitated(od, sites, sites.withColumn("cap", F.lit(1e12))).withColumn("cost", F.round("cost", 6))
+    """Origins dealt to the nations of more than average weight, each with room for a tenth more than an even share."""
+    od = materialize(ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o")), "od")
+    w = nation_weights(spark, sf)
+    sites = w.join(F.broadcast(w.agg(F.avg("w").alias("mean"))), F.col("w") > F.col("mean")).select(F.col("nation").alias("d")).join(od.select("d").distinct(), "d", "left_semi")
+    weight = od.join(sites, "d", "left_semi").select("o", "w_o").distinct().agg(F.sum("w_o").alias("all"))
+    room = weight.join(sites.agg(F.count(F.lit(1)).alias("n"))).select((1.1 * F.col("all") / F.col("n")).alias("cap"))
+    return locate.capacitated(od, sites, sites.join(F.broadcast(room))).withColumn("cost", F.round("cost", 6))

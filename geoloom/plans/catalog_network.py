@@ -402,10 +402,10 @@ def _relax(k: int) -> str:
     return f"d{k} as (select node, min(cost) as cost from (select * from d{k - 1} union all select e.v, d.cost + e.cost from d{k - 1} d join e on e.u = d.node) group by 1)"
 
 
-@query(f"with {_GRID}, f as (select cx, cy, 1 + abs(value) % 7 as value from g where abs(cx) <= 4 and abs(cy) <= 4), e as (select a.cx || ':' || a.cy as u, b.cx || ':' || b.cy as v, (a.value + b.value) / 2 * case when a.cx <> b.cx and a.cy <> b.cy then sqrt(2.0) else 1 end as cost from f a join f b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 and (a.cx <> b.cx or a.cy <> b.cy)), d0 as (select min(u) as node, 0.0::double as cost from e), " + ", ".join(_relax(k) for k in range(1, 31)) + " select node, round(cost, 4) as cost from d30")
+@query(f"with {_GRID}, f as (select cx, cy, 1 + abs(value) % 7 as value from g), e as (select a.cx || ':' || a.cy as u, b.cx || ':' || b.cy as v, (a.value + b.value) / 2 * case when a.cx <> b.cx and a.cy <> b.cy then sqrt(2.0) else 1 end as cost from f a join f b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 and (a.cx <> b.cx or a.cy <> b.cy)), d0 as (select min(u) as node, 0.0::double as cost from e), " + ", ".join(_relax(k) for k in range(1, 61)) + " select node, round(cost, 4) as cost from d60")
 def surface_travel_cost(spark, sf):
     """Least cost of travel over a friction surface from one cell."""
-    f = _grid(spark, sf).filter("abs(cx) <= 4 and abs(cy) <= 4").select("cx", "cy", (1 + F.abs("value") % 7).alias("value"))
+    f = _grid(spark, sf).select("cx", "cy", (1 + F.abs("value") % 7).alias("value"))
     e = raster.cost_edges(f)
     start = e.agg(F.min("u").alias("o"))
     return routing.shortest_paths(e, start).select("node", _r("cost").alias("cost"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo, weights
 from geoloom.operators import demand, graph, ranks, raster, temporal
-from geoloom.plans.catalog import _r, query
+from geoloom.plans.catalog import OD, _r, ng3_od, query
+from geoloom.plans.materialize import materialize
 from geoloom.sources.tables import table
 
 
@@ -265,13 +266,14 @@ def min_return_period(spark, sf):
     return raster.first_return(cells, [5, 20, 100]).select("p_partkey", "first_return")
 
 
-@query("""with b as (select o, d, 1.0 + o + d as was, 10.0 * (1 + o) as flow from (values (0), (1), (2)) a(o), (values (3), (4)) c(d)), s as (select 's' || k as scenario, o, d, case when (o + d) % 3 = k then null else (1.0 + o + d) * (1 + 0.2 * k) end as now from (values (0), (1), (2)) t(k), (values (0), (1), (2)) a(o), (values (3), (4)) c(d))
+@query("with recursive " + OD + """, b as (select o, d, cost as was, w_o * w_d / 100.0::double as flow from od where o <> d), s as (select 's' || k as scenario, o, d, case when (o + d) % 3 = k then null else was * (1 + 0.2 * k) end as now from b, (values (0), (1), (2)) t(k))
 select scenario, round(sum(case when now is null then flow else 0 end) / sum(flow), 6) as isolated, round(sum(case when now is not null then flow * (now - was) / was end) / sum(case when now is not null then flow end), 6) as delay,
 round(sum(case when now is not null and (now - was) / was > 0.3 then flow else 0 end) / sum(flow), 6) as slowed from s join b using (o, d) group by 1""")
 def disruption_shares(spark, sf):
-    ends = spark.range(3).select(F.col("id").alias("o")).crossJoin(spark.range(3, 5).select(F.col("id").alias("d")))
-    base = ends.withColumn("cost", 1.0 + F.col("o") + F.col("d"))
+    """Three scenarios of the network's trips, each with a third of the pairs cut and the others slower."""
+    od = ng3_od(spark, sf).filter("o <> d")
+    base = materialize(od.select("o", "d", "cost", (F.col("w_o") * F.col("w_d") / 100.0).alias("flow")), "od")
     k = spark.range(3).withColumnRenamed("id", "k")
-    broken = base.crossJoin(k).select(F.concat(F.lit("s"), F.col("k")).alias("scenario"), "o", "d", F.when((F.col("o") + F.col("d")) % 3 != F.col("k"), F.col("cost") * (1 + 0.2 * F.col("k"))).alias("cost"))
-    out = demand.disruption_summary(base, broken, ends.withColumn("flow", 10.0 * (1 + F.col("o"))))
+    broken = base.crossJoin(F.broadcast(k)).select(F.concat(F.lit("s"), F.col("k")).alias("scenario"), "o", "d", F.when((F.col("o") + F.col("d")) % 3 != F.col("k"), F.col("cost") * (1 + 0.2 * F.col("k"))).alias("cost"))
+    out = demand.disruption_summary(base.drop("flow"), broken, base.select("o", "d", "flow"))
     return out.select("scenario", *(F.round(c, 6).alias(c) for c in ("isolated", "delay", "slowed")))
