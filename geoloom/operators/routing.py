@@ -195,6 +195,93 @@ def k_shortest(edges: DataFrame, pairs: DataFrame, k: int, max_hops: int) -> Dat
     return done.select("o", "d", "rank", "cost", "path")
 
 
+def _deviations(moves: dict, back: dict, source, target, k: int) -> list[tuple[float, list]]:
+    """The k cheapest loopless paths (cost, nodes) from source to target, ties by fewer,
+    then smaller nodes: each next one leaves a known path at one of its nodes.
+
+    ``back`` holds the cheapest cost from every node to the target; it guides the
+    search for the way on, and shuts nodes out from which there is none."""
+
+    def way_on(root: list, cost: float, barred: set):
+        seen, start = set(root[:-1]), root[-1]
+        heap = [(cost + back[start], len(root), root, cost)]
+        best: dict = {}
+        while heap:
+            _, hops, path, now = heappop(heap)
+            at = path[-1]
+            if at == target:
+                return now, path
+            if best.get(at, (now, hops, path)) < (now, hops, path):
+                continue
+            for to, step in moves.get(at, ()):
+                if to in back and to not in seen and to not in path and not (at == start and len(path) == len(root) and to in barred):
+                    new = (now + step, hops + 1, [*path, to])
+                    if to not in best or new < best[to]:
+                        best[to] = new
+                        heappush(heap, (new[0] + back[to], hops + 1, new[2], new[0]))
+        return None
+
+    first = way_on([source], 0.0, set()) if source in back and source != target else None
+    known, open_paths, tried = [], [], set()
+    while first is not None:
+        cost, path = first
+        known.append((cost, path))
+        if len(known) == k:
+            break
+        steps = {(u, to): step for u in path for to, step in moves.get(u, ())}
+        run = 0.0
+        for i in range(len(path) - 1):
+            root = path[: i + 1]
+            barred = {p[i + 1] for _, p in known if p[: i + 1] == root}
+            found = way_on(root, run, barred)
+            if found is not None and tuple(found[1]) not in tried:
+                tried.add(tuple(found[1]))
+                heappush(open_paths, (found[0], len(found[1]), found[1]))
+            run += steps[path[i], path[i + 1]]
+        first = None
+        if open_paths:
+            cost, _, path = heappop(open_paths)
+            first = (cost, path)
+    return known
+
+
+def k_paths(edges: DataFrame, pairs: DataFrame, k: int, heap_edges: int = 500_000) -> DataFrame:
+    """(o, d, rank, cost, path): the k cheapest loopless paths (fewer, if there are no
+    more) of each pair(o, d), of any number of edges.
+
+    Up to ``heap_edges`` edges are broadcast; pairs are dealt out by destination,
+    so that one search backward serves all origins of a destination in a task,
+    and paths are found as deviations from those known. A larger network grows
+    prefixes in rounds (:func:`k_shortest`, without a bound on their edges)."""
+    moves = materialize(edges.filter("u <> v").groupBy("u", "v").agg(F.min("cost").cast("double").alias("step")), "moves")
+    wanted = pairs.select("o", "d").distinct().filter("o <> d")
+    if moves.limit(heap_edges + 1).count() > heap_edges:
+        return k_shortest(edges, wanted, k, 1 << 30)
+    spark = edges.sparkSession
+    ship_package(spark)
+    out: dict = {}
+    into: dict = {}
+    for r in moves.collect():
+        out.setdefault(r["u"], []).append((r["v"], r["step"]))
+        into.setdefault(r["v"], []).append((r["u"], r["step"]))
+    held = spark.sparkContext.broadcast((out, into))
+    kind = dict(wanted.dtypes)["o"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, into = held.value
+        back, of = {}, object()
+        for batch in batches:
+            rows = []
+            for o, d in zip(batch["o"].tolist(), batch["d"].tolist(), strict=True):
+                if d != of:
+                    back, of = {node: cost for node, cost, _, _ in _search(into, d, None)}, d
+                rows += [(o, d, i, cost, path) for i, (cost, path) in enumerate(_deviations(out, back, o, d, k), 1)]
+            yield pd.DataFrame(rows, columns=["o", "d", "rank", "cost", "path"])
+
+    spread = wanted.repartition(max(1, 4 * spark.sparkContext.defaultParallelism), "d", "o").sortWithinPartitions("d", "o")
+    return materialize(spread.mapInPandas(run, f"o {kind}, d {kind}, rank int, cost double, path array<{kind}>"), "paths")
+
+
 def logit_split(paths: DataFrame, spread: float = 0.05) -> DataFrame:
     """``paths`` of :func:`k_shortest` with share: exp(-spread * cost) over the pair's
     paths; of paths of one pair with equal costs the first alone counts."""
