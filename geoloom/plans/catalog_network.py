@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo
 from geoloom.operators import access, demand, graph, raster, routing, spatial
 from geoloom.operators.components import largest_component, strong_components
-from geoloom.plans.catalog import _CUSTOMERS, _GRID, _SUPPLIERS, BACK, NG3, OD, _grid, _points, _r, ng3, ng3_od, query
+from geoloom.plans.catalog import _CUSTOMERS, _GRID, _SUPPLIERS, BACK, NG3, OD, PATHS, _grid, _points, _r, ng3, ng3_od, query
 from geoloom.sources.tables import table
 
 _LON, _LAT = "((%s * 37) %% 360 - 180)::double", "((%s * 17) %% 180 - 90)::double"
@@ -233,27 +233,34 @@ def edge_betweenness(spark, sf):
     return demand.betweenness(routing.assign_flows(paths, trips), trips).select("u", "v", F.round("betweenness", 6).alias("betweenness"))
 
 
-_SIMPLE = NG3 + """, walk as (select u as o, v as node, cost, [u, v] as path from ng3 where u < 6 union all select w.o, e.v, w.cost + e.cost, list_append(w.path, e.v) from walk w join ng3 e on e.u = w.node where len(w.path) <= 5 and not list_contains(w.path, e.v)),
-best as (select o, node as d, cost, path, row_number() over (partition by o, node order by cost, len(path), path) as rank from walk)"""
+# Simple paths of up to six edges bound the third best of a pair; then all simple paths grow whose cheapest end keeps to it.
+_SIMPLE = PATHS + """, least as materialized (select o, node, cost from paths),
+few(o, d, cost, path) as (select u, v, cost, [u, v] from ng3 union all select f.o, e.v, f.cost + e.cost, list_append(f.path, e.v) from few f join ng3 e on e.u = f.d where len(f.path) <= 6 and not list_contains(f.path, e.v)),
+third as materialized (select o, d, max(cost) as worst from (select * from few qualify row_number() over (partition by o, d order by cost, len(path), path) <= 3) group by 1, 2 having count(*) = 3),
+ends as materialized (select distinct a.u as o, b.u as d from ng3 a, ng3 b where a.u <> b.u),
+grow(o, d, here, cost, path) as (select o, d, o, 0.0::double, [o] from ends union all select g.o, g.d, e.v, g.cost + e.cost, list_append(g.path, e.v) from grow g join ng3 e on e.u = g.here join least l on l.o = e.v and l.node = g.d left join third t on t.o = g.o and t.d = g.d
+  where g.here <> g.d and not list_contains(g.path, e.v) and (t.worst is null or g.cost + e.cost + l.cost <= t.worst + 1e-9)),
+best as (select o, d, cost, path, row_number() over (partition by o, d order by cost, len(path), path) as rank from grow where here = d)"""
 
 
-@query("with recursive " + _SIMPLE + " select o, d, cast(rank as int) as rank, round(cost, 6) as cost, array_to_string(path, '-') as path from best where rank <= 3 and d < 12 and o <> d")
-def k_shortest_paths(spark, sf):
-    """The three cheapest loopless paths of at most five edges."""
+def _three_paths(spark, sf) -> DataFrame:
+    """The three cheapest loopless paths of every pair of nations that trade."""
     e = ng3(spark, sf).select("u", "v", "cost")
-    ends = spark.range(6).select(F.col("id").cast("int").alias("o")).crossJoin(spark.range(12).select(F.col("id").cast("int").alias("d")))
-    p = routing.k_shortest(e, ends, 3, 5)
-    return p.select("o", "d", F.col("rank").cast("int").alias("rank"), F.round("cost", 6).alias("cost"), F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
+    ends = e.select(F.col("u").alias("o")).distinct()
+    return routing.k_paths(e, ends.join(ends.select(F.col("o").alias("d")), F.col("o") != F.col("d")), 3)
+
 
+@query("with recursive " + _SIMPLE + " select o, d, cast(rank as int) as rank, round(cost, 6) as cost, array_to_string(path, '-') as path from best where rank <= 3")
+def k_shortest_paths(spark, sf):
+    p = _three_paths(spark, sf)
+    return p.select("o", "d", "rank", F.round("cost", 6).alias("cost"), F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
-@query("with recursive " + _SIMPLE + """, k as (select * from best where rank <= 3 and d < 12 and o <> d), f as (select *, row_number() over (partition by o, d, round(cost, 9) order by rank) as n from k)
+
+@query("with recursive " + _SIMPLE + """, k as (select * from best where rank <= 3), f as (select *, row_number() over (partition by o, d, round(cost, 9) order by rank) as n from k)
 select o, d, cast(rank as int) as rank, round(exp(-0.05 * cost) / sum(exp(-0.05 * cost)) over (partition by o, d), 6) as share from f where n = 1""")
 def logit_shares(spark, sf):
     """Trips split over the paths of a pair by a logit of their costs."""
-    e = ng3(spark, sf).select("u", "v", "cost")
-    ends = spark.range(6).select(F.col("id").cast("int").alias("o")).crossJoin(spark.range(12).select(F.col("id").cast("int").alias("d")))
-    p = routing.logit_split(routing.k_shortest(e, ends, 3, 5))
-    return p.select("o", "d", F.col("rank").cast("int").alias("rank"), F.round("share", 6).alias("share"))
+    return routing.logit_split(_three_paths(spark, sf)).select("o", "d", "rank", F.round("share", 6).alias("share"))
 
 
 @query("with recursive " + OD + f", t as (select o, node, threshold, cast(floor({_LON % 'node'} / 20) as bigint) as cx, cast(floor({_LAT % 'node'} / 20) as bigint) as cy from paths, (values (20.0::double), (60.0)) v(threshold) where cost <= threshold), c as (select distinct o, threshold, cx + a as cx, cy + b as cy from t, (values (-1), (0), (1)) p(a), (values (-1), (0), (1)) q(b)) select o, threshold, count(*) as cells, min(cx) as west, max(cx) as east, min(cy) as south, max(cy) as north from c group by 1, 2")
