@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import disruption, form, graph, noding, outlines, polygons, routing
-from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, WEIGHTS, _grid, _points, nation_weights, ng3, query
+from geoloom.operators import disruption, form, graph, locate, noding, outlines, polygons, routing
+from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, WEIGHTS, _grid, _points, nation_weights, ng3, ng3_od, query
 from geoloom.plans.catalog_network import _LAT, _LON, _PARCELS, _parcels
+from geoloom.plans.materialize import materialize
 from geoloom.sources.tables import table
 
 # --- polygons of any shape -----------------------------------------------------------------
@@ -170,6 +171,33 @@ def built_expandability(spark, sf):
     return form.expandability(built, bare, ["p_type"], []).withColumn("expandability", F.round("expandability", 6))
 
 
+# --- sites ------------------------------------------------------------------------------------
+
+_HEAVIEST = "(select nation from weights order by w desc, nation limit 1)"
+
+
+def _weighted_od(spark, sf) -> tuple[DataFrame, list]:
+    """The OD table with weights, and the heaviest nation, taken as an existing site."""
+    od = materialize(ng3_od(spark, sf).select("o", "d", "cost", F.col("w_o").cast("double").alias("w_o")), "od")
+    return od, [nation_weights(spark, sf).orderBy(F.desc("w"), "nation").first()["nation"]]
+
+
+@query("with recursive " + OD + f""", s as (select distinct d from od union select {_HEAVIEST}), k as (select {_HEAVIEST} as a, b.d as b, c.d as c from s b, s c where b.d < c.d and b.d <> {_HEAVIEST} and c.d <> {_HEAVIEST}),
+m as (select a, b, c, o, min(cost * w_o) as x from k, od where d in (a, b, c) group by all),
+t as (select a, b, c, count(*) as n, sum(x) as x from m group by all order by n desc, round(sum(x), 9), b, c limit 1) select unnest([a, b, c]) as d from t""")
+def p_median_beside_existing(spark, sf):
+    """Three sites, one of them there already: the heaviest nation."""
+    od, forced = _weighted_od(spark, sf)
+    return locate.p_median(od, 3, forced=forced)
+
+
+@query()
+def p_median_gap(spark, sf):
+    """How far from the best a choice of five sites beside an existing one can be."""
+    od, forced = _weighted_od(spark, sf)
+    return locate.p_median_bound(od, 5, 25, forced)
+
+
 # --- networks under disruption ----------------------------------------------------------------
 
 _PERCENTS, _DRAWS = (5, 20, 50), 3
