@@ -17,6 +17,59 @@ def haversine_km(lon1, lat1, lon2, lat2, radius: float = EARTH_KM) -> Column:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+# Half axes in metres and flattening of the WGS 84 ellipsoid.
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+
+
+def vincenty_km(lon1, lat1, lon2, lat2, rounds: int = 40, close: float = 1e-12) -> Column:
+    """Length in kilometres of the geodesic on the WGS 84 ellipsoid: Vincenty's inverse
+    formula, iterated inside the expression until the longitude on the auxiliary
+    sphere moves by less than ``close``. Null where it doesn't settle within
+    ``rounds`` (nearly antipodal points) or a coordinate is null."""
+    f, a = WGS84_F, WGS84_A
+    b = a * (1 - f)
+    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    start = F.struct(F.radians(F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180).alias("l"), F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"))
+
+    def turn(p: Column, lam: Column) -> Column:
+        """The angle between the points for a longitude ``lam``, and what comes of it."""
+        cross = F.sqrt(F.pow(p["c2"] * F.sin(lam), 2) + F.pow(p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam), 2))
+        inner = p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)
+        sin_a = F.when(cross > 0, p["c1"] * p["c2"] * F.sin(lam) / cross).otherwise(0.0)
+        cos2_a = 1 - sin_a * sin_a
+        mid = F.when(cos2_a > 1e-15, inner - 2 * p["s1"] * p["s2"] / cos2_a).otherwise(0.0)  # zero along the equator
+        return F.struct(cross.alias("sin"), inner.alias("cos"), F.atan2(cross, inner).alias("angle"), sin_a.alias("sin_a"), cos2_a.alias("cos2_a"), mid.alias("mid"))
+
+    def step(s: Column, p: Column) -> Column:
+        t = turn(p, s["lam"])
+        c = f / 16 * t["cos2_a"] * (4 + f * (4 - 3 * t["cos2_a"]))
+        new = p["l"] + (1 - c) * f * t["sin_a"] * (t["angle"] + c * t["sin"] * (t["mid"] + c * t["cos"] * (-1 + 2 * t["mid"] * t["mid"])))
+        return F.struct(F.when(s["moved"] < close, s["lam"]).otherwise(new).alias("lam"), F.when(s["moved"] < close, s["moved"]).otherwise(F.abs(new - s["lam"])).alias("moved"))
+
+    def length(p: Column) -> Column:
+        begin = F.struct(p["l"].alias("lam"), F.lit(1.0).alias("moved"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: step(s, p))
+        t = F.transform(F.array(done), lambda s: F.struct(turn(p, s["lam"]).alias("t"), s["moved"].alias("moved")))
+
+        def along(x: Column) -> Column:
+            t, u = x["t"], x["t"]["cos2_a"] * ((a * a - b * b) / (b * b))
+            big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            less = small * t["sin"] * (t["mid"] + small / 4 * (t["cos"] * (-1 + 2 * t["mid"] * t["mid"]) - small / 6 * t["mid"] * (-3 + 4 * t["sin"] * t["sin"]) * (-3 + 4 * t["mid"] * t["mid"])))
+            return F.when(x["moved"] < close, b * big * (t["angle"] - less) / 1000)
+
+        return F.get(F.transform(t, along), F.lit(0))
+
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.when(known, F.get(F.transform(F.array(start), length), F.lit(0)))
+
+
+def geodesic_length_km(points: Column) -> Column:
+    """Length of array<struct<x, y>> in degrees along geodesics of the WGS 84 ellipsoid."""
+    legs = F.zip_with(*_open_pairs(points), lambda p, q: vincenty_km(p["x"], p["y"], q["x"], q["y"]))
+    return F.aggregate(legs, F.lit(0.0), lambda s, d: s + d)
+
+
 def bearing_degrees(dlon, dlat) -> Column:
     """Direction of a step, 0 to 360, clockwise from north."""
     d = F.degrees(F.atan2(dlon, dlat))

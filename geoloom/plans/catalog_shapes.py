@@ -171,6 +171,30 @@ def built_expandability(spark, sf):
     return form.expandability(built, bare, ["p_type"], []).withColumn("expandability", F.round("expandability", 6))
 
 
+# --- lengths on the ellipsoid -------------------------------------------------------------------
+
+_A, _B, _F = geo.WGS84_A, geo.WGS84_A * (1 - geo.WGS84_F), geo.WGS84_F
+_TURN = "sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) as sn, s1 * s2 + c1 * c2 * cos(lam) as cs"
+_WAY = "atan2(sn, cs) as sg, case when sn > 0 then c1 * c2 * sin(lam) / sn else 0 end as sa"
+_MID = "1 - sa * sa as ca, case when 1 - sa * sa > 1e-15 then cs - 2 * s1 * s2 / (1 - sa * sa) else 0 end as m"
+_NEXT = f"l + (1 - k) * {_F} * sa * (sg + k * sn * (m + k * cs * (2 * m * m - 1)))"
+
+
+@query(f"""with recursive {NG3}, w0 as (select u, v, radians(((({_LON % 'v'} - {_LON % 'u'} + 180) % 360) + 360) % 360 - 180) as l, atan({1 - _F} * tan(radians({_LAT % 'u'}))) as u1, atan({1 - _F} * tan(radians({_LAT % 'v'}))) as u2 from ng3),
+w as materialized (select u, v, l, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2 from w0),
+it(u, v, l, s1, c1, s2, c2, lam, moved, i) as (select *, l, 1.0::double, 0 from w union all
+select u, v, l, s1, c1, s2, c2, case when moved < 1e-12 then lam else {_NEXT} end, case when moved < 1e-12 then moved else abs({_NEXT} - lam) end, i + 1
+from (select *, {_F} / 16 * ca * (4 + {_F} * (4 - 3 * ca)) as k from (select *, {_MID} from (select *, {_WAY} from (select *, {_TURN} from it where i < 40))))),
+e as (select *, ca * {(_A * _A - _B * _B) / (_B * _B)} as uu from (select *, {_MID} from (select *, {_WAY} from (select *, {_TURN} from it where i = 40)))),
+f as (select *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) as p, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) as q from e)
+select u, v, round(case when moved < 1e-12 then {_B} * p * (sg - q * sn * (m + q / 4 * (cs * (2 * m * m - 1) - q / 6 * m * (4 * sn * sn - 3) * (4 * m * m - 3)))) / 1000 end, 4) as km from f""")
+def geodesic_lengths(spark, sf):
+    """Lengths of the network's edges on the ellipsoid; null where the formula doesn't settle."""
+    e = ng3(spark, sf)
+    ends = (geo.synthetic_lon(F.col("u")), geo.synthetic_lat(F.col("u")), geo.synthetic_lon(F.col("v")), geo.synthetic_lat(F.col("v")))
+    return e.select("u", "v", F.round(geo.vincenty_km(*ends), 4).alias("km"))
+
+
 # --- sites ------------------------------------------------------------------------------------
 
 _HEAVIEST = "(select nation from weights order by w desc, nation limit 1)"
