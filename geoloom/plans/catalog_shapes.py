@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import disruption, form, graph, locate, noding, outlines, polygons, routing
-from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, WEIGHTS, _grid, _points, nation_weights, ng3, ng3_od, query
+from geoloom.operators import centrality, disruption, form, graph, locate, noding, outlines, polygons, routing
+from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, PATHS, WEIGHTS, _grid, _points, nation_weights, ng3, ng3_od, query
 from geoloom.plans.catalog_network import _LAT, _LON, _PARCELS, _parcels
 from geoloom.plans.materialize import materialize
 from geoloom.sources.tables import table
@@ -171,6 +171,34 @@ def built_expandability(spark, sf):
     return form.expandability(built, bare, ["p_type"], []).withColumn("expandability", F.round("expandability", 6))
 
 
+# --- centrality ---------------------------------------------------------------------------------
+
+# All shortest paths, equal ones too, listed along the edges that keep to the least costs.
+_EQUAL = PATHS + """, tight as materialized (select a.o, e.u, e.v from paths a join ng3 e on e.u = a.node join paths b on b.o = a.o and b.node = e.v where abs(a.cost + e.cost - b.cost) <= 1e-9 * (1 + b.cost)),
+way(o, d, path) as (select distinct o, o, [o] from tight union all select w.o, t.v, list_append(w.path, t.v) from way w join tight t on t.o = w.o and t.u = w.d),
+part as (select o, d, path, 1.0::double / count(*) over (partition by o, d) as share from way where o <> d)"""
+
+
+@query("with recursive " + _EQUAL + " select path[i] as node, round(sum(share), 6) as betweenness from (select path, share, unnest(range(2, len(path))) as i from part) group by 1")
+def node_betweenness(spark, sf):
+    """How many trips pass each nation, equal shortest paths sharing a pair's trip."""
+    return centrality.betweenness(ng3(spark, sf))[0].withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("with recursive " + _EQUAL + " select path[i] as u, path[i + 1] as v, round(sum(share), 6) as betweenness from (select path, share, unnest(range(1, len(path))) as i from part) group by 1, 2")
+def edge_betweenness_equal_paths(spark, sf):
+    return centrality.betweenness(ng3(spark, sf))[1].withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("with recursive " + PATHS + """, flat as (select distinct least(u, v) as u, greatest(u, v) as v from ng3), both_ways as (select u, v from flat union all select v, u from flat), degree as (select u as node, count(*)::double as k from both_ways group by 1),
+near(a, b) as (select node, node from degree union select n.a, w.v from near n join both_ways w on w.u = n.b), part as (select a, min(b) as root from near group by 1),
+mix as (select corr(a.k, b.k) as r from both_ways w join degree a on a.node = w.u join degree b on b.node = w.v), c as (select count(*) as pairs, avg(cost) as mean, max(cost) as diameter from paths where o <> node)
+select (select count(*) from degree) as nodes, (select count(*) from flat) as edges, (select count(distinct root) from part) as parts, (select count(*) from flat) - (select count(*) from degree) + (select count(distinct root) from part) as cycles, pairs as reached_pairs, round(mean, 6) as mean_cost, round(diameter, 6) as diameter, round(r, 6) as assortativity from c, mix""")
+def network_figures(spark, sf):
+    out = centrality.network_figures(ng3(spark, sf))
+    return out.select("nodes", "edges", "parts", "cycles", "reached_pairs", *(F.round(c, 6).alias(c) for c in ("mean_cost", "diameter", "assortativity")))
+
+
 # --- lengths on the ellipsoid -------------------------------------------------------------------
 
 _A, _B, _F = geo.WGS84_A, geo.WGS84_A * (1 - geo.WGS84_F), geo.WGS84_F
