@@ -13,6 +13,7 @@ from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, PATHS, WEIGHTS, _g
 from geoloom.plans.catalog_network import _LAT, _LON, _PARCELS, _parcels
 from geoloom.plans.materialize import materialize
 from geoloom.sources.tables import table
+from geoloom.streaming import migration
 
 # --- polygons of any shape -----------------------------------------------------------------
 
@@ -223,6 +224,20 @@ def geodesic_lengths(spark, sf):
     return e.select("u", "v", F.round(geo.vincenty_km(*ends), 4).alias("km"))
 
 
+# --- changes of home -----------------------------------------------------------------------------
+
+
+@query("""with ping as (select user_id, ts, value as x, hour(ts)::double as y from events where value is not null), box as (select user_id, ts::date as day, (min(x) + max(x)) / 2 as x, (min(y) + max(y)) / 2 as y from ping group by 1, 2),
+step as (select *, coalesce(day - lag(day) over w = 1 and sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) < 30, false) as follows from box window w as (partition by user_id order by day)),
+run as (select *, sum(case when follows then 0 else 1 end) over (partition by user_id order by day) as run from step), stay as (select user_id, min(day) as first, max(day) as last, avg(x) as x, avg(y) as y from run group by user_id, run having count(*) >= 2),
+pair as (select *, lag(last) over w as left_day, lag(x) over w as fx, lag(y) over w as fy from stay window w as (partition by user_id order by first))
+select user_id, left_day, first as arrived_day, round(sqrt(pow(x - fx, 2) + pow(y - fy, 2)), 6) as distance from pair where sqrt(pow(x - fx, 2) + pow(y - fy, 2)) > 10""")
+def home_changes(spark, sf):
+    """Users that settle for two days or more, then settle elsewhere, in the plane of value and hour."""
+    pings = table(spark, sf, "events").filter("value is not null").select("user_id", "ts", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"))
+    return migration.migrations(pings, 2, 30.0, 10.0).select("user_id", "left_day", "arrived_day", F.round("distance", 6).alias("distance"))
+
+
 # --- sites ------------------------------------------------------------------------------------
 
 _HEAVIEST = "(select nation from weights order by w desc, nation limit 1)"
