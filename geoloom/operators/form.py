@@ -143,7 +143,7 @@ def distances(built: DataFrame, by: Sequence[str], reach: F.Column) -> DataFrame
         reach, west, east = (int(rows[c].iloc[0]) for c in ("reach", "_west", "_east"))
         d2 = row_distances(rows["cx"].to_numpy(), rows["up"].to_numpy(), west - reach, east + reach)
         at = np.flatnonzero((d2 > 0) & (d2 <= reach * reach))
-        return pd.DataFrame({**{c: [rows[c].iloc[0]] * len(at) for c in by}, "cx": at + west - reach, "cy": int(rows["row"].iloc[0]), "d2": d2[at]})
+        return pd.DataFrame({**{c: pd.Series([rows[c].iloc[0]] * len(at), dtype=rows[c].dtype) for c in by}, "cx": at + west - reach, "cy": int(rows["row"].iloc[0]), "d2": d2[at]})
 
     ship_package(built.sparkSession)
     return column.groupBy(*by, "row").applyInPandas(envelope, f"{lead}cx long, cy long, d2 long")

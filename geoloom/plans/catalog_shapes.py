@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import centrality, disruption, form, graph, locate, noding, outlines, polygons, routing
+from geoloom.operators import centrality, disruption, form, graph, kernels, locate, noding, outlines, polygons, routing
 from geoloom.plans.catalog import _CUSTOMERS, _GRID, NG3, OD, PATHS, WEIGHTS, _grid, _points, nation_weights, ng3, ng3_od, query
 from geoloom.plans.catalog_network import _LAT, _LON, _PARCELS, _parcels
 from geoloom.plans.materialize import materialize
@@ -134,6 +134,30 @@ def patch_outlines(spark, sf):
     return _outline_sums(outlines.value_polygons(k, "value", 12.0), "value")
 
 
+# --- kernels --------------------------------------------------------------------------------
+
+
+@query(f"""with {_GRID}, near as (select a.cx, a.cy, b.cx - a.cx as dx, b.cy - a.cy as dy, b.value from g a join g b on abs(a.cx - b.cx) <= 3 and abs(a.cy - b.cy) <= 3),
+w as (select *, sqrt(dx * dx + dy * dy) as d from near) select cx, cy, round(coalesce(sum(case when abs(dx) = 1 and abs(dy) <= 1 then dx * (2 - abs(dy)) * value end), 0), 4) as east, round(coalesce(sum(case when d >= 1.5 and d <= 3 then value end), 0), 4) as ring, round(coalesce(sum(case when d <= 3 then exp(-0.5 * d) * value end), 0), 4) as near, round(sum(case when abs(dx) <= 2 and abs(dy) <= 2 then value end), 4) as box from w group by 1, 2""")
+def kernel_sums(spark, sf):
+    """Slope, ring, decay and box of the surface around every cell."""
+    g = _grid(spark, sf)
+    sums = kernels.convolved(g, {"east": kernels.SOBEL_X, "ring": kernels.annulus(1.5, 3), "near": kernels.decay(3, 0.5)})
+    out = sums.join(kernels.box_sums(g, 2).withColumnRenamed("total", "box"), ["cx", "cy"])
+    return out.select("cx", "cy", *(F.round(c, 4).alias(c) for c in ("east", "ring", "near", "box")))
+
+
+@query(f"""with recursive {_GRID}, ends as (select min(value) as low, max(value) as high from g), h as (select least(floor((value - low) / ((high - low) / 256)), 255) as bin, count(*) as n from g, ends group by 1),
+cum as (select bin, sum(n) over (order by bin) as n0, sum(n * (bin + 0.5)) over (order by bin) as s0, sum(n) over () as n, sum(n * (bin + 0.5)) over () as s from h), best as (select bin from cum where n0 < n order by round(n0 / n * ((n - n0) / n) * pow(s0 / n0 - (s - s0) / (n - n0), 2), 9) desc, bin limit 1),
+wet as (select cx, cy, (cx + 1000) * 100000 + cy + 1000 as k from g, ends, best where value > low + (bin + 1) * (high - low) / 256), r(k, seen) as (select k, k from wet union select b.k, r.seen from r join wet a on a.k = r.k join wet b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1),
+part as (select k, min(seen) as root from r group by 1), m as (select root, count(*) as cells, avg(cx) as x, avg(cy) as y, var_pop(cx) + 1 / 12 as a, var_pop(cy) + 1 / 12 as b, covar_pop(cx, cy) as ab from part join wet using (k) group by 1)
+select cells, round((x + 0.5) * 12, 4) as x, round((y + 0.5) * 12, 4) as y, round(48 * sqrt((a + b + sqrt(pow(a - b, 2) + 4 * ab * ab)) / 2), 4) as major, round(48 * sqrt(greatest((a + b - sqrt(pow(a - b, 2) + 4 * ab * ab)) / 2, 0)), 4) as minor from m""")
+def water_bodies(spark, sf):
+    """Cells above Otsu's bound as bodies: their size, place and axes."""
+    found, _ = kernels.water(_grid(spark, sf), 12.0)
+    return found.select("cells", *(F.round(c, 4).alias(c) for c in ("x", "y", "major", "minor")))
+
+
 # --- the form of cities ----------------------------------------------------------------------
 
 _BUILT = f"""with {_PARCELS}, t as (select p_type, x, y, s, p.p_size from p join part on p_partkey = id), span as (select unnest(generate_series(0, 120)) as k),
