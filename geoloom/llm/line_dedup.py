@@ -201,14 +201,13 @@ def _deduped(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col:
     per_row = materialize(per_row.select("doc_id", "text_key", "gone", F.when(copies > 1, F.col("every")).alias("every"), F.call_function("div", "links", copies).alias("links"), copies.alias("copies")), "rows")
 
     work = hidden(docs).withColumn("row_id", F.col(place(docs, id_col))).withColumn("row_key", F.xxhash64(place(docs, text_col)))
-    # Only rows that lose a line, repeat or have links meet their texts; where they are few, the others are not shuffled.
+    # Only rows that lose a line, repeat or have links need to meet their texts. Up to ``few`` of them, with up to four
+    # times as many line numbers, are broadcast, so that no text is shuffled.
     touched = materialize(per_row.filter("size(gone) > 0 or copies > 1 or links > 0"), "touched")
     match = (F.col("row_id") == F.col("doc_id")) & (F.col("row_key") == F.col("text_key"))
-    if touched.limit(few + 1).count() <= few:
-        names = F.broadcast(touched.select("doc_id", "text_key"))
-        rest = work.join(names, match, "left_anti")
-        none = {c: F.lit(None).cast(t) for c, t in touched.dtypes}
-        joined = work.join(names, match, "left_semi").join(touched, match).unionByName(rest.withColumns(none))
+    n, numbers = touched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone") + F.coalesce(F.size("every"), F.lit(0))), F.lit(0))).first()
+    if n <= few and numbers <= 4 * few:
+        joined = work.join(F.broadcast(touched), match, "left")
     else:
         joined = work.join(touched, match, "left")
     if not per_row.filter("copies > 1").isEmpty():
