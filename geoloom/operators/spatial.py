@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import cell
 from geoloom.operators.polygons import points_in_polygons  # noqa: F401  it stands with the other joins
-from geoloom.plans.materialize import materialize, ship_package
+from geoloom.plans.materialize import broadcast_if_small, materialize, ship_package
 
 
 def _with_cells(points: DataFrame, size, around: int) -> DataFrame:
@@ -24,6 +25,12 @@ def _with_cells(points: DataFrame, size, around: int) -> DataFrame:
     return df
 
 
+def distinct_places(points: DataFrame) -> DataFrame:
+    """(id, x, y): the places of points(x, y, ...), each once, under numbers of their own; points without coordinates have none."""
+    known = points.select("x", "y").filter("x is not null and y is not null").distinct()
+    return materialize(known.withColumn("id", F.monotonically_increasing_id()), "places")
+
+
 def within_distance(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """(a_id, b_id, dist): pairs of a(id, x, y) and b(id, x, y) at most ``radius`` apart."""
     left = _with_cells(a.select(F.col("id").alias("a_id"), "x", "y"), radius, 1).withColumnsRenamed({"x": "ax", "y": "ay"})
@@ -35,22 +42,33 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 def nearest_join(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds: int = 40) -> DataFrame:
     """(a_id, b_id, dist, rank): the k nearest of b for each of a, ties by b's id.
 
-    Points look into the cells around their own; those whose k-th neighbour is
-    no farther than a cell is wide are settled, the others go on with cells
-    twice as wide, until the cells span all of b: exact, and only unsettled
-    points are searched again."""
-    left = materialize(a.select(F.col("id").alias("a_id"), "x", "y"), "points")
-    right = materialize(b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "targets")
+    Places are searched for, not points: points of a that share a place share what
+    is found there, and of those of b that do only the first k can count. Places
+    look into the cells around their own; those whose k-th neighbour is no
+    farther than a cell is wide are settled, the others go on with cells twice
+    as wide, until the cells span all of b: exact, and only unsettled places are
+    searched again. ``size`` is the widest start: cells that would hold many
+    places of b on average start narrower."""
+    points = materialize(a.select(F.col("id").alias("a_id"), "x", "y"), "points")
+    spots = distinct_places(points).withColumnRenamed("id", "a_id")
+    first = Window.partitionBy("bx", "by").orderBy("b_id")
+    targets = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")).filter("bx is not null and by is not null")
+    right = materialize(targets.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n"), "targets")
     box = right.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by"), F.count(F.lit(1))).first()
-    mine = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    out, rest = None, left
+    mine = spots.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    out, rest = None, spots
     if not box[4] or mine[0] is None:
-        return left.select("a_id", F.lit(None).cast(dict(right.dtypes)["b_id"]).alias("b_id"), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).limit(0)
+        return points.select("a_id", F.lit(None).cast(dict(right.dtypes)["b_id"]).alias("b_id"), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).limit(0)
     wide = max(box[1], mine[1]) - min(box[0], mine[0]) + max(box[3], mine[3]) - min(box[2], mine[2])
+    even = math.sqrt((box[1] - box[0]) * (box[3] - box[2]) * 4 * k / box[4])
+    while 0 < even < size / 2:
+        size, max_rounds = size / 2, max_rounds + 1
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("a_id").orderBy("dist", "b_id")
     for _ in range(max_rounds):
         last = size > wide
-        near = _with_cells(rest, size, 1).withColumnsRenamed({"x": "ax", "y": "ay"})
+        # Few bytes make very many pairs, so the number of tasks is given.
+        near = _with_cells(rest, size, 1).withColumnsRenamed({"x": "ax", "y": "ay"}).repartition(tasks, "_cx", "_cy")
         own = right.withColumns({"_cx": cell(F.col("bx"), size), "_cy": cell(F.col("by"), size)})
         found = near.join(own, ["_cx", "_cy"]).withColumn("dist", F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)))
         found = materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a_id", "b_id", "dist", "rank"), "near")
@@ -66,7 +84,8 @@ def nearest_join(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds
         size *= 2
     else:
         raise RuntimeError(f"nearest neighbours not settled within {max_rounds} rounds: start with wider cells")
-    return out
+    hits = materialize(out.join(spots, "a_id").select("x", "y", "b_id", "dist", "rank"), "hits")
+    return points.join(broadcast_if_small(hits, 500_000), ["x", "y"]).select("a_id", "b_id", "dist", "rank")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

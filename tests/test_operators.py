@@ -223,3 +223,34 @@ def test_segments_cross_once(spark):
     rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 10.0, 10.0, 0.0), (3, 20.0, 0.0, 30.0, 0.0), (4, 0.0, 1.0, 10.0, 11.0)]
     out = spatial.segment_crossings(spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double"), 3.0).collect()
     assert sorted((r["a_id"], r["b_id"], round(r["x"], 6), round(r["y"], 6)) for r in out) == [(1, 2, 5.0, 5.0), (2, 4, 4.5, 5.5)]
+
+
+def rows_by_label(monkeypatch, module):
+    """Counts the rows that a module materialises, by label; the most of each."""
+    rows, keep = {}, module.materialize
+
+    def counted(df, label="part"):
+        out = keep(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return rows
+
+
+def test_nearest_join_searches_places(spark, monkeypatch):
+    """Points that share a place are searched for once, and each gets the same neighbours."""
+    rows = rows_by_label(monkeypatch, spatial)
+    a = spark.range(300).selectExpr("id", "double(id % 3) as x", "0.0D as y").unionByName(spark.createDataFrame([(999, None, 1.0)], "id long, x double, y double"))
+    b = spark.range(200).selectExpr("id", "double(id % 2) * 5 as x", "0.0D as y").unionByName(spark.createDataFrame([(999, 1.0, None)], "id long, x double, y double"))
+    got = {(r["a_id"], r["rank"]): (r["b_id"], r["dist"]) for r in spatial.nearest_join(a, b, 1.0, 1).collect()}
+    assert got == {(k, 1): (0, float(k % 3)) for k in range(300) if k % 3 < 3}
+    assert rows["near"] <= 3 and rows["targets"] == 2
+
+
+def test_nearest_join_ranks_copies_by_id(spark):
+    """More copies in the nearest place than are asked for: the smallest ids; fewer: the next place fills up."""
+    a = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.0, 0.0), (9, 10.0, 0.0)], "id long, x double, y double")
+    b = spark.createDataFrame([(k, 1.0, 0.0) for k in (5, 3, 4, 2)] + [(1, 9.0, 0.0)], "id long, x double, y double")
+    got = {(r["a_id"], r["rank"]): r["b_id"] for r in spatial.nearest_join(a, b, 1.0, 3).collect()}
+    assert got == {(7, 1): 2, (7, 2): 3, (7, 3): 4, (8, 1): 2, (8, 2): 3, (8, 3): 4, (9, 1): 1, (9, 2): 2, (9, 3): 3}
