@@ -67,11 +67,16 @@ def leave_one_out_buffer(spark, sf):
 @query(f"with c as ({_CUSTOMERS}), s as ({_SUPPLIERS}) select s.id, count(c.id) as n, round(coalesce(sum(c_acctbal), 0), 2) as total, arg_max(c.id, (c_acctbal, c.id)) as largest from s left join (c join customer on c_custkey = c.id) on sqrt(pow(s.x - c.x, 2) + pow(s.y - c.y, 2)) <= 6 group by 1")
 def points_near_sites(spark, sf):
     """Count, sum and largest of the points near each site; a site without any counts zero."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("b_id"), "c_acctbal")
+    # What lies in one place is summed up first, and sites in one place look around once.
+    balance = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), geo.synthetic_lon(F.col("c_custkey")).alias("x"), geo.synthetic_lat(F.col("c_custkey")).alias("y"), "c_acctbal")
+    held = balance.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total"), F.max(F.struct("c_acctbal", "id")).alias("top"))
+    held = materialize(held.withColumn("id", F.monotonically_increasing_id()), "held")
     sites = _points(spark, sf, "supplier", "s_suppkey")
-    met = spatial.within_distance(sites, _points(spark, sf, "customer", "c_custkey"), 6.0).join(c, "b_id")
-    agg = met.groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total"), F.max_by("b_id", F.struct("c_acctbal", "b_id")).alias("largest"))
-    return sites.select("id").join(agg, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"), "largest")
+    spots = spatial.distinct_places(sites)
+    met = spatial.within_distance(spots, held, 6.0).join(held.select(F.col("id").alias("b_id"), "n", "total", "top"), "b_id")
+    agg = met.groupBy("a_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"))
+    near = materialize(agg.join(spots.withColumnRenamed("id", "a_id"), "a_id").select("x", "y", "n", "total", F.col("top.id").alias("largest")), "near")
+    return sites.join(near, ["x", "y"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"), "largest")
 
 
 @query(f"""with {_GRID}, s as ({_SUPPLIERS}), p as (select id, cast(floor(x / 12) as bigint) as cx, cast(floor(y / 12) as bigint) as cy from s) select id, round(value, 2) as value from p left join g using (cx, cy)""")
