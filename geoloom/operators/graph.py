@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import clip_ring, clip_segment, ring_area
 from geoloom.operators.components import connected_components
-from geoloom.operators.polygons import covered_cells, touching_pairs
+from geoloom.operators.polygons import dissolved_cells, distinct_shapes, touching_pairs
 from geoloom.operators.spatial import nearest_join, within_distance
 from geoloom.plans.materialize import materialize
 
@@ -253,19 +253,22 @@ def multimodal(parts: dict[str, DataFrame], boarding: float = 0.0) -> DataFrame:
 
 def dissolve(polygons: DataFrame, key: str, size: float) -> DataFrame:
     """(<key>, cx, cy): the cells, ``size`` wide, whose centres lie in any polygon(<key>, ring or rings) of the key, each once."""
-    # A polygon of its own is covered by itself; the key may have any number.
-    each = materialize(polygons.select(F.monotonically_increasing_id().alias("_poly"), *[c for c in (key, "ring", "rings") if c in polygons.columns]), "polygons")
-    cells = covered_cells(each, "_poly", size)
-    return cells.join(each.select("_poly", key), "_poly").select(key, "cx", "cy").distinct()
+    return dissolved_cells(polygons, key, size)
 
 
 def overlay(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id, area, ring) of the common parts of a(id, ring) and b(id, ring), the
-    latter convex and counter-clockwise; they meet where their coverings do."""
-    pairs = touching_pairs(a, b, size)
-    met = pairs.join(a.select(F.col("id").alias("a_id"), F.col("ring").alias("a_ring")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("ring").alias("b_ring")), "b_id")
-    cut = met.select("a_id", "b_id", clip_ring(F.col("a_ring"), F.col("b_ring")).alias("ring"))
-    return cut.withColumn("area", F.abs(ring_area(F.col("ring")))).filter("area > 1e-12").select("a_id", "b_id", "area", "ring")
+    latter convex and counter-clockwise; they meet where their coverings do.
+    Equal shapes are laid over each other once."""
+    (one, of_a), (two, of_b) = distinct_shapes(a, ["id"]), distinct_shapes(b, ["id"])
+    pairs = touching_pairs(one.withColumnRenamed("shape", "id"), two.withColumnRenamed("shape", "id"), size)
+    met = pairs.join(one.select(F.col("shape").alias("a_id"), F.col("ring").alias("a_ring")), "a_id").join(two.select(F.col("shape").alias("b_id"), F.col("ring").alias("b_ring")), "b_id")
+    # Clipping is much work for few bytes, so the number of tasks is given.
+    met = met.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = met.select(F.col("a_id").alias("_a"), F.col("b_id").alias("_b"), clip_ring(F.col("a_ring"), F.col("b_ring")).alias("ring"))
+    cut = materialize(cut.withColumn("area", F.abs(ring_area(F.col("ring")))).filter("area > 1e-12"), "common")
+    named = cut.join(of_b.select(F.col("id").alias("b_id"), F.col("shape").alias("_b")), "_b")
+    return of_a.select(F.col("id").alias("a_id"), F.col("shape").alias("_a")).join(named, "_a").select("a_id", "b_id", "area", "ring")
 
 
 def clustering(edges: DataFrame) -> DataFrame:

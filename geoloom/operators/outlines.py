@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.polygons import covered_cells, points_in_polygons
+from geoloom.operators.polygons import dissolved_cells, points_in_polygons
 from geoloom.operators.routing import isochrone_cells
 from geoloom.plans.materialize import materialize
 
@@ -112,9 +112,7 @@ def outlines(cells: DataFrame, by: Sequence[str], size: float = 1.0, corners: bo
 
 def dissolved_outlines(polygons: DataFrame, key: str, size: float) -> DataFrame:
     """:func:`outlines` of polygon(key, ring or rings) laid together by key, on cells ``size`` wide."""
-    each = materialize(polygons.select(F.monotonically_increasing_id().alias("_poly"), *[c for c in (key, "ring", "rings") if c in polygons.columns]), "polygons")
-    cells = covered_cells(each, "_poly", size).join(each.select("_poly", key), "_poly")
-    return outlines(cells.select(key, "cx", "cy"), [key], size)
+    return outlines(dissolved_cells(polygons, key, size), [key], size)
 
 
 def value_polygons(cells: DataFrame, value: str = "value", size: float = 1.0, corners: bool = False) -> DataFrame:

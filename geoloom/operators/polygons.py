@@ -140,6 +140,25 @@ def covered_cells(polygons: DataFrame, key: str, size: float, budget: int = 1_02
     return spread.filter(inside).select(key, "cx", "cy")
 
 
+def distinct_shapes(polygons: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(shapes, members): shapes(shape, ring or rings), each of those of polygons(*keys,
+    ring or rings) once, and members(*keys, shape). What only depends on the shape
+    is then worked out once, however many polygons have it."""
+    drawn = "ring" if "ring" in polygons.columns else "rings"
+    shapes = materialize(polygons.select(drawn).filter(F.col(drawn).isNotNull()).distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    return shapes, polygons.select(*keys, drawn).join(shapes, drawn).select(*keys, "shape")
+
+
+def dissolved_cells(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """(<key>, cx, cy): the cells, ``size`` wide, whose centres lie in any polygon(<key>, ring or rings) of the key, each once.
+
+    A shape is covered by itself and once; the key may have any number."""
+    shapes, members = distinct_shapes(polygons, [key])
+    members = materialize(members.distinct(), "members")
+    cells = materialize(covered_cells(shapes, "shape", size), "cells")
+    return materialize(cells.join(members, "shape").select(key, "cx", "cy").distinct(), "dissolved")
+
+
 def touching_pairs(a: DataFrame, b: DataFrame, size: float, budget: int = 256) -> DataFrame:
     """(a_id, b_id): the pairs of a(id, ring or rings) and b whose coverings share a
     cell, each once: all that have a point in common, and few others."""

@@ -272,3 +272,29 @@ def test_equal_lines_are_cut_once(spark, monkeypatch):
     got = sorted((r["line_id"], r["seq"], round(r["length"], 6)) for r in edges.collect())
     assert got == [(k, i, round(math.sqrt(8), 6)) for k in range(80) for i in (1, 2)]
     assert rows["places"] == 2
+
+
+def test_equal_shapes_are_covered_and_overlaid_once(spark, monkeypatch):
+    """Ninety parcels of three shapes: three shapes are worked on, and every parcel gets its rows."""
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import geo
+    from geoloom.operators import graph, polygons
+
+    rows, keep = {}, polygons.materialize
+
+    def counted(df, label="part"):
+        out = keep(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(polygons, "materialize", counted)
+    x = (F.col("id") % 3).cast("double")
+    a = spark.range(90).select("id", (F.col("id") % 2).alias("kind"), geo.box_ring(x, F.lit(0.0), x + 2, F.lit(2.0)).alias("ring"))
+    b = spark.createDataFrame([(1,), (2,)], "id long").withColumn("ring", geo.box_ring(F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(3.0)))
+    got = {(r["a_id"], r["b_id"]): round(r["area"], 9) for r in graph.overlay(a, b, 1.0).collect()}
+    assert got == {(k, z): [4.0, 4.0, 2.0][k % 3] for k in range(90) for z in (1, 2)}
+    assert rows["shapes"] == 3 and rows["legs"] <= 12
+    cells = {(r["kind"], r["cx"], r["cy"]) for r in graph.dissolve(a, "kind", 1.0).collect()}
+    assert cells == {(k, cx, cy) for k in (0, 1) for cx in range(4) for cy in range(2)}
+    assert rows["cells"] == 12
