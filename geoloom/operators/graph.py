@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.geo import clip_ring, clip_segment, ring_area
 from geoloom.operators.components import connected_components
 from geoloom.operators.polygons import dissolved_cells, distinct_shapes, touching_pairs
-from geoloom.operators.spatial import nearest_join, within_distance
+from geoloom.operators.spatial import close_groups, nearest_join
 from geoloom.plans.materialize import materialize
 
 
@@ -149,9 +149,7 @@ def merge_close_nodes(nodes: DataFrame, edges: DataFrame, radius: float) -> tupl
     """(nodes, edges) with nodes(node, x, y) within ``radius`` of each other, in
     turn, drawn together in their mean place under the smallest name; edges
     inside such a group go."""
-    near = within_distance(nodes.withColumnRenamed("node", "id"), nodes.withColumnRenamed("node", "id"), radius)
-    groups = connected_components(near.filter("a_id < b_id").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
-    named = nodes.join(groups, "node", "left").withColumn("to", F.coalesce("component", "node"))
+    named = materialize(close_groups(nodes.withColumnRenamed("node", "id"), radius), "named").withColumnsRenamed({"id": "node", "group": "to"})
     at = lambda end: named.select(F.col("node").alias(end), F.col("to").alias(f"_{end}"))
     moved = edges.join(at("u"), "u").join(at("v"), "v").filter("_u <> _v").withColumns({"u": F.col("_u"), "v": F.col("_v")}).drop("_u", "_v")
     return named.groupBy(F.col("to").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")), moved

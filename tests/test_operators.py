@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import random
 
 import pytest
@@ -265,3 +266,52 @@ def test_a_cut_line_is_worked_out_once(spark):
     long = lambda c: len(spark.range(4, 5).select(c.alias("c"))._jdf.queryExecution().analyzed().toString())
     assert long(three) < 12 * long(one)
     assert [tuple(p) for p in spark.range(4, 5).select(three.alias("c")).first()["c"]] == [(3.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
+
+
+@pytest.mark.parametrize(("n", "wide", "grid"), [(300, 12.0, None), (300, 4.0, None), (500, 40.0, 0.5), (40, 0.0, None)])
+def test_close_groups_equal_brute_force(spark, n, wide, grid):
+    """Sparse, crowded, on a lattice (distances of exactly the radius) and all in one place; some points have no place."""
+    from geoloom.operators.spatial import close_groups
+
+    rng = random.Random(n)
+    spot = lambda: rng.uniform(-wide, wide) if grid is None else round(rng.uniform(-wide, wide) / 8) * grid
+    points = [(k, spot(), spot()) for k in range(n)]
+    odd = [(n, None, 1.0), (n + 1, float("nan"), 1.0), (n + 2, float("inf"), 0.0), (n + 3, None, None)]
+    root = list(range(n))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x, y in points:
+        for j, a, b in points[:i]:
+            if math.sqrt((x - a) ** 2 + (y - b) ** 2) <= 0.5 and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    df = spark.createDataFrame(points + odd, "id long, x double, y double")
+    got = {r["id"]: r["group"] for r in close_groups(df, 0.5).collect()}
+    assert got == {k: top(k) for k in range(n)} | {k: k for k, _, _ in odd}
+    assert {r["id"]: r["group"] for r in close_groups(df, 0.0).collect()} == {k: k for k, _, _ in points + odd}
+
+
+def test_crowded_nodes_merge_without_a_list_of_pairs(spark, monkeypatch):
+    """Eight hundred nodes within the radius of each other make 319,600 pairs; none of them is written."""
+    from geoloom.operators import components, graph, spatial
+    from geoloom.plans import materialize as m
+
+    rows = []
+
+    def counted(df, label="part"):
+        out = m.materialize(df, label)
+        rows.append(out.count())
+        return out
+
+    for module in (components, graph, spatial):
+        monkeypatch.setattr(module, "materialize", counted)
+    rng = random.Random(3)
+    nodes = [(f"n{k:03}", rng.uniform(0.0, 0.6), rng.uniform(0.0, 0.6)) for k in range(800)] + [("z", 9.0, 9.0)]
+    edges = spark.createDataFrame([("n000", "n700", 1.0), ("n300", "z", 2.0)], "u string, v string, length double")
+    placed, moved = graph.merge_close_nodes(spark.createDataFrame(nodes, "node string, x double, y double"), edges, 1.0)
+    assert [tuple(r) for r in moved.select("u", "v", "length").collect()] == [("n000", "z", 2.0)]
+    assert {r["node"]: round(r["x"], 9) for r in placed.collect()} == {"n000": round(sum(n[1] for n in nodes[:800]) / 800, 9), "z": 9.0}
+    assert max(rows) <= len(nodes)
