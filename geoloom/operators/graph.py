@@ -40,15 +40,16 @@ def simple_graph(edges: DataFrame, keep: str = "longest", by: str = "length", or
 
 def drop_clones(edges: DataFrame, max_ratio: float = 1.5, by: str = "length", order: Sequence[str] = ()) -> DataFrame:
     """Of the parallel edges between two nodes (in either direction) those go
-    that are less than ``max_ratio`` times as long as the shortest; it stays."""
+    that are less than ``max_ratio`` times as long as the shortest; it stays. A row
+    with ``copies`` stands for as many equal edges, of which one is the shortest."""
     pair = [F.least("u", "v"), F.greatest("u", "v")]
     w = Window.partitionBy(*pair).orderBy(F.col(by), "u", "v", *order)
     least = F.min(by).over(Window.partitionBy(*pair))
-    return (
-        edges.withColumns({"_n": F.row_number().over(w), "_least": least})
-        .filter((F.col("_n") == 1) | (F.col(by) >= max_ratio * F.col("_least")))
-        .drop("_n", "_least")
-    )
+    long = F.col(by) >= max_ratio * F.col("_least")
+    kept = edges.withColumns({"_n": F.row_number().over(w), "_least": least}).filter((F.col("_n") == 1) | long)
+    if "copies" in edges.columns:
+        kept = kept.withColumn("copies", F.when(long, F.col("copies")).otherwise(1))
+    return kept.drop("_n", "_least")
 
 
 def way_segments(ways: DataFrame, nodes: DataFrame, oneway: Column | None = None) -> DataFrame:
@@ -93,9 +94,11 @@ def salt_long(edges: DataFrame, longest: float, by: str = "length") -> DataFrame
 
 
 def interior_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that simplification contracts: two neighbours and degree two or four, no loop."""
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select("v", "u"))
-    stats = ends.groupBy("node").agg(F.countDistinct("other").alias("near"), F.count(F.lit(1)).alias("degree"), F.max(F.col("node") == F.col("other")).alias("loop"))
+    """Nodes that simplification contracts: two neighbours and degree two or four, no loop.
+    A row with ``copies`` counts as many times."""
+    copies = F.col("copies") if "copies" in edges.columns else F.lit(1)
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other"), copies.alias("_c")).union(edges.select("v", "u", copies))
+    stats = ends.groupBy("node").agg(F.countDistinct("other").alias("near"), F.sum("_c").alias("degree"), F.max(F.col("node") == F.col("other")).alias("loop"))
     return stats.filter("near = 2 and degree in (2, 4) and not loop").select("node")
 
 
@@ -129,7 +132,10 @@ def contract_chains(edges: DataFrame, by: str = "length") -> DataFrame:
     Chains are the components of the interior nodes joined by edges, so a chain
     of any length takes a few rounds, not one a node. A ring without an end, and
     an edge between two ends, stay as they are; a chain that returns to its
-    start becomes a loop."""
+    start becomes a loop. Where edges have ``copies``, a row stands for as many
+    equal edges, and the result has that column too."""
+    many = "copies" in edges.columns
+    copies, held = (F.col("copies"), ["copies"]) if many else (F.lit(1), [])
     inner = interior_nodes(edges)
     mark = lambda end: inner.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}"))
     known = edges.join(mark("u"), "u", "left").join(mark("v"), "v", "left").fillna(False, ["_u", "_v"])
@@ -138,10 +144,12 @@ def contract_chains(edges: DataFrame, by: str = "length") -> DataFrame:
     of = lambda end: chain.select(F.col("node").alias(end), F.col("chain").alias(f"_c{end}"))
     placed = known.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumn("chain", F.coalesce("_cu", "_cv"))
     ends = F.array_compact(F.array(F.when(~F.col("_u"), F.col("u")), F.when(~F.col("_v"), F.col("v"))))
-    grouped = placed.filter("chain is not null").groupBy("chain").agg(F.sum(by).alias("length"), F.count(F.lit(1)).alias("parts"), F.array_sort(F.flatten(F.collect_list(ends))).alias("_ends"))
-    open_chains = grouped.filter(F.size("_ends") == 2)
-    merged = open_chains.select(F.get("_ends", F.lit(0)).alias("u"), F.get("_ends", F.lit(1)).alias("v"), "length", "parts")
-    plain = placed.join(open_chains.select("chain"), "chain", "left_anti").select("u", "v", F.col(by).alias("length"), F.lit(1).cast("long").alias("parts"))
+    # An edge of a chain touches a node of degree four at most, so it has few copies.
+    ends = F.flatten(F.array_repeat(ends, copies.cast("int")))
+    grouped = placed.filter("chain is not null").groupBy("chain").agg(F.sum(F.col(by) * copies).alias("length"), F.sum(copies).alias("parts"), F.array_sort(F.flatten(F.collect_list(ends))).alias("_ends"))
+    open_chains = grouped.filter(F.size("_ends") == 2).withColumn("copies", F.lit(1).cast("long"))
+    merged = open_chains.select(F.get("_ends", F.lit(0)).alias("u"), F.get("_ends", F.lit(1)).alias("v"), "length", "parts", *held)
+    plain = placed.join(open_chains.select("chain"), "chain", "left_anti").select("u", "v", F.col(by).alias("length"), F.lit(1).cast("long").alias("parts"), *held)
     return merged.unionByName(plain)
 
 

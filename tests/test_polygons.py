@@ -298,3 +298,31 @@ def test_equal_shapes_are_covered_and_overlaid_once(spark, monkeypatch):
     cells = {(r["kind"], r["cx"], r["cy"]) for r in graph.dissolve(a, "kind", 1.0).collect()}
     assert cells == {(k, cx, cy) for k in (0, 1) for cx in range(4) for cy in range(2)}
     assert rows["cells"] == 12
+
+
+def test_copies_of_roads_stay_one_row(spark, monkeypatch):
+    """Roads that are there one to six times over: cleaning gives what it gives for all of them written out, from one row a road."""
+    from geoloom.operators import noding
+
+    rng = random.Random(21)
+    own = [[(rng.uniform(0, 20), rng.uniform(0, 20)) for _ in range(rng.randint(2, 4))] for _ in range(14)]
+    own += [[(30.0, float(k)), (30.0, k + 1.0)] for k in range(5)] + [[(40.0, 0.0), (40.0, 5.0), (41.0, 5.0)], [(40.0, 0.0), (41.0, 5.0)]]
+    times = [1 + k % 6 for k in range(14)] + [1, 2, 2, 3, 1, 2, 5]
+    lines = [(100 * k + i, p) for k, (p, n) in enumerate(zip(own, times, strict=True)) for i in range(n)]
+    df = spark.createDataFrame(lines, LINES)
+    nodes, edges = noding.node_lines(df, 3.0, 1e-6)
+    told = noding.clean_network(nodes, edges, 0.4)
+    rows, keep = [], noding.materialize
+
+    def counted(df, label="part"):
+        out = keep(df, label)
+        rows.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(noding, "materialize", counted)
+    got = noding.road_network(df, 3.0, 1e-6, 0.4)
+    figures = lambda parts: sorted((r["seq"], r["step"], r["edges"], round(r["length"], 6)) for r in parts[2].collect())
+    table = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()))
+    assert figures(got) == figures(told) and table(got[1]) == table(told[1]) and table(got[0]) == table(told[0])
+    pieces = dict(rows)["pieces"]
+    assert next(n for label, n in rows if label == "clean") == pieces < edges.count()
