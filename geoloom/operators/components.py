@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,48 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def _folded(batches: Iterator[pd.DataFrame], few: int) -> Iterator[pd.DataFrame]:
+    """(node, root) of edges(u, v), chunk by chunk: each node with the smallest that it reaches within the chunk."""
+
+    def fold(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        both = pd.concat(parts, ignore_index=True)
+        names, codes = np.unique(np.concatenate((both["u"].to_numpy(), both["v"].to_numpy())), return_inverse=True)
+        u, v, label = codes[: len(both)], codes[len(both) :], np.arange(len(names))
+        while True:
+            low, new = np.minimum(label[u], label[v]), label.copy()
+            for ends in (label[u], label[v]):
+                np.minimum.at(new, ends, low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                return pd.DataFrame({"node": names, "root": names[label]})
+            label = new
+
+    parts, n = [], 0
+    for batch in batches:
+        if len(batch):
+            parts.append(batch)
+            n += len(batch)
+        if n >= few:
+            yield fold(parts)
+            parts, n = [], 0
+    if parts:
+        yield fold(parts)
+
+
+def near_components(edges: DataFrame, few: int = 500_000) -> DataFrame:
+    """:func:`connected_components` of edges(u, v) between numbers, most of which are near
+    those that they link: rows dealt by range are first joined within chunks of
+    ``few``, and only what lies in several chunks is joined in rounds."""
+    ship_package(edges.sparkSession)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select("u", "v").filter("u <> v").repartitionByRange(tasks, "u").sortWithinPartitions("u")
+    found = materialize(dealt.mapInPandas(lambda batches: _folded(batches, few), "node long, root long"), "folded")
+    own = materialize(found.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")), "roots")
+    top = connected_components(own.filter(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("low").alias("v")))
+    return own.join(top.withColumnRenamed("node", "low"), "low", "left").select("node", F.coalesce("component", "low").alias("component"))
+
+
 def _whole(arcs: DataFrame) -> DataFrame:
     """(node, component) of the ends of a bounded arc table(u, v), in one task: depth
     first, with the stack of open nodes."""

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import cell
-from geoloom.operators.components import connected_components
+from geoloom.operators.components import connected_components, near_components
 from geoloom.operators.polygons import points_in_polygons  # noqa: F401  it stands with the other joins
 from geoloom.plans.materialize import broadcast_if_small, materialize, ship_package
 
@@ -54,20 +54,40 @@ def close_groups(points: DataFrame, radius: float) -> DataFrame:
     alone = points.select("id", "x", "y", c("id").alias("group"))
     if radius <= 0:
         return alone
-    width = radius / math.sqrt(2) * (1 - 1e-6)
+    width = close_width(radius)
     placed = materialize(points.select("id", "x", "y").filter(finite).withColumns({"cx": cell(c("x"), width), "cy": cell(c("y"), width)}), "placed")
+    joined = close_cells(placed, lambda cells: placed.join(cells, ["cx", "cy"], "left_semi"), radius, F.min("id").alias("first"))
+    names = joined.groupBy("part").agg(F.min("first").alias("group"))
+    return placed.join(joined.join(names, "part").select("cx", "cy", "group"), ["cx", "cy"]).select("id", "x", "y", "group").unionByName(alone.filter(~finite))
+
+
+def close_width(radius: float) -> float:
+    """The width of cells whose points are never farther apart than ``radius``."""
+    return radius / math.sqrt(2) * (1 - 1e-6)
+
+
+def close_cells(placed: DataFrame, points_of: Callable[[DataFrame], DataFrame], radius: float, *more: Column) -> DataFrame:
+    """(cx, cy, part, ...): the groups of cells, :func:`close_width` wide, whose points lie
+    within ``radius`` of each other, in turn, and the aggregates ``more``. ``placed``(cx,
+    cy, x, y) has at least the outermost points of each cell; ``points_of`` gives all
+    points of the cells(cx, cy) that it is given."""
+    c = F.col
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # How far out the cell's points are in a direction, and where across the outermost one is.
     ways = {"e": (c("x"), c("y")), "n": (c("y"), c("x")), "ne": (c("x") + c("y"), c("x") - c("y")), "se": (c("x") - c("y"), c("x") + c("y"))}
     tips = [t for w, (out, across) in ways.items() for t in (F.min(out).alias(f"low_{w}"), F.max(out).alias(f"top_{w}"), F.min_by(across, out).alias(f"low_{w}_at"), F.max_by(across, out).alias(f"top_{w}_at"))]
-    cells = materialize(placed.groupBy("cx", "cy").agg(F.min("id").alias("first"), *tips).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    kept = placed.agg(*more).columns if more else []
+    # Cells next to each other get numbers near each other.
+    cells = placed.groupBy("cx", "cy").agg(*more, *tips).repartitionByRange(tasks, "cx", "cy").sortWithinPartitions("cx", "cy")
+    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
     steps = {"e": (1, 0, 1.0), "n": (0, 1, 1.0), "ne": (1, 1, 0.5), "se": (1, -1, 0.5)}
     tip = lambda k: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(s).alias("s"), c(f"{k}_{w}").alias("out"), c(f"{k}_{w}_at").alias("at")) for w, (i, j, s) in steps.items())))
     one = cells.select(c("cell").alias("u"), "cx", "cy", tip("top").alias("p")).select("u", (c("cx") + c("p.i")).alias("cx"), (c("cy") + c("p.j")).alias("cy"), c("p.i").alias("i"), c("p.j").alias("j"), "p")
     two = cells.select(c("cell").alias("v"), "cx", "cy", tip("low").alias("q")).select("v", "cx", "cy", c("q.i").alias("i"), c("q.j").alias("j"), "q")
     apart = c("p.s") * (F.pow(c("p.out") - c("q.out"), 2) + F.pow(c("p.at") - c("q.at"), 2))
     sure = one.join(two, ["cx", "cy", "i", "j"]).filter(apart <= (radius * (1 - 1e-9)) ** 2).select("u", "v")
-    parts = cells.join(connected_components(sure).withColumnRenamed("node", "cell"), "cell", "left")
-    parts = materialize(parts.select("cx", "cy", "first", F.coalesce("component", "cell").alias("part"), c("low_e").alias("w"), c("top_e").alias("e"), c("low_n").alias("s"), c("top_n").alias("n")), "parts")
+    parts = cells.join(near_components(sure).withColumnRenamed("node", "cell"), "cell", "left")
+    parts = materialize(parts.select("cx", "cy", *kept, F.coalesce("component", "cell").alias("part"), c("low_e").alias("w"), c("top_e").alias("e"), c("low_n").alias("s"), c("top_n").alias("n")), "parts")
     # Cells up to two away may hold points within the radius; those of one part need no look.
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0))))
     first = parts.select(c("cx").alias("ux"), c("cy").alias("uy"), c("part").alias("u"), *(c(k).alias(f"u_{k}") for k in "wesn"), around.alias("_s"))
@@ -77,15 +97,14 @@ def close_groups(points: DataFrame, radius: float) -> DataFrame:
     met = first.join(parts.select("cx", "cy", c("part").alias("v"), *(c(k).alias(f"v_{k}") for k in "wesn")), ["cx", "cy"]).filter("u <> v")
     met = met.filter(F.hypot(gap(c("u_w") - c("v_e"), c("v_w") - c("u_e")), gap(c("u_s") - c("v_n"), c("v_s") - c("u_n"))) <= wider)
     met = materialize(met, "met")
-    spots = placed.select("cx", "cy", "x", "y").distinct()
+    looked = met.select(c("ux").alias("cx"), c("uy").alias("cy")).union(met.select("cx", "cy")).distinct()
+    spots = materialize(points_of(broadcast_if_small(looked, 500_000)).select("cx", "cy", "x", "y").distinct(), "near")
     ours = met.join(spots.select(c("cx").alias("ux"), c("cy").alias("uy"), c("x").alias("px"), c("y").alias("py")), ["ux", "uy"])
     ours = ours.filter(F.hypot(gap(c("v_w") - c("px"), c("px") - c("v_e")), gap(c("v_s") - c("py"), c("py") - c("v_n"))) <= wider)
     dist = F.sqrt(F.pow(c("px") - c("x"), 2) + F.pow(c("py") - c("y"), 2))
     links = ours.join(spots, ["cx", "cy"]).filter(dist <= radius).select("u", "v").distinct()
-    joined = parts.join(connected_components(links).withColumnRenamed("node", "part"), "part", "left").select("cx", "cy", "first", F.coalesce("component", "part").alias("part"))
-    joined = materialize(joined, "groups")
-    names = joined.groupBy("part").agg(F.min("first").alias("group"))
-    return placed.join(joined.join(names, "part").select("cx", "cy", "group"), ["cx", "cy"]).select("id", "x", "y", "group").unionByName(alone.filter(~finite))
+    joined = parts.join(connected_components(links).withColumnRenamed("node", "part"), "part", "left").select("cx", "cy", *kept, F.coalesce("component", "part").alias("part"))
+    return materialize(joined, "groups")
 
 
 def nearest_join(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds: int = 40) -> DataFrame:

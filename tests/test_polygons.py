@@ -350,3 +350,57 @@ def test_noded_roads_of_repeated_suppliers_equal_the_sql(spark, sf, tmp_path, mo
     whole = noding.crossing_figures
     monkeypatch.setattr(noding, "crossing_figures", lambda roads: whole(roads, few=10))
     assert got() == want  # more roads than a task holds
+
+
+def network_tables(parts):
+    table = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    return [table(parts[0].select("node", "x", "y")), table(parts[1].select("u", "v", "length")), table(parts[2].select("seq", "step", "edges", "length"))]
+
+
+@pytest.mark.parametrize("seed, radius", [(1, 0.3), (2, 0.02)])
+def test_held_lines_give_the_network_of_written_ones(spark, seed, radius):
+    """Crossing, touching, overlapping, equal and odd lines: cut again in the tasks as they are when all pieces are written."""
+    from geoloom.operators.noding import road_network
+
+    rng = random.Random(seed)
+    own = [[(rng.uniform(0, 12), rng.uniform(0, 12)) for _ in range(rng.randint(2, 5))] for _ in range(25)]
+    own += [[(float(rng.randint(0, 6)), float(rng.randint(0, 6))) for _ in range(rng.randint(1, 4))] for _ in range(25)]  # ends on others, runs along them, turns back
+    own += [[(30.0, 30.0), (31.0, 30.0), (31.0, 31.0), (30.0, 30.0)], [(20.0, None), (20.0, 20.0), (21.0, 20.0)], [(2.0, 3.0), (2.0, 0.0000004)], [(40.0, 0.0000006), (44.0, 0.0)], [(42.0, 3.0), (42.0, 0.0)], None]
+    times = [1 + k % 3 for k in range(len(own))]
+    df = spark.createDataFrame([(10 * k + i, p) for k, (p, n) in enumerate(zip(own, times, strict=True)) for i in range(n)], LINES)
+    told = network_tables(road_network(df, 3.0, 1e-6, radius, least=10**9))
+    assert network_tables(road_network(df, 3.0, 1e-6, radius, least=1)) == told
+    assert len(told[0]) > 20 and len(told[1]) > 40
+
+
+def test_pieces_of_a_dense_network_are_not_written(spark, monkeypatch):
+    """Five hundred roads that nearly all cross: no table that is written has a row for every piece."""
+    from geoloom.operators import components, graph, noding, spatial
+
+    rng = random.Random(5)
+    ends = lambda: (rng.uniform(0, 20), rng.uniform(0, 20))
+    lines = [(k, [ends(), ends()]) for k in range(500)] + [(600 + k, [(30.0 + k, 0.0), (30.0 + k, 9.0)]) for k in range(6)]
+    df = spark.createDataFrame(lines, LINES)
+    rows, keep = [], noding.materialize
+
+    def counted(df, label="part"):
+        out = keep(df, label)
+        rows.append(out.count())
+        return out
+
+    for module in (components, graph, noding, spatial):
+        monkeypatch.setattr(module, "materialize", counted)
+    report = {r["step"]: r["edges"] for r in noding.road_network(df, 3.0, 1e-6, 0.5)[2].collect()}
+    assert report["given"] > 50_000 and report["junctions merged"] >= 6
+    assert max(rows) < report["given"] / 2
+
+
+def test_near_components_by_small_chunks(spark):
+    from geoloom.operators.components import connected_components, near_components
+
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(k, k + rng.randint(-3, 3)) for k in range(0, 900, 2)] + [(5, 5), (2000, 2001), (3000, 7)], "u long, v long")
+    told = {tuple(r) for r in connected_components(edges).collect()}
+    for few in (7, 500_000):
+        assert {tuple(r) for r in near_components(edges, few).collect()} == told
+    assert near_components(edges.limit(0)).collect() == []
