@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators.polygons import touched_cells
-from geoloom.plans.materialize import ship_package
+from geoloom.plans.materialize import send_or_deal, ship_package
 
 #: The cut pieces that are worked on at a time.
 _CHUNK = 500_000
@@ -131,6 +131,12 @@ def _thinned(x, y, width: float) -> pd.DataFrame:
     return pd.DataFrame({"cx": cx[stay], "cy": cy[stay], "x": x[stay], "y": y[stay]}).drop_duplicates()
 
 
+def _places(p: dict) -> tuple:
+    """(x, y): where pieces begin, and where they end unless the next one begins there."""
+    last = np.append((p["vx"][:-1] != p["ux"][1:]) | (p["vy"][:-1] != p["uy"][1:]), True)
+    return np.concatenate((p["ux"], p["vx"][last])), np.concatenate((p["uy"], p["vy"][last]))
+
+
 class HeldLines:
     """All legs(line_id, leg, ax, ay, bx, by) and the copies(line_id, copies) of their lines, sent to the tasks."""
 
@@ -172,12 +178,27 @@ class HeldLines:
         without a cell tell the number and length of pieces."""
 
         def give(p: dict) -> pd.DataFrame:
-            out = _thinned(np.concatenate((p["ux"], p["vx"])), np.concatenate((p["uy"], p["vy"])), width)
+            out = _thinned(*_places(p), width)
             total = pd.DataFrame({"edges": [p["copies"].sum()], "length": [(p["copies"] * p["length"]).sum()]})
             return pd.concat([out, total]).astype({k: "Int64" for k in ("cx", "cy", "edges")})
 
         return self.cut(give, "cx long, cy long, x double, y double, edges long, length double")
 
+    def places_in(self, cells: DataFrame, width: float, few: int = 200_000) -> DataFrame:
+        """(cx, cy, x, y): where pieces begin and end, in the cells(cx, cy) alone. Up to ``few``
+        cells are known to the tasks, by a number that others may share."""
+        number = lambda cx, cy: cx * np.int64(1_000_003) + cy
+        told = cells.limit(few + 1).toPandas()
+        wanted = self.spark.sparkContext.broadcast(np.unique(number(told["cx"].to_numpy(np.int64), told["cy"].to_numpy(np.int64)))) if len(told) <= few else None
+
+        def give(p: dict) -> pd.DataFrame:
+            x, y = _places(p)
+            cx, cy = np.floor(x / width).astype(np.int64), np.floor(y / width).astype(np.int64)
+            stay = slice(None) if wanted is None else np.isin(number(cx, cy), wanted.value)
+            return pd.DataFrame({"cx": cx[stay], "cy": cy[stay], "x": x[stay], "y": y[stay]})
+
+        return self.cut(give, "cx long, cy long, x double, y double").join(send_or_deal(cells, few), ["cx", "cy"], "left_semi")
+
     def ends(self, width: float) -> DataFrame:
         """(cx, cy, x, y, nx, ny): both ends of every piece, their cell and their name."""
 

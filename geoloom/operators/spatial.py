@@ -56,7 +56,7 @@ def close_groups(points: DataFrame, radius: float) -> DataFrame:
         return alone
     width = close_width(radius)
     placed = materialize(points.select("id", "x", "y").filter(finite).withColumns({"cx": cell(c("x"), width), "cy": cell(c("y"), width)}), "placed")
-    joined = close_cells(placed, lambda cells: placed.join(cells, ["cx", "cy"], "left_semi"), radius, F.min("id").alias("first"))
+    joined = close_cells(placed, lambda cells: placed.join(broadcast_if_small(cells, 500_000), ["cx", "cy"], "left_semi"), radius, F.min("id").alias("first"))
     names = joined.groupBy("part").agg(F.min("first").alias("group"))
     return placed.join(joined.join(names, "part").select("cx", "cy", "group"), ["cx", "cy"]).select("id", "x", "y", "group").unionByName(alone.filter(~finite))
 
@@ -97,8 +97,8 @@ def close_cells(placed: DataFrame, points_of: Callable[[DataFrame], DataFrame],
     met = first.join(parts.select("cx", "cy", c("part").alias("v"), *(c(k).alias(f"v_{k}") for k in "wesn")), ["cx", "cy"]).filter("u <> v")
     met = met.filter(F.hypot(gap(c("u_w") - c("v_e"), c("v_w") - c("u_e")), gap(c("u_s") - c("v_n"), c("v_s") - c("u_n"))) <= wider)
     met = materialize(met, "met")
-    looked = met.select(c("ux").alias("cx"), c("uy").alias("cy")).union(met.select("cx", "cy")).distinct()
-    spots = materialize(points_of(broadcast_if_small(looked, 500_000)).select("cx", "cy", "x", "y").distinct(), "near")
+    looked = materialize(met.select(c("ux").alias("cx"), c("uy").alias("cy")).union(met.select("cx", "cy")).distinct(), "looked")
+    spots = materialize(points_of(looked).select("cx", "cy", "x", "y").distinct(), "near")
     ours = met.join(spots.select(c("cx").alias("ux"), c("cy").alias("uy"), c("x").alias("px"), c("y").alias("py")), ["ux", "uy"])
     ours = ours.filter(F.hypot(gap(c("v_w") - c("px"), c("px") - c("v_e")), gap(c("v_s") - c("py"), c("py") - c("v_n"))) <= wider)
     dist = F.sqrt(F.pow(c("px") - c("x"), 2) + F.pow(c("py") - c("y"), 2))

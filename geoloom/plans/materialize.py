@@ -52,6 +52,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def send_or_deal(df: DataFrame, max_rows: int) -> DataFrame:
+    """:func:`broadcast_if_small`, but a larger ``df`` asks for a merge join, so that the
+    other side is not sent either: for one whose size the plan underrates."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context, for sessions that
     were started without it on the executors' path."""
