@@ -20,10 +20,11 @@ from geoloom.plans.materialize import send_or_deal, ship_package
 _CHUNK = 500_000
 
 
-def worth_holding(legs: DataFrame, size: float, least: int, most: int) -> bool:
-    """Whether comparing all ``legs`` in memory is cheaper than their meeting in cells ``size`` wide, and they aren't too many."""
-    n, finite = legs.agg(F.count(F.lit(1)), F.bool_and(F.abs("ax") + F.abs("ay") + F.abs("bx") + F.abs("by") < float("inf"))).first()
-    if not least <= n <= most or not finite:
+def worth_holding(legs: DataFrame, size: float, snap: float, least: int, most: int) -> bool:
+    """Whether comparing all ``legs`` in memory is cheaper than their meeting in cells ``size``
+    wide, and they aren't too many, and their places can be numbered on the grid."""
+    n, plain = legs.agg(F.count(F.lit(1)), F.bool_and(F.abs("ax") + F.abs("ay") + F.abs("bx") + F.abs("by") < snap * 2.0**62)).first()
+    if not least <= n <= most or not plain:
         return False
     if n <= 20_000:
         return True
